@@ -1,0 +1,15 @@
+"""Embedding a text column of a DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from guardrag.functions.embedding import Embedder, hashing_embedder
+
+
+def embed(df: DataFrame, text_col: str = "content", embedder: Embedder | None = None,
+          out_col: str = "embedding") -> DataFrame:
+    """Add ``out_col`` = embedder(text). Defaults to the 64-bucket hashing embedder."""
+    embedder = embedder or hashing_embedder(64)
+    return df.withColumn(out_col, embedder(F.col(text_col)))
