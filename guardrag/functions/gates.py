@@ -41,8 +41,10 @@ def keyword_count(query: Column | str, keywords: tuple[str, ...]) -> Column:
     """Number of distinct keywords occurring as case-insensitive substrings."""
     if not keywords:
         return F.lit(0)
-    lowered = F.lower(col_(query))
-    return F.coalesce(F.size(F.filter(keyword_array(keywords), lambda k: F.contains(lowered, k))), F.lit(0))
+    kws = keyword_array(keywords)
+    # Bind lower(query) once per row (outer lambda), then test every keyword against it.
+    bound = F.transform(F.array(F.lower(col_(query))), lambda lq: F.size(F.filter(kws, lambda k: F.contains(lq, k))))
+    return F.coalesce(bound[0], F.lit(0))
 
 
 def relevance(query: Column | str, opts: RelevanceOptions = RelevanceOptions()) -> Column:

@@ -12,9 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from guardrag.sources.tables import read_table
+
+
+# Row keys of the driver tables, used to spread single-split scans over all cores.
+TABLE_KEYS = {
+    "documents": ["doc_id"], "conversations": ["conv_id", "turn"], "embeddings": ["vec_id"],
+    "pages": ["page_id"], "labels": ["doc_id"], "benchmark": ["item_id"],
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", TABLE_KEYS.get(name))
 
 
 # ---------------------------------------------------------------------------
