@@ -38,6 +38,10 @@ from guardrag.operators.retrieval import search, topk_batch
 from guardrag.operators.store import upsert, validate_chunks
 from guardrag.plans import fixtures as fx
 from guardrag.plans.ask import ask_batch, route
+from guardrag.session import scratch_path
+from guardrag.sources.tables import spread
+from guardrag.streaming.ask import start_ask_stream
+from guardrag.streaming.ingest import start_chunk_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -427,17 +431,21 @@ SELECT id AS doc_id,
 FROM trig"""
 
 
-def ask_audit(spark: SparkSession, d: str, opts: AskOptions = AskOptions(), strategy: str = "auto") -> DataFrame:
-    """Questions (user turns) against the chunk store built from every document."""
+def document_store(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk store built from every document: chunk, embed, validate, checkpoint."""
     ch = chunk_documents(fx.table(spark, d, "documents"), "text", "source", "doc_id", LINE)
     ch = ch.withColumn("embedding", hashing_embedder(64)(F.col("content")))
     store, _rejects = validate_chunks(ch, expected_dim=64)
-    store = store.checkpoint(eager=True)
-    return ask_batch(fx.user_questions(spark, d), store, opts, as_of=F.to_timestamp(F.lit(AS_OF)), strategy=strategy)
+    return store.checkpoint(eager=True)
 
 
-def q_ask_batch(spark, d):
-    a = ask_audit(spark, d)
+def ask_audit(spark: SparkSession, d: str, opts: AskOptions = AskOptions(), strategy: str = "auto") -> DataFrame:
+    """Questions (user turns) against the chunk store built from every document."""
+    return ask_batch(fx.user_questions(spark, d), document_store(spark, d), opts,
+                     as_of=F.to_timestamp(F.lit(AS_OF)), strategy=strategy)
+
+
+def _ask_out(a: DataFrame) -> DataFrame:
     return a.select(
         "query_id", "outcome", "correlation_id", "scrubbed_query", "scrubbed_response",
         F.array_join("sources", ", ").alias("sources"), F.col("top_confidence_score").cast("double").alias("top_score"),
@@ -446,6 +454,36 @@ def q_ask_batch(spark, d):
         F.col("output_pii_redaction_count").cast("bigint").alias("output_pii"), "disclaimer_appended")
 
 
+def q_ask_batch(spark, d):
+    return _ask_out(ask_audit(spark, d))
+
+
+def _parquet_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    schema = spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def q_stream_ingest(spark, d):
+    """The documents table as a file stream, chunked per micro-batch (availableNow)."""
+    sink, ckpt = scratch_path(spark, "stream-ingest"), scratch_path(spark, "stream-ingest-ckpt")
+    q = start_chunk_stream(
+        _parquet_stream(spark, d, "documents"),
+        lambda df: _chunk_out(chunk_documents(spread(df, ["doc_id"]), "text", "source", "doc_id", LINE)),
+        sink, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(sink).drop("batch_id")
+
+
+def q_stream_ask(spark, d):
+    """Conversations as a stream of questions, answered per micro-batch."""
+    sink, ckpt = scratch_path(spark, "stream-ask"), scratch_path(spark, "stream-ask-ckpt")
+    q = start_ask_stream(_parquet_stream(spark, d, "conversations"), document_store(spark, d), sink, ckpt,
+                         available_now=True, as_of=F.to_timestamp(F.lit(AS_OF)),
+                         prepare=lambda df: fx.questions_from(spread(df, ["conv_id", "turn"])))
+    q.awaitTermination()
+    return _ask_out(spark.read.parquet(sink).drop("batch_id"))
+
+
 def q_audit_lines(spark, d):
     return ask_audit(spark, d).select("query_id", audit_line().alias("line"))
 
@@ -573,6 +611,8 @@ QUERIES: dict[str, Query] = {
     "output_safety": q_output_safety,
     "ask_batch": q_ask_batch,
     "audit_lines": q_audit_lines,
+    "stream_ingest": q_stream_ingest,
+    "stream_ask": q_stream_ask,
 }
 
 ORACLES: dict[str, str] = {
@@ -601,4 +641,6 @@ ORACLES: dict[str, str] = {
     "output_safety": SQL_OUTPUT_SAFETY,
     "ask_batch": SQL_ASK_BATCH,
     "audit_lines": _sql_audit_lines(),
+    "stream_ingest": SQL_CHUNK_DOCUMENTS,
+    "stream_ask": SQL_ASK_BATCH,
 }

@@ -79,7 +79,11 @@ SQL_DOCS_PII = f"""docs_pii AS (
 
 
 def user_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return questions_from(table(spark, sf_dir, "conversations"))
+
+
+def questions_from(conversations: DataFrame) -> DataFrame:
+    conv = conversations.filter(F.col("role") == "user")
     m = (F.col("conv_id") + F.col("turn")) % 4
     query = (
         F.when(m == 0, F.concat(F.col("text"), F.lit(" what is the fund yield")))
