@@ -22,6 +22,7 @@ from guardrag.functions.safety import template_answer, with_output_safety
 from guardrag.operators.answer import assemble_context
 from guardrag.operators.audit import AUDIT_COLUMNS, correlation_id
 from guardrag.operators.retrieval import topk_batch
+from guardrag.session import materialize
 
 Answerer = Callable[[Column, Column], Column]
 
@@ -58,8 +59,8 @@ def _audit_row(df: DataFrame, *, scrubbed_query, scrubbed_response, sources, top
         scrubbed_response.alias("scrubbed_response"),
         sources.alias("sources"),
         top.cast("float").alias("top_confidence_score"),
-        F.lit(length).alias("was_rejected_for_length"),
-        F.lit(relevance).alias("was_rejected_for_relevance"),
+        (length if isinstance(length, Column) else F.lit(length)).alias("was_rejected_for_length"),
+        (relevance if isinstance(relevance, Column) else F.lit(relevance)).alias("was_rejected_for_relevance"),
         (low if isinstance(low, Column) else F.lit(low)).alias("was_low_confidence"),
         n_in.cast("int").alias("input_pii_redaction_count"),
         n_out.cast("int").alias("output_pii_redaction_count"),
@@ -80,22 +81,21 @@ def ask_batch(queries: DataFrame, chunks: DataFrame, opts: AskOptions = AskOptio
     as_of = as_of if as_of is not None else F.current_timestamp()
     q = route(prepare_queries(queries), opts)
 
-    too_long = _audit_row(
-        q.filter(F.col("outcome") == "too_long"),
-        scrubbed_query=gates.truncation_marker("query"), scrubbed_response=gates.too_long_message(opts.query),
-        sources=_no_sources(), top=F.lit(0.0), length=True, relevance=False, low=False, n_in=F.lit(0),
-        n_out=F.lit(0), disclaimer=False, as_of=as_of)
+    # Both rejection outcomes in one pass over the questions (built-in expressions only).
+    is_long = F.col("outcome") == "too_long"
     off_topic_q = pii.scrub_stages("query")[0] if opts.scrub_rejected else F.col("query")
-    off_topic = _audit_row(
-        q.filter(F.col("outcome") == "off_topic"),
-        scrubbed_query=off_topic_q, scrubbed_response=F.lit(opts.relevance.off_topic_response),
-        sources=_no_sources(), top=F.lit(0.0), length=False, relevance=True, low=False, n_in=F.lit(0),
+    rejected = _audit_row(
+        q.filter(F.col("outcome").isNotNull()),
+        scrubbed_query=F.when(is_long, gates.truncation_marker("query")).otherwise(off_topic_q),
+        scrubbed_response=F.when(is_long, gates.too_long_message(opts.query)).otherwise(
+            F.lit(opts.relevance.off_topic_response)),
+        sources=_no_sources(), top=F.lit(0.0), length=is_long, relevance=~is_long, low=False, n_in=F.lit(0),
         n_out=F.lit(0), disclaimer=False, as_of=as_of)
 
     survivors = pii.with_scrub(q.filter(F.col("outcome").isNull()).select("query_id", "query"), "query", "in")
     survivors = survivors.select("query_id", "in_text", "in_count").withColumn("embedding", embedder(F.col("in_text")))
     if checkpoint:
-        survivors = survivors.checkpoint(eager=True)
+        survivors = materialize(survivors, "ask-survivors")
 
     ranked = topk_batch(chunks, survivors.select("query_id", "embedding"), opts.query.top_k,
                         carry=["content", "title"], opts=opts.retrieval, strategy=strategy)
@@ -105,6 +105,10 @@ def ask_batch(queries: DataFrame, chunks: DataFrame, opts: AskOptions = AskOptio
     joined = joined.withColumn("outcome", F.when(
         gates.is_low_confidence("top_score", opts.query.confidence_threshold), F.lit("low_confidence")
     ).otherwise(F.lit("answered")))
+    if checkpoint:
+        # One row per surviving question (context ≤ k chunks): the store scan runs once,
+        # and the answer slot below sees only the rows that passed the confidence gate.
+        joined = materialize(joined, "ask-retrieved")
 
     low = _audit_row(
         joined.filter(F.col("outcome") == "low_confidence"),
@@ -123,7 +127,7 @@ def ask_batch(queries: DataFrame, chunks: DataFrame, opts: AskOptions = AskOptio
         relevance=False, low=False, n_in=F.col("in_count"), n_out=F.col("out_count"),
         disclaimer=F.col("out_disclaimer"), as_of=as_of)
 
-    return too_long.unionByName(off_topic).unionByName(low).unionByName(answered)
+    return rejected.unionByName(low).unionByName(answered)
 
 
 def answers_of(audit: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ from guardrag.operators.retrieval import search, topk_batch
 from guardrag.operators.store import upsert, validate_chunks
 from guardrag.plans import fixtures as fx
 from guardrag.plans.ask import ask_batch, route
-from guardrag.session import scratch_path
+from guardrag.session import materialize, scratch_path
 from guardrag.sources.tables import spread
 from guardrag.streaming.ask import start_ask_stream
 from guardrag.streaming.ingest import start_chunk_stream
@@ -436,7 +436,7 @@ def document_store(spark: SparkSession, d: str) -> DataFrame:
     ch = chunk_documents(fx.table(spark, d, "documents"), "text", "source", "doc_id", LINE)
     ch = ch.withColumn("embedding", hashing_embedder(64)(F.col("content")))
     store, _rejects = validate_chunks(ch, expected_dim=64)
-    return store.checkpoint(eager=True)
+    return materialize(store, "document-store")
 
 
 def ask_audit(spark: SparkSession, d: str, opts: AskOptions = AskOptions(), strategy: str = "auto") -> DataFrame:
