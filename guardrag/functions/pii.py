@@ -124,16 +124,18 @@ def contains_pii(text: Column | str) -> Column:
 
 
 def with_scrub(df, text_col: str, prefix: str = "pii"):
-    """DataFrame form of P9/P10: adds ``{prefix}_text``, ``{prefix}_count`` and
-    ``{prefix}_findings``. The scrubbed text is projected first and the counts
+    """DataFrame form of P9/P10: adds ``{prefix}_text``, ``{prefix}_counts`` (one per
+    pattern, in order), ``{prefix}_count`` and ``{prefix}_findings``. The scrubbed text is projected first and the counts
     read it from the column, so the regex chain is evaluated once per row."""
     scrubbed, _ = scrub_stages(F.col(text_col))
     out = df.withColumn(f"{prefix}_text", scrubbed)
     counts = [_literal_count(F.col(f"{prefix}_text"), p.placeholder) - _literal_count(F.col(text_col), p.placeholder)
               for p in PATTERNS]
+    out = out.withColumn(f"{prefix}_counts", F.array(*counts))
+    per_type = [F.col(f"{prefix}_counts")[i] for i in range(len(PATTERNS))]
     return out.withColumns(
         {
-            f"{prefix}_count": total_from_counts(counts),
-            f"{prefix}_findings": findings_from_counts(counts),
+            f"{prefix}_count": F.aggregate(f"{prefix}_counts", F.lit(0), lambda a, n: a + n),
+            f"{prefix}_findings": findings_from_counts(per_type),
         }
     )

@@ -26,11 +26,13 @@ def chunk_documents(docs: DataFrame, content_col: str = "content", title_col: st
     """One row per chunk, in order: (chunk_id, document_id, pos, content, title).
 
     Narrow: each document is chunked inside its own row and exploded in place.
+    The ``_outer`` generator stops Spark from inferring ``size(chunks) > 0`` as a
+    filter, which would run the fold twice (and below any repartition).
     """
     exploded = docs.select(
         document_id(title_col, content_col, id_col).alias("document_id"),
         F.col(title_col).cast("string").alias("title"),
-        F.posexplode(chunk_text(F.col(content_col), opts)).alias("pos", "content"),
-    )
+        F.posexplode_outer(chunk_text(F.col(content_col), opts)).alias("pos", "content"),
+    ).filter(F.col("pos").isNotNull())
     return exploded.select(chunk_id().alias("chunk_id"), "document_id", F.col("pos").cast("int").alias("pos"),
                            "content", "title")

@@ -137,7 +137,7 @@ FROM docs_pii"""
 
 def q_pii_report(spark, d):
     docs = pii.with_scrub(fx.documents_with_pii(spark, d), "text", "p")
-    return pii_type_report(docs, "doc_id", "p_findings", "document").select(
+    return pii_type_report(docs, "p_counts", "document").select(
         "direction", "pii_type", F.col("redactions").cast("bigint").alias("redactions"),
         F.col("items").cast("bigint").alias("items"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_CHECK, evaluate, rows
 from guardrag.functions import pii
-from guardrag.operators.pii_report import pii_type_report
+from guardrag.operators.pii_report import pii_type_report, pii_type_report_from_findings
 from guardrag.plans import fixtures as fx
 
 
@@ -105,7 +105,10 @@ def test_has_pii_equals_contains_pii_and_scrub_is_idempotent(spark):
 
 def test_report_counts_by_type(spark):
     df = spark.createDataFrame([(1, "a@b.com and c@d.org"), (2, "NI AB123456C"), (3, "none")], "id long, t string")
-    rep = {r["pii_type"]: r for r in rows(pii_type_report(pii.with_scrub(df, "t", "p"), "id", "p_findings", "in"))}
+    scrubbed = pii.with_scrub(df, "t", "p")
+    rep = {r["pii_type"]: r for r in rows(pii_type_report(scrubbed, "p_counts", "in"))}
     assert rep["EmailAddress"]["redactions"] == 2 and rep["EmailAddress"]["items"] == 1
     assert rep["UkNationalInsuranceNumber"]["redactions"] == 1
     assert set(rep) == {"EmailAddress", "UkNationalInsuranceNumber"}
+    alt = {r["pii_type"]: r for r in rows(pii_type_report_from_findings(scrubbed, "id", "p_findings", "in"))}
+    assert alt == rep
