@@ -21,6 +21,7 @@ from guardrag.functions.embedding import Embedder, hashing_embedder
 from guardrag.functions.safety import template_answer, with_output_safety
 from guardrag.operators.answer import assemble_context
 from guardrag.operators.audit import AUDIT_COLUMNS, correlation_id
+from guardrag.operators.pii_report import pii_type_report
 from guardrag.operators.retrieval import topk_batch
 from guardrag.session import materialize
 
@@ -48,8 +49,13 @@ def route(queries: DataFrame, opts: AskOptions = AskOptions()) -> DataFrame:
     )
 
 
+def _no_counts() -> Column:
+    return F.array_repeat(F.lit(0), len(pii.PATTERNS))
+
+
 def _audit_row(df: DataFrame, *, scrubbed_query, scrubbed_response, sources, top, length, relevance, low, n_in,
-               n_out, disclaimer, as_of: Column) -> DataFrame:
+               n_out, disclaimer, as_of: Column, in_counts: Column | None = None,
+               out_counts: Column | None = None) -> DataFrame:
     return df.select(
         "query_id",
         "outcome",
@@ -65,6 +71,9 @@ def _audit_row(df: DataFrame, *, scrubbed_query, scrubbed_response, sources, top
         n_in.cast("int").alias("input_pii_redaction_count"),
         n_out.cast("int").alias("output_pii_redaction_count"),
         (disclaimer if isinstance(disclaimer, Column) else F.lit(disclaimer)).alias("disclaimer_appended"),
+        # Per-type redaction counts (pattern order) behind the two PII warnings.
+        (_no_counts() if in_counts is None else in_counts).alias("input_pii_type_counts"),
+        (_no_counts() if out_counts is None else out_counts).alias("output_pii_type_counts"),
     )
 
 
@@ -93,7 +102,7 @@ def ask_batch(queries: DataFrame, chunks: DataFrame, opts: AskOptions = AskOptio
         n_out=F.lit(0), disclaimer=False, as_of=as_of)
 
     survivors = pii.with_scrub(q.filter(F.col("outcome").isNull()).select("query_id", "query"), "query", "in")
-    survivors = survivors.select("query_id", "in_text", "in_count").withColumn("embedding", embedder(F.col("in_text")))
+    survivors = survivors.select("query_id", "in_text", "in_count", "in_counts").withColumn("embedding", embedder(F.col("in_text")))
     if checkpoint:
         survivors = materialize(survivors, "ask-survivors")
 
@@ -114,7 +123,7 @@ def ask_batch(queries: DataFrame, chunks: DataFrame, opts: AskOptions = AskOptio
         joined.filter(F.col("outcome") == "low_confidence"),
         scrubbed_query=F.col("in_text"), scrubbed_response=F.lit(opts.query.low_confidence_response),
         sources=_no_sources(), top=F.col("top_score"), length=False, relevance=False, low=True,
-        n_in=F.col("in_count"), n_out=F.lit(0), disclaimer=False, as_of=as_of)
+        n_in=F.col("in_count"), n_out=F.lit(0), disclaimer=False, as_of=as_of, in_counts=F.col("in_counts"))
 
     answered = joined.filter(F.col("outcome") == "answered").withColumn(
         "_raw", answerer(F.col("in_text"), F.coalesce(F.col("context"), _no_sources()))
@@ -125,11 +134,19 @@ def ask_batch(queries: DataFrame, chunks: DataFrame, opts: AskOptions = AskOptio
         scrubbed_query=F.col("in_text"), scrubbed_response=F.col("out_response"),
         sources=F.coalesce(F.col("sources"), _no_sources()), top=F.col("top_score"), length=False,
         relevance=False, low=False, n_in=F.col("in_count"), n_out=F.col("out_count"),
+        in_counts=F.col("in_counts"), out_counts=F.col("out_counts"),
         disclaimer=F.col("out_disclaimer"), as_of=as_of)
 
     return rejected.unionByName(low).unionByName(answered)
 
 
+def ask_pii_report(audit: DataFrame) -> DataFrame:
+    """P12 over the ask pipeline: redactions by direction (input question /
+    output answer) and type — the content of the two PII warnings as a table."""
+    return pii_type_report(audit, "input_pii_type_counts", "input").unionByName(
+        pii_type_report(audit, "output_pii_type_counts", "output"))
+
+
 def answers_of(audit: DataFrame) -> DataFrame:
     """(query_id, answer, sources) — rejected rows carry the canned text and no sources."""
     return audit.select("query_id", F.col("scrubbed_response").alias("answer"), "sources")

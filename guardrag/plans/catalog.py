@@ -37,7 +37,7 @@ from guardrag.operators.pii_report import pii_type_report
 from guardrag.operators.retrieval import search, topk_batch
 from guardrag.operators.store import upsert, validate_chunks
 from guardrag.plans import fixtures as fx
-from guardrag.plans.ask import ask_batch, route
+from guardrag.plans.ask import ask_batch, ask_pii_report, route
 from guardrag.session import materialize, scratch_path
 from guardrag.sources.tables import spread
 from guardrag.streaming.ask import start_ask_stream
@@ -484,6 +484,12 @@ def q_stream_ask(spark, d):
     return _ask_out(spark.read.parquet(sink).drop("batch_id"))
 
 
+def q_pii_report_ask(spark, d):
+    rep = ask_pii_report(ask_audit(spark, d))
+    return rep.select("direction", "pii_type", F.col("redactions").cast("bigint").alias("redactions"),
+                      F.col("items").cast("bigint").alias("items"))
+
+
 def q_audit_lines(spark, d):
     return ask_audit(spark, d).select("query_id", audit_line().alias("line"))
 
@@ -558,6 +564,19 @@ FROM joined j JOIN safe s ON j.query_id = s.query_id"""
 
 SQL_ASK_BATCH = _sql_ask()
 
+def _sql_pii_report_ask() -> str:
+    head, _sep, _tail = SQL_ASK_BATCH.partition("\nSELECT query_id, 'too_long' AS outcome")
+    unpivot = "\n  UNION ALL\n".join(
+        f"  SELECT '{direction}' AS direction, '{t}' AS pii_type, c{i} AS n FROM {cte}"
+        for direction, cte in (("input", "q8"), ("output", "a8"))
+        for i, (t, *_r) in enumerate(PII_PATTERNS, 1))
+    return f"""{head},
+counts AS (
+{unpivot})
+SELECT direction, pii_type, CAST(sum(n) AS BIGINT) AS redactions, CAST(count(*) AS BIGINT) AS items
+FROM counts WHERE n > 0 GROUP BY direction, pii_type"""
+
+
 def _sql_audit_lines() -> str:
     body = SQL_ASK_BATCH
     head, sep, tail = body.partition("\nSELECT query_id, 'too_long' AS outcome")
@@ -611,6 +630,7 @@ QUERIES: dict[str, Query] = {
     "output_safety": q_output_safety,
     "ask_batch": q_ask_batch,
     "audit_lines": q_audit_lines,
+    "pii_report_ask": q_pii_report_ask,
     "stream_ingest": q_stream_ingest,
     "stream_ask": q_stream_ask,
 }
@@ -641,6 +661,7 @@ ORACLES: dict[str, str] = {
     "output_safety": SQL_OUTPUT_SAFETY,
     "ask_batch": SQL_ASK_BATCH,
     "audit_lines": _sql_audit_lines(),
+    "pii_report_ask": _sql_pii_report_ask(),
     "stream_ingest": SQL_CHUNK_DOCUMENTS,
     "stream_ask": SQL_ASK_BATCH,
 }

@@ -103,3 +103,15 @@ def test_answers_projection_and_audit_line(spark):
 def test_score_rounding_half_away_from_zero(spark):
     df = spark.createDataFrame([(0.0625,), (0.3125,), (-0.0625,), (0.1234,)], "s float")
     assert [r[0] for r in df.select(score_3dp(F.col("s"))).collect()] == ["0.063", "0.313", "-0.063", "0.123"]
+
+
+def test_pii_report_by_direction(spark):
+    from guardrag.plans.ask import ask_pii_report
+    st = store(spark, [("reach the CEO at ceo@company.com or 07700 900123", "A", [1.0, 0.0])])
+    q = spark.createDataFrame([("q", "fund question from a@b.com"), ("o", "cats x@y.com")], "query_id string, query string")
+    rep = {(r["direction"], r["pii_type"]): (r["redactions"], r["items"])
+           for r in rows(ask_pii_report(ask_batch(q, st, embedder=const_embedder([1.0, 0.0]))))}
+    # input: the answered question only (off-topic rows are rejected before the scrub);
+    # output: the answer repeats the scrubbed question plus the chunk's email and phone.
+    assert rep[("input", "EmailAddress")] == (1, 1)
+    assert rep[("output", "EmailAddress")] == (1, 1) and rep[("output", "UkPhoneNumber")] == (1, 1)
