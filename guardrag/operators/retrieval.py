@@ -21,6 +21,10 @@ Two physical strategies share the cell kernel:
   ``ncb`` blocks; each side is replicated to the cells it takes part in and
   ``cogroup(...).applyInArrow`` scores one cell per task. Cell size is bounded by
   ``chunk_block_rows`` × ``query_block_rows`` whatever the table sizes.
+
+For large stores both run after a probe pass over a sample of the store that
+gives every query a lower bound on its final k-th score (see ``topk_batch``),
+so scan tasks emit only rows that can still be in the answer.
 """
 
 from __future__ import annotations
@@ -134,10 +138,14 @@ def _select_topk(q_idx: np.ndarray, scores: np.ndarray, chunk_ids: np.ndarray, k
 
 
 def score_cell(q_mat: np.ndarray, c_mat: np.ndarray, chunk_ids: np.ndarray, k: int,
-               tile_entries: int = MAX_TILE_ENTRIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+               tile_entries: int = MAX_TILE_ENTRIES,
+               bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact top-k of every query against the chunks of one cell.
 
     Returns (query index, chunk index, exact float32 score), at most k rows per query.
+    ``bounds`` (one float per query, ``-inf`` for none) is a proven lower bound on
+    each query's final k-th score: rows scoring below it can never be in the
+    answer and are not emitted.
     """
     nq, nc = q_mat.shape[0], c_mat.shape[0]
     empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
@@ -159,15 +167,21 @@ def score_cell(q_mat: np.ndarray, c_mat: np.ndarray, chunk_ids: np.ndarray, k: i
             sc = c_unit @ q_unit[s:s + step].T  # (nc, m)
         sc[~np.isfinite(sc)] = -np.inf
         if kk < nc:
-            kth = np.partition(sc, nc - kk, axis=0)[nc - kk]
-            ci, qj = np.nonzero(sc >= (kth - APPROX_TOLERANCE))
+            floor = np.partition(sc, nc - kk, axis=0)[nc - kk] - APPROX_TOLERANCE
         else:
-            ci, qj = np.nonzero(np.ones_like(sc, dtype=bool))
+            floor = np.full(sc.shape[1], -np.inf)
+        if bounds is not None:
+            floor = np.maximum(floor, bounds[s:s + step].astype(np.float64) - APPROX_TOLERANCE)
+        ci, qj = np.nonzero(sc >= floor[None, :])
         cand_c.append(ci)
         cand_q.append(qj + s)
     ci = np.concatenate(cand_c)
     qi = np.concatenate(cand_q)
     exact = exact_cosine(c_mat[ci], q_mat[qi], c2[ci], q2[qi])
+    if bounds is not None:
+        b = bounds[qi]
+        ok = np.isneginf(b) | (exact >= b)
+        ci, qi, exact = ci[ok], qi[ok], exact[ok]
     keep = _select_topk(qi, exact, chunk_ids[ci], k)
     return qi[keep], ci[keep], exact[keep]
 
@@ -203,12 +217,20 @@ def _emit(schema: pa.Schema, q_tbl: pa.Table, c_tbl: pa.Table, qi, ci, sc, query
 def topk_batch(chunks: DataFrame, queries: DataFrame, k: int, *, query_id: str = "query_id",
                query_vector: str = "embedding", chunk_id: str = "chunk_id", chunk_vector: str = "embedding",
                carry: list[str] | None = None, opts: RetrievalOptions = RetrievalOptions(),
-               strategy: str = "auto", broadcast_query_bytes: int = DEFAULT_BROADCAST_QUERY_BYTES) -> DataFrame:
+               strategy: str = "auto", broadcast_query_bytes: int = DEFAULT_BROADCAST_QUERY_BYTES,
+               probe_fraction: float | None = None) -> DataFrame:
     """``(query_id, rank, chunk_id, score, *carry)`` — each query's exact top-k chunks.
 
     Queries with an empty vector, or one whose dimension differs from the store's,
     raise (R3); ``k <= 0`` yields no rows (R4). Queries with no chunks get no rows;
     callers left-join to keep them.
+
+    ``probe_fraction``: first rank every query against a Bernoulli sample of the
+    store; each query's k-th score there is a lower bound on its final k-th score
+    (a subset cannot beat the whole), so the full scan emits only rows at or above
+    it. Results are unchanged; the merge shuffle shrinks from (tasks × queries × k)
+    rows to about k / fraction rows per query. ``None`` turns it on for stores
+    above ``PROBE_MIN_ROWS`` rows; ``0`` turns it off.
     """
     carry = [c for c in (carry or []) if c not in (chunk_id,)]
     spark = chunks.sparkSession
@@ -229,6 +251,12 @@ def topk_batch(chunks: DataFrame, queries: DataFrame, k: int, *, query_id: str =
     if dmin != dmax:
         raise ValueError(f"Embedding dimension mismatch among queries: {dmin} vs {dmax}.")
     c = chunks.select(chunk_id, chunk_vector, *carry)
+    if probe_fraction is None:
+        n_c = c.count()
+        probe_fraction = (PROBE_ROWS / n_c) if n_c >= PROBE_MIN_ROWS else 0.0
+    if probe_fraction and probe_fraction < 1.0:
+        q = _with_bounds(c, q, k, probe_fraction, query_id, query_vector, chunk_id, chunk_vector, opts, strategy,
+                         broadcast_query_bytes)
     query_bytes = n_q * (dmax * 4 + 64)
     if strategy == "auto":
         strategy = "broadcast" if query_bytes <= broadcast_query_bytes else "blocked"
@@ -245,19 +273,46 @@ def topk_batch(chunks: DataFrame, queries: DataFrame, k: int, *, query_id: str =
     return ranked.select(query_id, "rank", chunk_id, "score", *carry)
 
 
+PROBE_MIN_ROWS = 5_000_000
+PROBE_ROWS = 250_000
+PROBE_SEED = 20_241_202
+
+
+def _with_bounds(c: DataFrame, q: DataFrame, k: int, fraction: float, query_id, query_vector, chunk_id, chunk_vector,
+                 opts: RetrievalOptions, strategy: str, broadcast_query_bytes: int) -> DataFrame:
+    """Adds ``_bound``: the query's exact k-th score over a sample of the store, or
+    -inf when the sample holds fewer than k finite scores for it."""
+    probe = c.select(chunk_id, chunk_vector).sample(withReplacement=False, fraction=fraction, seed=PROBE_SEED)
+    ranked = topk_batch(probe, q, k, query_id=query_id, query_vector=query_vector, chunk_id=chunk_id,
+                        chunk_vector=chunk_vector, opts=opts, strategy=strategy,
+                        broadcast_query_bytes=broadcast_query_bytes, probe_fraction=0.0)
+    kth = ranked.groupBy(query_id).agg(
+        F.count(F.lit(1)).alias("_n"), F.max_by("score", "rank").alias("_kth"),
+        F.max(F.isnan("score").cast("int")).alias("_nan"))
+    bound = F.when((F.col("_n") == k) & (F.col("_nan") == 0), F.col("_kth")).otherwise(F.lit(float("-inf")))
+    return q.join(kth.select(query_id, bound.cast("float").alias("_bound")), query_id, "left").withColumn(
+        "_bound", F.coalesce(F.col("_bound"), F.lit(float("-inf")).cast("float")))
+
+
+def _bounds_of(tbl: pa.Table) -> np.ndarray | None:
+    if "_bound" not in tbl.column_names:
+        return None
+    return tbl.column("_bound").to_numpy(zero_copy_only=False).astype(np.float32)
+
+
 def _broadcast_cells(c: DataFrame, q: DataFrame, k, query_id, query_vector, chunk_id, chunk_vector, carry,
                      out: T.StructType) -> DataFrame:
     spark = c.sparkSession
     q_tbl = q.toArrow()  # size-checked by the caller
     q_mat = _matrix(q_tbl.column(query_vector), q_tbl.num_rows)
-    bq = spark.sparkContext.broadcast((q_tbl.select([query_id]), q_mat))
+    bq = spark.sparkContext.broadcast((q_tbl.select([query_id]), q_mat, _bounds_of(q_tbl)))
     arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in out.fields])
     parallelism = spark.sparkContext.defaultParallelism
     if c.rdd.getNumPartitions() < parallelism:
         c = c.repartition(parallelism, chunk_id)
 
     def scan(batches):
-        q_ids, qm = bq.value
+        q_ids, qm, bounds = bq.value
         pending: list[pa.RecordBatch] = []
         held = 0
         for batch in batches:
@@ -266,7 +321,7 @@ def _broadcast_cells(c: DataFrame, q: DataFrame, k, query_id, query_vector, chun
             tbl = pa.Table.from_batches([batch])
             cm = _matrix(tbl.column(chunk_vector), tbl.num_rows)
             ids = np.asarray(tbl.column(chunk_id).to_numpy(zero_copy_only=False))
-            qi, ci, sc = score_cell(qm, cm, ids, k)
+            qi, ci, sc = score_cell(qm, cm, ids, k, bounds=bounds)
             pending.append(_emit(arrow_schema, q_ids, tbl, qi, ci, sc, query_id, chunk_id, carry))
             held += len(qi)
             if held > 8 * k * qm.shape[0]:
@@ -314,7 +369,7 @@ def _blocked_cells(c: DataFrame, q: DataFrame, k, n_q, query_id, query_vector, c
         cm = _matrix(c_tbl.column(chunk_vector), c_tbl.num_rows)
         qm = _matrix(q_tbl.column(query_vector), q_tbl.num_rows)
         ids = np.asarray(c_tbl.column(chunk_id).to_numpy(zero_copy_only=False))
-        qi, ci, sc = score_cell(qm, cm, ids, k)
+        qi, ci, sc = score_cell(qm, cm, ids, k, bounds=_bounds_of(q_tbl))
         return pa.Table.from_batches([_emit(arrow_schema, q_tbl, c_tbl, qi, ci, sc, query_id, chunk_id, carry)])
 
     return cq.groupBy("qb", "cb").cogroup(qq.groupBy("qb", "cb")).applyInArrow(cell, out)

@@ -142,3 +142,30 @@ def test_batch_plan_has_no_cartesian_product(spark):
         plan = topk_batch(s, q, 5, strategy=strategy)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
         assert "Window" in plan
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "blocked"])
+@pytest.mark.parametrize("fraction", [0.3, 0.01])
+def test_probe_bound_pruning_keeps_results_exact(spark, strategy, fraction):
+    rng = np.random.default_rng(11)
+    cv = rng.integers(-2, 3, size=(400, 6)).astype(np.float32)  # many exact ties
+    qv = rng.integers(-2, 3, size=(30, 6)).astype(np.float32)
+    s = spark.createDataFrame([(f"c{i:03d}", cv[i].tolist()) for i in range(400)], "chunk_id string, embedding array<float>")
+    q = spark.createDataFrame([(f"q{j}", qv[j].tolist()) for j in range(30)], "query_id string, embedding array<float>")
+    plain = sorted(map(tuple, topk_batch(s, q, 5, strategy=strategy, probe_fraction=0.0).collect()))
+    pruned = sorted(map(tuple, topk_batch(s, q, 5, strategy=strategy, probe_fraction=fraction).collect()))
+    assert pruned == plain and len(plain) == 150
+
+
+def test_score_cell_bounds_drop_only_losers():
+    from guardrag.operators.retrieval import score_cell
+    rng = np.random.default_rng(5)
+    c = rng.standard_normal((200, 4)).astype(np.float32)
+    qm = rng.standard_normal((3, 4)).astype(np.float32)
+    ids = np.array([f"c{i:03d}" for i in range(200)], dtype=object)
+    qi, ci, sc = score_cell(qm, c, ids, 5)
+    kth = np.array([sc[qi == j].min() for j in range(3)], dtype=np.float32)
+    qb, cb, sb = score_cell(qm, c, ids, 5, bounds=kth)
+    assert sorted(zip(qi, ci)) == sorted(zip(qb, cb))
+    qn, cn, _ = score_cell(qm, c, ids, 5, bounds=kth + np.float32(1.0))
+    assert len(qn) == 0
