@@ -1,12 +1,14 @@
 """Chunk store: validation (T4), upsert (S5) and immutable snapshots.
 
-The store is a directory of parquet snapshots plus a one-line pointer to the
-current one. A write never touches the snapshot being read, so readers always
-see a consistent table, and a failed write leaves the pointer unchanged.
+The store is a directory of parquet snapshots plus an append-only log naming
+them; the latest entry is current. A write never touches the snapshot being
+read, so readers always see a consistent table, and a failed write leaves the
+previous snapshot current.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -78,40 +80,65 @@ def validate_chunks(chunks: DataFrame, expected_dim: int | None = None, *, store
     return tagged.filter(F.col("reason").isNull()).drop("reason"), tagged.filter(F.col("reason").isNotNull())
 
 
+# Largest update batch whose keys are broadcast to resolve an upsert without
+# shuffling the stored snapshot (rows; 32-hex ids make this about 50 MiB).
+BROADCAST_KEYS_LIMIT = 1_000_000
+
+
+def _latest(rows: DataFrame, key: str, seq_col: str) -> DataFrame:
+    w = Window.partitionBy(key).orderBy(F.col(seq_col).desc_nulls_last(), F.col("_src").desc())
+    return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "_src")
+
+
 def upsert(existing: DataFrame | None, updates: DataFrame, key: str = "chunk_id",
-           seq_col: str = "ingest_seq") -> DataFrame:
+           seq_col: str = "ingest_seq", broadcast_keys_limit: int = BROADCAST_KEYS_LIMIT) -> DataFrame:
     """Insert-or-replace by ``key``; the highest ``seq_col`` wins, and on equal
-    sequence an update beats the stored row. One shuffle on ``key``."""
+    sequence an update beats the stored row.
+
+    When the update batch is small (counted, at most ``broadcast_keys_limit`` rows)
+    its keys are broadcast: stored rows with untouched keys pass through without a
+    shuffle, and only the touched rows meet the updates in the window. Otherwise
+    store and updates are shuffled together on ``key``.
+    """
     upd = updates.withColumn("_src", F.lit(1))
-    if existing is not None:
-        upd = existing.withColumn("_src", F.lit(0)).unionByName(upd)
-    w = Window.partitionBy(key).orderBy(F.col(seq_col).desc_nulls_last(), F.col("_src").desc())
-    return upd.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "_src")
+    if existing is None:
+        return _latest(upd, key, seq_col)
+    old = existing.withColumn("_src", F.lit(0))
+    if updates.count() <= broadcast_keys_limit:
+        keys = F.broadcast(updates.select(key).distinct())
+        touched = old.join(keys, key, "left_semi")
+        untouched = old.join(keys, key, "left_anti").drop("_src")
+        return untouched.unionByName(_latest(touched.unionByName(upd), key, seq_col))
+    return _latest(old.unionByName(upd), key, seq_col)
 
 
 # ---------------------------------------------------------------------------
 # Snapshot directories
 # ---------------------------------------------------------------------------
 
-POINTER = "_current"
+LOG = "_snapshots"
 
 
 def write_snapshot(df: DataFrame, root: str, partitions: int | None = None, key: str = "chunk_id") -> str:
-    """Write ``df`` as a new snapshot under ``root`` and move the pointer to it."""
+    """Write ``df`` as a new snapshot under ``root``, then append its path to the
+    snapshot log. Nothing is overwritten or deleted: a failure before the log
+    append leaves the previous snapshot current; readers never see a gap."""
     spark = df.sparkSession
     path = f"{root.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
     out = df.repartition(partitions, key) if partitions else df
     out.write.mode("errorifexists").parquet(path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").text(
-        f"{root.rstrip('/')}/{POINTER}")
+    entry = spark.createDataFrame([(time.time_ns(), path)], "version long, path string")
+    entry.coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/{LOG}")
     return path
 
 
 def current_snapshot(spark: SparkSession, root: str) -> str | None:
+    """Path of the latest committed snapshot, or None for an empty store."""
     try:
-        row = spark.read.text(f"{root.rstrip('/')}/{POINTER}").first()
-    except Exception:  # no pointer yet: empty store
+        log = spark.read.parquet(f"{root.rstrip('/')}/{LOG}")
+    except Exception:  # no log yet: empty store
         return None
+    row = log.orderBy(F.col("version").desc(), F.col("path").desc()).select("path").first()
     return None if row is None else row[0]
 
 

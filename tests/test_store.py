@@ -57,3 +57,15 @@ def test_snapshot_pointer(spark, tmp_path):
     p2 = write_snapshot(df2, root)
     assert p1 != p2 and read_store(spark, root).count() == 2
     assert spark.read.parquet(p1).count() == 1  # the old snapshot is untouched
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_upsert_paths_agree(spark, limit):
+    old = spark.range(0, 50).selectExpr("cast(id as string) AS chunk_id", "1L AS ingest_seq", "'old' AS v")
+    new = spark.range(40, 60).selectExpr("cast(id as string) AS chunk_id",
+                                         "CASE WHEN id % 2 = 0 THEN 2L ELSE 0L END AS ingest_seq", "'new' AS v")
+    got = {r["chunk_id"]: r["v"] for r in rows(upsert(old, new, broadcast_keys_limit=limit))}
+    assert len(got) == 60
+    assert all(got[str(i)] == "old" for i in range(40))
+    assert all(got[str(i)] == ("new" if i % 2 == 0 else "old") for i in range(40, 50))
+    assert all(got[str(i)] == "new" for i in range(50, 60))
