@@ -153,7 +153,6 @@ class RetrievalOptions:
 
     chunk_block_rows: int = 200_000
     query_block_rows: int = 20_000
-    tile_rows: int = 8192
 
 
 @dataclass(frozen=True)
@@ -165,3 +164,5 @@ class AskOptions:
     # The off-topic audit row stores the raw query when False (exact behaviour),
     # the scrubbed query when True (what the audit interface promises).
     scrub_rejected: bool = True
+    # Fresh random correlation ids (original behaviour) instead of md5(query_id).
+    random_correlation_ids: bool = False

@@ -53,13 +53,13 @@ def _no_counts() -> Column:
     return F.array_repeat(F.lit(0), len(pii.PATTERNS))
 
 
-def _audit_row(df: DataFrame, *, scrubbed_query, scrubbed_response, sources, top, length, relevance, low, n_in,
+def _audit_row(df: DataFrame, *, random_ids: bool = False, scrubbed_query, scrubbed_response, sources, top, length, relevance, low, n_in,
                n_out, disclaimer, as_of: Column, in_counts: Column | None = None,
                out_counts: Column | None = None) -> DataFrame:
     return df.select(
         "query_id",
         "outcome",
-        correlation_id("query_id").alias("correlation_id"),
+        correlation_id("query_id", random_ids).alias("correlation_id"),
         as_of.alias("event_ts"),
         scrubbed_query.alias("scrubbed_query"),
         scrubbed_response.alias("scrubbed_response"),
@@ -94,7 +94,7 @@ def ask_batch(queries: DataFrame, chunks: DataFrame, opts: AskOptions = AskOptio
     is_long = F.col("outcome") == "too_long"
     off_topic_q = pii.scrub_stages("query")[0] if opts.scrub_rejected else F.col("query")
     rejected = _audit_row(
-        q.filter(F.col("outcome").isNotNull()),
+        q.filter(F.col("outcome").isNotNull()), random_ids=opts.random_correlation_ids,
         scrubbed_query=F.when(is_long, gates.truncation_marker("query")).otherwise(off_topic_q),
         scrubbed_response=F.when(is_long, gates.too_long_message(opts.query)).otherwise(
             F.lit(opts.relevance.off_topic_response)),
@@ -120,7 +120,7 @@ def ask_batch(queries: DataFrame, chunks: DataFrame, opts: AskOptions = AskOptio
         joined = materialize(joined, "ask-retrieved")
 
     low = _audit_row(
-        joined.filter(F.col("outcome") == "low_confidence"),
+        joined.filter(F.col("outcome") == "low_confidence"), random_ids=opts.random_correlation_ids,
         scrubbed_query=F.col("in_text"), scrubbed_response=F.lit(opts.query.low_confidence_response),
         sources=_no_sources(), top=F.col("top_score"), length=False, relevance=False, low=True,
         n_in=F.col("in_count"), n_out=F.lit(0), disclaimer=False, as_of=as_of, in_counts=F.col("in_counts"))
@@ -130,7 +130,7 @@ def ask_batch(queries: DataFrame, chunks: DataFrame, opts: AskOptions = AskOptio
     )
     answered = with_output_safety(answered, "_raw", opts.disclaimer, "out")
     answered = _audit_row(
-        answered,
+        answered, random_ids=opts.random_correlation_ids,
         scrubbed_query=F.col("in_text"), scrubbed_response=F.col("out_response"),
         sources=F.coalesce(F.col("sources"), _no_sources()), top=F.col("top_score"), length=False,
         relevance=False, low=False, n_in=F.col("in_count"), n_out=F.col("out_count"),

@@ -115,3 +115,21 @@ def test_pii_report_by_direction(spark):
     # output: the answer repeats the scrubbed question plus the chunk's email and phone.
     assert rep[("input", "EmailAddress")] == (1, 1)
     assert rep[("output", "EmailAddress")] == (1, 1) and rep[("output", "UkPhoneNumber")] == (1, 1)
+
+
+def test_audit_sink_appends_by_date_and_random_ids(spark, tmp_path):
+    from guardrag.operators.audit import write_answers, write_audit
+    st = store(spark, [("alpha", "A", [1.0, 0.0])])
+    q = spark.createDataFrame([("q", "fund?"), ("o", "cats")], "query_id string, query string")
+    audit = ask_batch(q, st, AskOptions(random_correlation_ids=True), embedder=const_embedder([1.0, 0.0]),
+                      as_of=F.to_timestamp(F.lit("2026-01-01 00:00:00")))
+    path = str(tmp_path / "audit")
+    write_audit(audit, path)
+    write_audit(audit, path)
+    back = spark.read.parquet(path)
+    assert back.count() == 4 and [r[0] for r in back.select("event_date").distinct().collect()] == [
+        __import__("datetime").date(2026, 1, 1)]
+    ids = [r["correlation_id"] for r in rows(back)]
+    assert all(len(i) == 32 for i in ids) and len(set(ids)) >= 2
+    write_answers(answers_of(audit), str(tmp_path / "answers"))
+    assert spark.read.parquet(str(tmp_path / "answers")).count() == 2

@@ -79,3 +79,10 @@ def test_hashing_embedder_counts_tokens(spark):
     vecs = [r[0] for r in df.select(hashing_embedder(16)(F.col("t"))).collect()]
     assert sum(vecs[0]) == 4.0 and max(vecs[0]) >= 3.0 and len(vecs[0]) == 16
     assert vecs[1] == [0.0] * 16 and vecs[2] == [0.0] * 16
+
+
+def test_random_ids_opt_in(spark):
+    docs = spark.createDataFrame([("T", "a\n\nb " * 300)], "title string, content string")
+    ch = rows(chunk_documents(docs, random_ids=True))
+    assert len({r["document_id"] for r in ch}) == 1 and len({r["chunk_id"] for r in ch}) == len(ch)
+    assert all(len(r["chunk_id"]) == 32 and "-" not in r["chunk_id"] for r in ch)
