@@ -113,6 +113,16 @@ SQL_STAGES = f"""WITH {fx.SQL_DOCS_PII},
 SQL_PII_SCRUB = SQL_STAGES + "\nSELECT id AS doc_id, t8 AS scrubbed_text FROM s8"
 
 
+def q_pii_scrub_pages(spark, d):
+    """P9/P10 on raw web pages: scrubbed html and the redaction count per page."""
+    pages = pii.with_scrub(fx.table(spark, d, "pages"), "html", "p")
+    return pages.select("page_id", F.col("p_text").alias("scrubbed_html"), F.col("p_count").cast("bigint").alias("n_findings"))
+
+
+SQL_PII_SCRUB_PAGES = f"""WITH {fx.sql_pii_stages("pages", "page_id", "html")}
+SELECT id AS page_id, t8 AS scrubbed_html, CAST(c1 + c2 + c3 + c4 + c5 + c6 + c7 + c8 AS BIGINT) AS n_findings FROM s8"""
+
+
 def q_pii_findings(spark, d):
     docs = pii.with_scrub(fx.documents_with_pii(spark, d), "text", "p")
     return docs.select("doc_id", F.col("p_count").cast("bigint").alias("n_findings"),
@@ -608,6 +618,7 @@ QUERIES: dict[str, Query] = {
     **{PII_SHORT[t]: _pii_single(t) for t, *_r in PII_PATTERNS},
     "pii_scrub": q_pii_scrub,
     "pii_findings": q_pii_findings,
+    "pii_scrub_pages": q_pii_scrub_pages,
     "pii_contains": q_pii_contains,
     "pii_report": q_pii_report,
     "length_gate": q_length_gate,
@@ -639,6 +650,7 @@ ORACLES: dict[str, str] = {
     **{PII_SHORT[t]: _pii_single_sql(t) for t, *_r in PII_PATTERNS},
     "pii_scrub": SQL_PII_SCRUB,
     "pii_findings": SQL_PII_FINDINGS,
+    "pii_scrub_pages": SQL_PII_SCRUB_PAGES,
     "pii_contains": SQL_PII_CONTAINS,
     "pii_report": SQL_PII_REPORT,
     "length_gate": SQL_LENGTH_GATE,
