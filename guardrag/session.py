@@ -33,10 +33,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; it is only filled in here when unset
-    (local runs and tests), with a fresh scratch folder.
+    on a local master (local runs and tests), with a fresh scratch folder. On a
+    cluster an unset value is an error rather than a machine-local folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster "
+                               f"(master={master!r}); a machine-local scratch folder would not survive executor loss")
         configured = tempfile.mkdtemp(prefix="guardrag-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
