@@ -20,7 +20,7 @@ from guardrag.functions import gates, pii
 from guardrag.functions.embedding import Embedder, hashing_embedder
 from guardrag.functions.safety import template_answer, with_output_safety
 from guardrag.operators.answer import assemble_context
-from guardrag.operators.audit import AUDIT_COLUMNS, correlation_id
+from guardrag.operators.audit import AUDIT_COLUMNS, correlation_id, write_answers, write_audit
 from guardrag.operators.pii_report import pii_type_report
 from guardrag.operators.retrieval import topk_batch
 from guardrag.session import materialize
@@ -147,9 +147,23 @@ def ask_pii_report(audit: DataFrame) -> DataFrame:
         pii_type_report(audit, "output_pii_type_counts", "output"))
 
 
+def run_ask(queries: DataFrame, chunks: DataFrame, audit_path: str, answers_path: str,
+            opts: AskOptions = AskOptions(), **kwargs) -> tuple[DataFrame, DataFrame]:
+    """A12 + S6 + S7: write the audit table (append, by event date) once, then the
+    answer table as a projection of what was written — the pipeline, and any
+    model-backed slot in it, runs once for both outputs."""
+    audit = ask_batch(queries, chunks, opts, **kwargs)
+    run_id = F.lit(__import__("uuid").uuid4().hex)
+    audit = audit.withColumn("run_id", run_id)
+    write_audit(audit, audit_path)
+    written = audit.sparkSession.read.parquet(audit_path).filter(F.col("run_id") == run_id)
+    write_answers(answers_of(written).withColumn("run_id", run_id), answers_path)
+    return written, audit.sparkSession.read.parquet(answers_path).filter(F.col("run_id") == run_id)
+
+
 def answers_of(audit: DataFrame) -> DataFrame:
     """(query_id, answer, sources) — rejected rows carry the canned text and no sources."""
     return audit.select("query_id", F.col("scrubbed_response").alias("answer"), "sources")
 
 
-__all__ = ["ask_batch", "answers_of", "route", "prepare_queries", "AUDIT_COLUMNS"]
+__all__ = ["ask_batch", "answers_of", "ask_pii_report", "run_ask", "route", "prepare_queries", "AUDIT_COLUMNS"]

@@ -133,3 +133,17 @@ def test_audit_sink_appends_by_date_and_random_ids(spark, tmp_path):
     assert all(len(i) == 32 for i in ids) and len(set(ids)) >= 2
     write_answers(answers_of(audit), str(tmp_path / "answers"))
     assert spark.read.parquet(str(tmp_path / "answers")).count() == 2
+
+
+def test_run_ask_writes_both_outputs_once(spark, tmp_path):
+    from guardrag.plans.ask import run_ask
+    st = store(spark, [("alpha", "A", [1.0, 0.0])])
+    q = spark.createDataFrame([("q", "fund?"), ("o", "cats")], "query_id string, query string")
+    audit, answers = run_ask(q, st, str(tmp_path / "audit"), str(tmp_path / "answers"),
+                             embedder=const_embedder([1.0, 0.0]))
+    assert audit.count() == 2 and answers.count() == 2
+    a = {r["query_id"]: r for r in rows(audit)}
+    b = {r["query_id"]: r for r in rows(answers)}
+    assert all(a[k]["scrubbed_response"] == b[k]["answer"] for k in a)
+    run_ask(q, st, str(tmp_path / "audit"), str(tmp_path / "answers"), embedder=const_embedder([1.0, 0.0]))
+    assert spark.read.parquet(str(tmp_path / "audit")).count() == 4  # append-only
