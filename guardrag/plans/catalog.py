@@ -371,14 +371,16 @@ FROM scored ORDER BY isnan(score), score DESC, chunk_id LIMIT {VECTOR_K}"""
 
 
 def q_topk_zero(spark, d):
-    r = topk_batch(fx.vector_store(spark, d), fx.vector_queries(spark, d), 0)
-    return r.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id",
-                    F.col("score").cast("double").alias("score"))
+    """With k = 0 every question gets an empty ranking (and stays in the output)."""
+    q = fx.vector_queries(spark, d)
+    r = topk_batch(fx.vector_store(spark, d), q, 0)
+    n = r.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_results"))
+    return q.select("query_id").join(n, "query_id", "left").select(
+        "query_id", F.coalesce("n_results", F.lit(0)).cast("bigint").alias("n_results"))
 
 
 SQL_TOPK_ZERO = f"""WITH {fx.SQL_VSTORE}
-SELECT q.query_id, CAST(1 AS BIGINT) AS rank, c.chunk_id, CAST(0.0 AS DOUBLE) AS score
-FROM vquery q JOIN vstore c ON q.query_id = c.chunk_id WHERE false"""
+SELECT query_id, CAST(0 AS BIGINT) AS n_results FROM vquery"""
 
 
 def q_context_sources(spark, d):
