@@ -8,6 +8,7 @@ on the text pattern *i* actually sees, which is what makes findings exact.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -53,9 +54,27 @@ def redact(text: Column | str, pii_type: str) -> Column:
     return F.regexp_replace(_col(text), p.java_regex, p.placeholder)
 
 
-def _literal_count(text: Column, needle: str) -> Column:
-    """Non-overlapping occurrences of a literal (placeholders cannot overlap themselves)."""
-    return F.coalesce(((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / F.lit(len(needle))).cast("int"), F.lit(0))
+# Every placeholder is "[TAG REDACTED]"; one regex finds all of them in one pass.
+_SUFFIX = " REDACTED]"
+assert all(p.placeholder.startswith("[") and p.placeholder.endswith(_SUFFIX) for p in PATTERNS)
+PLACEHOLDER_TAGS: tuple[str, ...] = tuple(p.placeholder[1:-len(_SUFFIX)] for p in PATTERNS)
+PLACEHOLDER_REGEX = r"\[(" + "|".join(re.escape(t) for t in PLACEHOLDER_TAGS) + r") REDACTED\]"
+
+
+def placeholder_counts(text: Column | str) -> Column:
+    """array<int>: occurrences of each placeholder in ``text``, pattern order.
+
+    One regex pass collects the tags; the per-tag counts run over that small
+    array, with it bound once by the outer lambda.
+    """
+    found = F.coalesce(F.regexp_extract_all(_col(text), F.lit(PLACEHOLDER_REGEX), 1), F.array().cast("array<string>"))
+    return F.transform(F.array(found), lambda t: F.array(
+        *[F.size(F.filter(t, lambda x: x == F.lit(tag))) for tag in PLACEHOLDER_TAGS]))[0]
+
+
+def replacement_counts(original: Column | str, scrubbed: Column | str) -> Column:
+    """array<int>: replacements made per pattern = placeholders added by the scrub."""
+    return F.zip_with(placeholder_counts(scrubbed), placeholder_counts(original), lambda a, b: a - b)
 
 
 def scrub_stages(text: Column | str) -> tuple[Column, list[Column]]:
@@ -72,8 +91,8 @@ def scrub_stages(text: Column | str) -> tuple[Column, list[Column]]:
     cur = original
     for p in PATTERNS:
         cur = F.regexp_replace(cur, p.java_regex, p.placeholder)
-    counts = [_literal_count(cur, p.placeholder) - _literal_count(original, p.placeholder) for p in PATTERNS]
-    return cur, counts
+    diff = replacement_counts(original, cur)
+    return cur, [diff[i] for i in range(len(PATTERNS))]
 
 
 def staged_counts(text: Column | str) -> list[Column]:
@@ -129,9 +148,7 @@ def with_scrub(df, text_col: str, prefix: str = "pii"):
     read it from the column, so the regex chain is evaluated once per row."""
     scrubbed, _ = scrub_stages(F.col(text_col))
     out = df.withColumn(f"{prefix}_text", scrubbed)
-    counts = [_literal_count(F.col(f"{prefix}_text"), p.placeholder) - _literal_count(F.col(text_col), p.placeholder)
-              for p in PATTERNS]
-    out = out.withColumn(f"{prefix}_counts", F.array(*counts))
+    out = out.withColumn(f"{prefix}_counts", replacement_counts(F.col(text_col), F.col(f"{prefix}_text")))
     per_type = [F.col(f"{prefix}_counts")[i] for i in range(len(PATTERNS))]
     return out.withColumns(
         {
