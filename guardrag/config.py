@@ -153,6 +153,8 @@ class RetrievalOptions:
 
     chunk_block_rows: int = 200_000
     query_block_rows: int = 20_000
+    # Sample fraction for the exact probe bound; None = automatic for large stores, 0 = off.
+    probe_fraction: float | None = None
 
 
 @dataclass(frozen=True)

@@ -233,6 +233,8 @@ def topk_batch(chunks: DataFrame, queries: DataFrame, k: int, *, query_id: str =
     above ``PROBE_MIN_ROWS`` rows; ``0`` turns it off.
     """
     carry = [c for c in (carry or []) if c not in (chunk_id,)]
+    if probe_fraction is None:
+        probe_fraction = opts.probe_fraction
     spark = chunks.sparkSession
     out = _out_schema(chunks, queries, query_id, chunk_id, carry)
     final_schema = T.StructType([out[query_id], T.StructField("rank", T.IntegerType(), True)]

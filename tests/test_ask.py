@@ -147,3 +147,22 @@ def test_run_ask_writes_both_outputs_once(spark, tmp_path):
     assert all(a[k]["scrubbed_response"] == b[k]["answer"] for k in a)
     run_ask(q, st, str(tmp_path / "audit"), str(tmp_path / "answers"), embedder=const_embedder([1.0, 0.0]))
     assert spark.read.parquet(str(tmp_path / "audit")).count() == 4  # append-only
+
+
+def test_ask_same_under_every_retrieval_plan(spark):
+    from conftest import SF_SMALL
+    from guardrag.config import RetrievalOptions
+    from guardrag.plans import fixtures as fx
+    from guardrag.plans.catalog import AS_OF, document_store
+    st = document_store(spark, SF_SMALL)
+    qs = fx.user_questions(spark, SF_SMALL)
+    as_of = F.to_timestamp(F.lit(AS_OF))
+    cols = ["query_id", "outcome", "scrubbed_response", "sources", "top_confidence_score"]
+
+    def run_with(strategy, retrieval=RetrievalOptions()):
+        a = ask_batch(qs, st, AskOptions(retrieval=retrieval), as_of=as_of, strategy=strategy)
+        return sorted(tuple(r[c] if c != "sources" else tuple(r[c]) for c in cols) for r in a.collect())
+
+    base = run_with("broadcast")
+    assert run_with("blocked", RetrievalOptions(chunk_block_rows=300, query_block_rows=10)) == base
+    assert run_with("broadcast", RetrievalOptions(probe_fraction=0.2)) == base
