@@ -9,20 +9,27 @@ from guardrag.config import ChunkingOptions
 from guardrag.functions.embedding import Embedder, hashing_embedder
 from guardrag.operators.chunking import chunk_documents
 from guardrag.operators.store import validate_chunks, upsert, read_store, write_snapshot
+from guardrag.session import materialize
 
 
 def ingest_documents(docs: DataFrame, *, content_col: str = "content", title_col: str = "title",
                      id_col: str | None = None, chunking: ChunkingOptions = ChunkingOptions(),
                      embedder: Embedder | None = None, expected_dim: int | None = None,
-                     store: DataFrame | None = None, mode: str = "quarantine") -> tuple[DataFrame, DataFrame]:
+                     store: DataFrame | None = None, mode: str = "quarantine",
+                     materialize_embeddings: bool = True) -> tuple[DataFrame, DataFrame]:
     """Chunk, embed and validate. Returns ``(valid_chunks, rejects)``.
 
     Narrow all the way: chunking explodes rows in place, the embedder is a column
     expression, validation a filter. Nothing shuffles until the store write.
+    The embedded chunks are written once (shared checkpoint folder) before
+    validation, so deriving the dimension, the valid rows and the rejects all
+    read them instead of calling the embedder again.
     """
     embedder = embedder or hashing_embedder(64)
     chunks = chunk_documents(docs, content_col, title_col, id_col, chunking)
     chunks = chunks.withColumn("embedding", embedder(F.col("content")))
+    if materialize_embeddings:
+        chunks = materialize(chunks, "ingest-embedded")
     return validate_chunks(chunks, expected_dim, store=store, order_cols=["document_id", "pos"], mode=mode)
 
 
