@@ -5,6 +5,9 @@ import duckdb
 import __spark_entry__ as entry
 from conftest import SF_SMALL
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+          "embeddings", "pages", "benchmark", "labels", "conversations")
+
 
 def test_entry_runs(spark):
     df = entry.entry(spark)
@@ -18,7 +21,7 @@ def test_every_query_has_an_oracle():
 
 def test_oracles_parse_in_duckdb():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     for name, sql in entry.oracle_sql().items():
         con.sql(sql).columns  # binds the statement
@@ -26,7 +29,7 @@ def test_oracles_parse_in_duckdb():
 
 def test_query_columns_match_oracles(spark):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     oracles = entry.oracle_sql()
     for name, fn in entry.queries().items():
