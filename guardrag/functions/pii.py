@@ -64,12 +64,12 @@ PLACEHOLDER_REGEX = r"\[(" + "|".join(re.escape(t) for t in PLACEHOLDER_TAGS) +
 def placeholder_counts(text: Column | str) -> Column:
     """array<int>: occurrences of each placeholder in ``text``, pattern order.
 
-    One regex pass collects the tags; the per-tag counts run over that small
-    array, with it bound once by the outer lambda.
+    One regex pass collects the tags; each count is ``size(tags) - size(tags
+    without that tag)`` — plain functions, no lambdas, so the projection stays
+    in whole-stage codegen and the tag array is computed once per row.
     """
     found = F.coalesce(F.regexp_extract_all(_col(text), F.lit(PLACEHOLDER_REGEX), 1), F.array().cast("array<string>"))
-    return F.transform(F.array(found), lambda t: F.array(
-        *[F.size(F.filter(t, lambda x: x == F.lit(tag))) for tag in PLACEHOLDER_TAGS]))[0]
+    return F.array(*[(F.size(found) - F.size(F.array_remove(found, F.lit(tag)))).cast("int") for tag in PLACEHOLDER_TAGS])
 
 
 def replacement_counts(original: Column | str, scrubbed: Column | str) -> Column:
@@ -88,13 +88,19 @@ def scrub_stages(text: Column | str) -> tuple[Column, list[Column]]:
     every stage). Null text stays null with zero counts.
     """
     original = _col(text)
-    cur = original
-    for p in PATTERNS:
-        cur = F.regexp_replace(cur, p.java_regex, p.placeholder)
+    cur = scrub_text(original)
     diff = replacement_counts(original, cur)
     return cur, [diff[i] for i in range(len(PATTERNS))]
 
 
+def scrub_text(text: Column | str) -> Column:
+    """P9 text only: the eight replacements in order."""
+    cur = _col(text)
+    for p in PATTERNS:
+        cur = F.regexp_replace(cur, p.java_regex, p.placeholder)
+    return cur
+
+
 def staged_counts(text: Column | str) -> list[Column]:
     """Reference form of the counts: pattern i counted on the stage-i text.
     Exponential expression size — for tests on small inputs only."""
@@ -146,13 +152,12 @@ def with_scrub(df, text_col: str, prefix: str = "pii"):
     """DataFrame form of P9/P10: adds ``{prefix}_text``, ``{prefix}_counts`` (one per
     pattern, in order), ``{prefix}_count`` and ``{prefix}_findings``. The scrubbed text is projected first and the counts
     read it from the column, so the regex chain is evaluated once per row."""
-    scrubbed, _ = scrub_stages(F.col(text_col))
-    out = df.withColumn(f"{prefix}_text", scrubbed)
+    out = df.withColumn(f"{prefix}_text", scrub_text(F.col(text_col)))
     out = out.withColumn(f"{prefix}_counts", replacement_counts(F.col(text_col), F.col(f"{prefix}_text")))
     per_type = [F.col(f"{prefix}_counts")[i] for i in range(len(PATTERNS))]
     return out.withColumns(
         {
-            f"{prefix}_count": F.aggregate(f"{prefix}_counts", F.lit(0), lambda a, n: a + n),
+            f"{prefix}_count": total_from_counts(per_type),
             f"{prefix}_findings": findings_from_counts(per_type),
         }
     )

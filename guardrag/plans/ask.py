@@ -92,7 +92,7 @@ def ask_batch(queries: DataFrame, chunks: DataFrame, opts: AskOptions = AskOptio
 
     # Both rejection outcomes in one pass over the questions (built-in expressions only).
     is_long = F.col("outcome") == "too_long"
-    off_topic_q = pii.scrub_stages("query")[0] if opts.scrub_rejected else F.col("query")
+    off_topic_q = pii.scrub_text("query") if opts.scrub_rejected else F.col("query")
     rejected = _audit_row(
         q.filter(F.col("outcome").isNotNull()), random_ids=opts.random_correlation_ids,
         scrubbed_query=F.when(is_long, gates.truncation_marker("query")).otherwise(off_topic_q),

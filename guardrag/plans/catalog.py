@@ -104,7 +104,7 @@ FROM docs_pii"""
 
 def q_pii_scrub(spark, d):
     docs = fx.documents_with_pii(spark, d)
-    return docs.select("doc_id", pii.scrub_stages("text")[0].alias("scrubbed_text"))
+    return docs.select("doc_id", pii.scrub_text("text").alias("scrubbed_text"))
 
 
 SQL_STAGES = f"""WITH {fx.SQL_DOCS_PII},
