@@ -1,7 +1,6 @@
 """Validation, upsert, snapshots."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import rows
 from guardrag.operators.store import read_store, upsert, validate_chunks, write_snapshot
