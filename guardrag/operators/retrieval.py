@@ -17,10 +17,14 @@ Two physical strategies share the cell kernel:
 * ``broadcast`` — when the query block's size is proven small (count × dim,
   checked against ``broadcast_query_bytes``) it is broadcast and the chunk table
   is scanned in place with ``mapInArrow``: chunks are never shuffled.
-* ``blocked`` — otherwise queries are hashed into ``nqb`` blocks and chunks into
-  ``ncb`` blocks; each side is replicated to the cells it takes part in and
+* ``rounds`` — a larger query set is hash-split into blocks under the bound that
+  are broadcast one after another, each round scanning the store in place and
+  writing its candidates; the store is re-read per round but never shuffled.
+* ``blocked`` — queries are hashed into ``nqb`` blocks and chunks into ``ncb``
+  blocks; each side is replicated to the cells it takes part in and
   ``cogroup(...).applyInArrow`` scores one cell per task. Cell size is bounded by
-  ``chunk_block_rows`` × ``query_block_rows`` whatever the table sizes.
+  ``chunk_block_rows`` × ``query_block_rows`` whatever the table sizes. Chosen
+  over ``rounds`` when its estimated shuffle bytes are lower (small stores).
 
 For large stores both run after a probe pass over a sample of the store that
 gives every query a lower bound on its final k-th score (see ``topk_batch``),
@@ -260,12 +264,15 @@ def topk_batch(chunks: DataFrame, queries: DataFrame, k: int, *, query_id: str =
         q = _with_bounds(c, q, k, probe_fraction, query_id, query_vector, chunk_id, chunk_vector, opts, strategy,
                          broadcast_query_bytes)
     query_bytes = n_q * (dmax * 4 + 64)
+    rounds = max(1, math.ceil(query_bytes / broadcast_query_bytes))
     if strategy == "auto":
-        strategy = "broadcast" if query_bytes <= broadcast_query_bytes else "blocked"
+        strategy = "broadcast" if rounds == 1 else _rounds_or_blocked(c, n_q, dmax, carry, rounds, opts)
     if strategy == "broadcast":
-        if query_bytes > broadcast_query_bytes:
-            raise ValueError("query block exceeds the broadcast bound; use strategy='blocked'")
+        if rounds > 1:
+            raise ValueError("query block exceeds the broadcast bound; use strategy='rounds' or 'blocked'")
         cand = _broadcast_cells(c, q, k, query_id, query_vector, chunk_id, chunk_vector, carry, out)
+    elif strategy == "rounds":
+        cand = _rounds_cells(c, q, k, rounds, query_id, query_vector, chunk_id, chunk_vector, carry, out)
     elif strategy == "blocked":
         cand = _blocked_cells(c, q, k, n_q, query_id, query_vector, chunk_id, chunk_vector, carry, out, opts)
     else:
@@ -303,7 +310,7 @@ def _bounds_of(tbl: pa.Table) -> np.ndarray | None:
 
 
 def _broadcast_cells(c: DataFrame, q: DataFrame, k, query_id, query_vector, chunk_id, chunk_vector, carry,
-                     out: T.StructType) -> DataFrame:
+                     out: T.StructType, return_broadcast: bool = False):
     spark = c.sparkSession
     q_tbl = q.toArrow()  # size-checked by the caller
     q_mat = _matrix(q_tbl.column(query_vector), q_tbl.num_rows)
@@ -332,7 +339,51 @@ def _broadcast_cells(c: DataFrame, q: DataFrame, k, query_id, query_vector, chun
         if pending:
             yield _reduce(pending, arrow_schema, k, query_id, chunk_id)
 
-    return c.mapInArrow(scan, out)
+    result = c.mapInArrow(scan, out)
+    return (result, bq) if return_broadcast else result
+
+
+def _rounds_or_blocked(c: DataFrame, n_q: int, dim: int, carry: list[str], rounds: int,
+                       opts: RetrievalOptions) -> str:
+    """Pick the cheaper path for a question set above the broadcast bound.
+
+    rounds: the store is read once per round, in place (no shuffle);
+    blocked: store and questions are shuffled, the store once per question block.
+    Estimated bytes decide; a shuffle byte is counted as three read bytes
+    (write, transfer, read).
+    """
+    n_c = c.count()
+    chunk_bytes = dim * 4 + 64 + (512 if carry else 0)
+    query_row = dim * 4 + 64
+    store_bytes = n_c * chunk_bytes
+    nqb = max(1, math.ceil(n_q / opts.query_block_rows))
+    ncb = max(1, math.ceil(n_c / opts.chunk_block_rows))
+    blocked_bytes = 3 * (store_bytes * nqb + n_q * query_row * ncb)
+    return "rounds" if rounds * store_bytes <= blocked_bytes else "blocked"
+
+
+def _rounds_cells(c: DataFrame, q: DataFrame, k, rounds: int, query_id, query_vector, chunk_id, chunk_vector, carry,
+                  out: T.StructType) -> DataFrame:
+    """Questions above the broadcast bound, in ``rounds`` hash-split blocks.
+
+    Each block is broadcast and the store scanned in place, as in the single
+    broadcast path; the round's candidates are written to the shared checkpoint
+    folder and its broadcast destroyed before the next round, so the driver holds
+    one bounded block at a time and the store is never shuffled.
+    """
+    from guardrag.session import scratch_path
+
+    spark = c.sparkSession
+    paths = []
+    for r in range(rounds):
+        block = q.filter(F.pmod(F.xxhash64(F.col(query_id)), F.lit(rounds)) == F.lit(r))
+        cand, bq = _broadcast_cells(c, block, k, query_id, query_vector, chunk_id, chunk_vector, carry, out,
+                                    return_broadcast=True)
+        path = scratch_path(spark, f"topk-round{r}")
+        cand.write.mode("errorifexists").parquet(path)
+        bq.destroy()
+        paths.append(path)
+    return spark.read.schema(out).parquet(*paths)
 
 
 def _reduce(batches: list[pa.RecordBatch], schema: pa.Schema, k: int, query_id: str, chunk_id: str) -> pa.RecordBatch:

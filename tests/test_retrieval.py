@@ -99,13 +99,14 @@ def test_cosine_matches_plain_python(spark):
     assert exact_cosine(a, b, a2, b2).tolist() == got
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "blocked"])
+@pytest.mark.parametrize("strategy", ["broadcast", "blocked", "rounds"])
 def test_batch_equals_single_search(spark, strategy):
     s = fx.vector_store(spark, SF_CHECK)
     q = fx.vector_queries(spark, SF_CHECK)
     from guardrag.config import RetrievalOptions
     opts = RetrievalOptions(chunk_block_rows=120, query_block_rows=90)  # force many cells
-    batch = rows(topk_batch(s, q, 5, opts=opts, strategy=strategy))
+    bound = 20_000 if strategy == "rounds" else 64 << 20  # 500 questions × 320 B → 8 rounds
+    batch = rows(topk_batch(s, q, 5, opts=opts, strategy=strategy, broadcast_query_bytes=bound))
     got = {}
     for r in batch:
         got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], r["score"]))
@@ -128,9 +129,9 @@ def test_batch_equals_brute_force(spark):
         sc = [(reference_cosine(cv[i].tolist(), qv[j].tolist()), f"c{i:03d}") for i in range(300)]
         sc.sort(key=lambda t: (-t[0], t[1]))
         expect[f"q{j}"] = [(r + 1, cid, sc_) for r, (sc_, cid) in enumerate(sc[:4])]
-    for strategy in ("broadcast", "blocked"):
+    for strategy, bound in (("broadcast", 64 << 20), ("blocked", 64 << 20), ("rounds", 3000), ("auto", 3000)):
         got = {}
-        for r in rows(topk_batch(s, q, 4, strategy=strategy)):
+        for r in rows(topk_batch(s, q, 4, strategy=strategy, broadcast_query_bytes=bound)):
             got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], r["score"]))
         assert {k: sorted(v) for k, v in got.items()} == expect
 
