@@ -155,6 +155,8 @@ class RetrievalOptions:
     query_block_rows: int = 20_000
     # Sample fraction for the exact probe bound; None = automatic for large stores, 0 = off.
     probe_fraction: float | None = None
+    # Largest question block (vectors + ids, bytes) broadcast in one piece.
+    broadcast_query_bytes: int = 64 << 20
 
 
 @dataclass(frozen=True)

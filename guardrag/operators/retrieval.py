@@ -221,7 +221,7 @@ def _emit(schema: pa.Schema, q_tbl: pa.Table, c_tbl: pa.Table, qi, ci, sc, query
 def topk_batch(chunks: DataFrame, queries: DataFrame, k: int, *, query_id: str = "query_id",
                query_vector: str = "embedding", chunk_id: str = "chunk_id", chunk_vector: str = "embedding",
                carry: list[str] | None = None, opts: RetrievalOptions = RetrievalOptions(),
-               strategy: str = "auto", broadcast_query_bytes: int = DEFAULT_BROADCAST_QUERY_BYTES,
+               strategy: str = "auto", broadcast_query_bytes: int | None = None,
                probe_fraction: float | None = None) -> DataFrame:
     """``(query_id, rank, chunk_id, score, *carry)`` — each query's exact top-k chunks.
 
@@ -239,6 +239,8 @@ def topk_batch(chunks: DataFrame, queries: DataFrame, k: int, *, query_id: str =
     carry = [c for c in (carry or []) if c not in (chunk_id,)]
     if probe_fraction is None:
         probe_fraction = opts.probe_fraction
+    if broadcast_query_bytes is None:
+        broadcast_query_bytes = opts.broadcast_query_bytes
     spark = chunks.sparkSession
     out = _out_schema(chunks, queries, query_id, chunk_id, carry)
     final_schema = T.StructType([out[query_id], T.StructField("rank", T.IntegerType(), True)]
