@@ -61,20 +61,27 @@ PLACEHOLDER_TAGS: tuple[str, ...] = tuple(p.placeholder[1:-len(_SUFFIX)] for p i
 PLACEHOLDER_REGEX = r"\[(" + "|".join(re.escape(t) for t in PLACEHOLDER_TAGS) + r") REDACTED\]"
 
 
-def placeholder_counts(text: Column | str) -> Column:
-    """array<int>: occurrences of each placeholder in ``text``, pattern order.
+def placeholder_tags(text: Column | str) -> Column:
+    """array<string>: the tag of every placeholder in ``text``, in order (one regex pass)."""
+    return F.coalesce(F.regexp_extract_all(_col(text), F.lit(PLACEHOLDER_REGEX), 1), F.array().cast("array<string>"))
 
-    One regex pass collects the tags; each count is ``size(tags) - size(tags
-    without that tag)`` — plain functions, no lambdas, so the projection stays
-    in whole-stage codegen and the tag array is computed once per row.
-    """
-    found = F.coalesce(F.regexp_extract_all(_col(text), F.lit(PLACEHOLDER_REGEX), 1), F.array().cast("array<string>"))
-    return F.array(*[(F.size(found) - F.size(F.array_remove(found, F.lit(tag)))).cast("int") for tag in PLACEHOLDER_TAGS])
+
+def counts_from_tags(tags: Column) -> Column:
+    """array<int> per pattern: ``size(tags) - size(tags without that tag)`` — plain functions, no lambdas."""
+    return F.array(*[(F.size(tags) - F.size(F.array_remove(tags, F.lit(tag)))).cast("int") for tag in PLACEHOLDER_TAGS])
+
+
+def placeholder_counts(text: Column | str) -> Column:
+    """array<int>: occurrences of each placeholder in ``text``, pattern order."""
+    return counts_from_tags(placeholder_tags(text))
 
 
 def replacement_counts(original: Column | str, scrubbed: Column | str) -> Column:
     """array<int>: replacements made per pattern = placeholders added by the scrub."""
-    return F.zip_with(placeholder_counts(scrubbed), placeholder_counts(original), lambda a, b: a - b)
+    # Both tag arrays are bound once by the outer lambda; the counts read the bound values.
+    pair = F.struct(placeholder_tags(scrubbed).alias("o"), placeholder_tags(original).alias("i"))
+    return F.transform(F.array(pair), lambda t: F.zip_with(counts_from_tags(t["o"]), counts_from_tags(t["i"]),
+                                                           lambda a, b: a - b))[0]
 
 
 def scrub_stages(text: Column | str) -> tuple[Column, list[Column]]:
@@ -153,7 +160,12 @@ def with_scrub(df, text_col: str, prefix: str = "pii"):
     pattern, in order), ``{prefix}_count`` and ``{prefix}_findings``. The scrubbed text is projected first and the counts
     read it from the column, so the regex chain is evaluated once per row."""
     out = df.withColumn(f"{prefix}_text", scrub_text(F.col(text_col)))
-    out = out.withColumn(f"{prefix}_counts", replacement_counts(F.col(text_col), F.col(f"{prefix}_text")))
+    # The tag arrays are projected once each; the counts then read them as columns.
+    out = out.withColumns({f"_{prefix}_tags_in": placeholder_tags(F.col(text_col)),
+                           f"_{prefix}_tags_out": placeholder_tags(F.col(f"{prefix}_text"))})
+    out = out.withColumn(f"{prefix}_counts", F.zip_with(
+        counts_from_tags(F.col(f"_{prefix}_tags_out")), counts_from_tags(F.col(f"_{prefix}_tags_in")),
+        lambda a, b: a - b)).drop(f"_{prefix}_tags_in", f"_{prefix}_tags_out")
     per_type = [F.col(f"{prefix}_counts")[i] for i in range(len(PATTERNS))]
     return out.withColumns(
         {
