@@ -18,10 +18,10 @@ from guardrag.config import (
     RelevanceOptions,
     RetrievalOptions,
 )
-from guardrag.functions.embedding import constant_embedder, hashing_embedder
+from guardrag.functions.embedding import constant_embedder, hashing_embedder, model_embedder
 from guardrag.functions.gates import is_low_confidence, is_too_long, keyword_count, relevance
 from guardrag.functions.pii import contains_pii, scrub, with_scrub
-from guardrag.functions.safety import output_safety, template_answer, with_output_safety
+from guardrag.functions.safety import model_answerer, output_safety, template_answer, with_output_safety
 from guardrag.functions.similarity import cosine
 from guardrag.operators.chunking import chunk_documents
 from guardrag.operators.retrieval import search, topk_batch
@@ -36,7 +36,7 @@ __all__ = [
     "AskOptions", "ChunkingOptions", "DisclaimerOptions", "IngestionOptions", "QueryOptions", "RelevanceOptions",
     "RetrievalOptions", "answers_of", "ask_batch", "ask_pii_report", "chunk_documents", "constant_embedder",
     "contains_pii", "cosine", "get_spark", "hashing_embedder", "ingest_documents", "ingest_to_store",
-    "is_low_confidence", "is_too_long", "keyword_count", "output_safety", "read_documents", "read_queries",
+    "is_low_confidence", "is_too_long", "keyword_count", "model_answerer", "model_embedder", "output_safety", "read_documents", "read_queries",
     "read_store", "relevance", "run_ask", "scrub", "search", "template_answer", "topk_batch", "upsert",
     "validate_chunks", "with_output_safety", "with_scrub", "write_snapshot",
 ]

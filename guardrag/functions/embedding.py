@@ -13,7 +13,7 @@ A model-backed embedder is an iterator ``pandas_udf`` with that signature.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -70,3 +70,20 @@ def hashing_embedder(dim: int = 64) -> Embedder:
         return bucket_histogram(dim)(token_buckets(text, dim))
 
     return embed
+
+
+def model_embedder(load: Callable[[], Callable[[list[str]], object]]) -> Embedder:
+    """T3a slot for a real model, as an iterator pandas UDF.
+
+    ``load()`` runs once per task (load weights, open a session) and returns
+    ``embed(texts) -> vectors`` (one vector per text), called once per Arrow batch.
+    Null texts are passed as "".
+    """
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            vectors = model(texts.fillna("").tolist())
+            yield pd.Series([np.asarray(v, dtype=np.float32) for v in vectors])
+
+    return lambda text: embed(col_(text))

@@ -166,3 +166,30 @@ def test_ask_same_under_every_retrieval_plan(spark):
     base = run_with("broadcast")
     assert run_with("blocked", RetrievalOptions(chunk_block_rows=300, query_block_rows=10)) == base
     assert run_with("broadcast", RetrievalOptions(probe_fraction=0.2)) == base
+
+
+def test_model_slots(spark):
+    from guardrag.functions.embedding import model_embedder
+    from guardrag.functions.safety import model_answerer
+
+    # Defined inside the test so they are pickled by value (workers cannot import test modules).
+    def char_model():
+        def embed(texts):
+            return [[float(t.count("a")), float(t.count("e")) + 1.0] for t in texts]
+        return embed
+
+    def strict_answerer():
+        def answer(questions, contexts):
+            for q in questions:
+                if "LOWCONF" in q:
+                    raise AssertionError("answer slot called for a low-confidence question")
+            return [f"model says {q} [{len(c)}]" for q, c in zip(questions, contexts)]
+        return answer
+
+    st = store(spark, [("alpha", "A", [0.0, 1.0]), ("beta", "B", [1.0, 0.0])])
+    q = spark.createDataFrame([("hi", "fund eee"), ("lo", "LOWCONF fund ae")], "query_id string, query string")
+    out = {r["query_id"]: r for r in rows(ask_batch(q, st, AskOptions(query=QueryOptions(confidence_threshold=0.99)),
+                                                     embedder=model_embedder(char_model),
+                                                     answerer=model_answerer(strict_answerer)))}
+    assert out["hi"]["outcome"] == "answered" and out["hi"]["scrubbed_response"].startswith("model says fund eee [2]")
+    assert out["lo"]["outcome"] == "low_confidence"
