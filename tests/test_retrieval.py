@@ -170,3 +170,15 @@ def test_score_cell_bounds_drop_only_losers():
     assert sorted(zip(qi, ci)) == sorted(zip(qb, cb))
     qn, cn, _ = score_cell(qm, c, ids, 5, bounds=kth + np.float32(1.0))
     assert len(qn) == 0
+
+
+def test_rounds_with_probe_bound(spark):
+    rng = np.random.default_rng(21)
+    cv = rng.integers(-3, 4, size=(300, 5)).astype(np.float32)
+    qv = rng.integers(-3, 4, size=(60, 5)).astype(np.float32)
+    s = spark.createDataFrame([(f"c{i:03d}", cv[i].tolist()) for i in range(300)], "chunk_id string, embedding array<float>")
+    q = spark.createDataFrame([(f"q{j:02d}", qv[j].tolist()) for j in range(60)], "query_id string, embedding array<float>")
+    plain = sorted(map(tuple, topk_batch(s, q, 3, strategy="broadcast", probe_fraction=0.0).collect()))
+    both = sorted(map(tuple, topk_batch(s, q, 3, strategy="rounds", probe_fraction=0.25,
+                                        broadcast_query_bytes=2000).collect()))
+    assert both == plain and len(plain) == 180
