@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardrag.llm import decontaminate, fingerprint, sharding, url_filter, warc
+from guardrag.llm import decontaminate, fingerprint, language_id, sharding, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.bucket_of(F.col("doc_id"), 3) == 1
+    model = language_id.train(docs.where(~held_out))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__lang_score").alias("score"))
+
+
 def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -36,7 +44,17 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_extendible_sharding, op4_warc_archive, op5_url_filter, op6_decontaminate, op8_fingerprints)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = language_id.bucket_of(F.col("doc_id"), 4) == 2
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    found = toxicity.score_toxicity(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("__toxicity").alias("score"),
+                        (F.col("__toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_extendible_sharding, op4_warc_archive, op5_url_filter, op6_decontaminate,
+                                   op8_fingerprints, op9_toxicity)}
 
 ORACLES = {
     "op2_extendible_sharding": f"""
