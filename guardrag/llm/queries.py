@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardrag.llm import decontaminate, fingerprint, language_id, sharding, toxicity, url_filter, warc
+from guardrag.llm import decontaminate, fingerprint, language_id, sharding, suffix_dedup, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("__bytes").alias("n_bytes"), F.col("__removed").alias("n_removed"), F.col("__spans").alias("n_spans"),
+                        F.sha2("__kept", 256).alias("kept_sha256"))
+
+
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("run", "offset", "merge_range", "merge_pos")
 
@@ -53,7 +59,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("__toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_extendible_sharding, op4_warc_archive, op5_url_filter, op6_decontaminate,
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_extendible_sharding, op3_suffix_dedup, op4_warc_archive, op5_url_filter, op6_decontaminate,
                                    op8_fingerprints, op9_toxicity)}
 
 ORACLES = {
@@ -71,6 +77,27 @@ best AS (
 SELECT doc_id, n_bytes::BIGINT AS n_bytes, depth, CASE WHEN depth = 0 THEN '*' ELSE lpad(bin(prefix), depth, '0') END AS shard_id,
        n_bytes > {sharding.SHARD_LIMIT} AS oversize
 FROM best""",
+    "op3_suffix_dedup": """
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+    SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s
+    FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
+m AS (
+    SELECT r, p FROM (SELECT r, p, doc_id, min(doc_id) OVER (PARTITION BY s) AS first FROM w) WHERE first < doc_id),
+e AS (
+    SELECT r, p, p > coalesce(lag(p) OVER o + 50, -1) AS opens FROM m WINDOW o AS (PARTITION BY r ORDER BY p)),
+spans AS (
+    SELECT r, min(p) AS a, max(p) + 50 AS b FROM (SELECT r, p, sum(opens::INT) OVER (PARTITION BY r ORDER BY p) AS k FROM e) GROUP BY r, k),
+gaps AS (
+    SELECT s.r, s.a, coalesce(lag(s.b) OVER (PARTITION BY s.r ORDER BY s.a), 0) AS begin_at, s.b FROM spans s),
+rest AS (
+    SELECT g.r, sum(g.b - g.a) AS n_removed, count(*) AS n_spans,
+           string_agg(substr(d.h, 2 * begin_at + 1, 2 * (g.a - begin_at)), '' ORDER BY g.a) || substr(any_value(d.h), 2 * max(g.b) + 1) AS kept
+    FROM gaps g JOIN d ON d.r = g.r GROUP BY g.r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN rest USING (r)""",
     "op4_warc_archive": f"""
 WITH p AS (
     SELECT page_id, coalesce(url, '') AS url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
