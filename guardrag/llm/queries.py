@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardrag.llm import decontaminate, fingerprint, jaccard_join, language_id, sharding, suffix_dedup, toxicity, url_filter, warc
+from guardrag.llm import decontaminate, fingerprint, jaccard_join, language_id, packing, sharding, suffix_dedup, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,19 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("__toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE file that the packing query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_extendible_sharding, op3_suffix_dedup, op4_warc_archive, op5_url_filter, op6_decontaminate,
-                                   op7_jaccard_join, op8_fingerprints, op9_toxicity)}
+                                   op7_jaccard_join, op8_fingerprints, op9_toxicity, op10_packing)}
 
 ORACLES = {
     "op2_extendible_sharding": f"""

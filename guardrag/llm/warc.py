@@ -1,7 +1,7 @@
 """WARC archives and their capture index.
 
-``write_archives`` turns pages into WARC/1.1 records (plain text files that Spark's text writer
-stores: one record per row, rows ended by two line breaks). Each file is one locally sorted
+``write_archives`` turns pages into WARC/1.1 records (gzip files that Spark's text writer stores: one record
+per row, rows ended by two line breaks; ``offset`` counts uncompressed bytes). Each file is one locally sorted
 capture run, ordered by (URL key, timestamp, page). Of records with equal payloads of at least
 ``min_revisit`` bytes the one with the largest page id is a response; the others are revisits
 that refer to it and carry no payload.
@@ -11,9 +11,9 @@ one index row per record. ``merge_index`` merges the sorted runs: the key space
 each range task receives the slices of all runs and merges them k-way with a loser tree, which
 gives globally ordered capture histories.
 
-Scale: one range shuffle of the pages places equal URLs near each other and bounds file sizes; the largest
-page per payload digest is a partially aggregated count, joined back on the digest
-(AQE can split a digest that fills a third of the table). The index rows are narrow; a hot URL is split
+Scale: the payload is shuffled once, by page id, into files of about ``file_bytes``; which pages are revisits is found
+on ids and digests alone (a partially aggregated maximum per digest, joined back on the digest,
+which AQE can split when one digest fills a third of the table). The index rows are narrow; a hot URL is split
 between ranges since timestamp and page are part of the key.
 
 Edge cases: null html is an empty payload; a null URL is written as an empty target and sorts first; null page
@@ -24,7 +24,9 @@ a table without rows gives no files and an empty index.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,12 +65,17 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = rows.withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha1("html")})
     # Line breaks would end a header early; they cannot be part of a URL.
     rows = rows.withColumns({"url": F.regexp_replace("url", r"[\r\n]+", " "), "key": F.regexp_replace(url_key(F.col("url")), r"[\r\n]+", " ")})
-    long_ones = rows.where(F.col("size") >= min_revisit)
+    rows = rows.withColumn("name", F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+    total = rows.agg(F.sum(F.col("size") + 600)).first()[0] or 0
+    # Which pages are revisits is found on ids and digests alone; the payload is shuffled once, by page.
+    long_ones = rows.where(F.col("size") >= min_revisit).select("name", "page_id", "digest")
     first = (long_ones.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies"))
              .where((F.col("copies") > 1) & F.col("first").isNotNull()).drop("copies"))
-    rows = rows.join(first, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("size") >= min_revisit)
-    name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    revisits = long_ones.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("name", "digest", "first").distinct()
+    files = max(1, math.ceil(total / file_bytes))
+    rows = rows.repartition(files, "name", "digest").join(revisits, ["name", "digest"], "left")
+    revisit = F.col("first").isNotNull()
+    name = F.col("name")
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     body = F.when(revisit, F.lit("")).otherwise(F.col("html"))
     date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -80,10 +87,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                                  _header("X-Payload-Length", F.col("size").cast("string")))).otherwise(F.lit("")),
         _header("X-Url-Key", F.col("key")), _header("Content-Type", F.lit("text/html; charset=utf-8")),
         _header("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"), body)
-    rows = materialize(rows.select("key", date.alias("date"), "page_id", record.alias("value")), "captures")
-    total = rows.agg(F.sum(F.octet_length("value"))).first()[0] or 0
-    runs = rows.repartitionByRange(max(1, int(total // file_bytes)), F.col("page_id")).sortWithinPartitions("key", "date", "page_id")
-    runs.select("value").write.option("lineSep", END).text(path)
+    runs = rows.select("key", date.alias("date"), "page_id", record.alias("value")).sortWithinPartitions("key", "date", "page_id")
+    runs.select("value").write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[int, dict[bytes, bytes], bytes]]:
@@ -115,7 +120,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for run, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
-                for offset, h, payload in parse_archive(content.as_py()):
+                for offset, h, payload in parse_archive(gzip.decompress(content.as_py())):
                     revisit = h[b"WARC-Type"] == b"revisit"
                     digest = h[b"WARC-Payload-Digest"].removeprefix(b"sha1:").decode()
                     if not revisit and hashlib.sha1(payload).hexdigest() != digest:
