@@ -1,19 +1,69 @@
-"""The corpus pipeline: stages of training-data preparation over ``documents``."""
+"""The corpus pipeline: five stages of training-data preparation over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
+return the columns of ``documents``. ``run`` writes each stage's result as Parquet in the shared
+checkpoint folder and reads it again as the next stage's input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from guardrag.llm import decontaminate, jaccard_join, language_id, packing, queries, suffix_dedup
 from guardrag.session import ensure_checkpoint_dir, materialize, ship_package
 
-STAGES: list = []
+
+def _prepare(spark: SparkSession) -> None:
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language is determined; learn from the rows that name theirs."""
+    _prepare(spark)
+    return language_id.accepted(docs, docs.where(F.col("lang").isNotNull()))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest id."""
+    _prepare(spark)
+    return jaccard_join.keep_first(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut byte strings that a document with a smaller id has too; ``n_chars`` follows the text."""
+    _prepare(spark)
+    return suffix_dedup.deduplicate(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold benchmark passages; the others stay as they are."""
+    _prepare(spark)
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences."""
+    _prepare(spark)
+    return packing.pack(docs, queries.tokenizer_path())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("jaccard_join", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("decontaminate", drop_contaminated),
+    ("packing", pack_sequences),
+]
+
+#: Language identification and packing have no SQL form; tests compare the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each stage's result is written and read again."""
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
+    """Apply all stages to ``documents``."""
+    _prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
