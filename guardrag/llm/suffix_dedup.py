@@ -363,7 +363,7 @@ def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings cut out of the text (whole code points) and its length in ``chars_col`` set anew."""
-    text = F.when(F.col("__had"), F.decode("__kept", F.lit("UTF-8")))
+    text = F.when(F.col("__had"), F.decode("__kept", "UTF-8"))
     found = remove_repeats(docs.withColumn("__had", F.col(f"`{text_col}`").isNotNull()), key_col, text_col, length, whole_characters=True)
     columns = [text.alias(c) if c == text_col else F.when(F.col("__had") & (F.col("__removed") > 0), F.length(text)).otherwise(F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c)
                if c == chars_col else F.col(f"`{c}`") for c in docs.columns]
