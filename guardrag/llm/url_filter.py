@@ -15,7 +15,8 @@ shuffle join beyond it. Work runs per distinct URL, so one URL that
 fills a third of the table is judged once; the verdict returns by an equi-join that AQE can split.
 
 Edge cases: a URL that is null or lacks ``://`` has empty host and path and gets the
-default verdict; repeated rows get equal verdicts; an empty table gives an empty result.
+default verdict; repeated rows get equal verdicts; an empty table gives an empty result; columns
+of the input named like a result (host, path, rule, verdict) are replaced.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
             .groupBy("__host", "__path")
             .agg(F.max(F.struct("rank", "action", "rule")).alias("__best"))
             .select("__host", "__path", F.col("__best.rule").alias("__rule"), F.col("__best.action").alias("__action")))
-    kept = [F.col(f"`{c}`") for c in urls.columns]
+    kept = [F.col(f"`{c}`") for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     return (urls.select(*kept, url_host(u).alias("__host"), url_path(u).alias("__path"))
             .join(fits, ["__host", "__path"], "left")
             .select(*kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"),
