@@ -81,7 +81,10 @@ def _gram_text(v: int) -> bytes:
 
 
 def toxic_segments(toxic: list[bytes], ordinary: list[bytes], cover: int = COVER) -> list[bytes]:
-    """Strings that cover the toxic documents ``cover`` times and are at most a twentieth as common in ordinary ones."""
+    """Strings that cover the toxic documents ``cover`` times and are at most a twentieth as common in ordinary ones.
+
+    Greedy: the gram that most documents still need is grown to a string; grams inside chosen strings no longer count.
+    """
     least = max(3, round(0.004 * len(toxic)))
     sets = [_grams(t) for t in toxic]
     values, counts = np.unique(np.concatenate(sets), return_counts=True)
@@ -102,42 +105,41 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes], cover: int = COVER
     need = np.full(len(toxic), cover)
     heap = [(-len(d), v) for v, d in holders.items()]
     heapq.heapify(heap)
+    text = b"\n" + b"\n".join(toxic) + b"\n"
     out: list[bytes] = []
+    inside: set[int] = set()
     while heap and len(out) < MAX_SEGMENTS:
         _, v = heapq.heappop(heap)
         gain = int((need[holders[v]] > 0).sum())
-        if gain < least:
+        if gain < least or v in inside:
             continue
         if heap and gain < -heap[0][0]:
             heapq.heappush(heap, (-gain, v))
             continue
-        out.append(_gram_text(v))
+        grown = _grow(_gram_text(v), text)
+        out.append(grown)
+        inside.update(_grams(grown).tolist())
         need[holders[v]] -= 1
-    return out
-
-
-def extend_segments(segments: list[bytes], toxic: list[bytes], share: float = 0.9, longest: int = 24) -> list[bytes]:
-    """Grow each string while ``share`` of its occurrences in toxic text go on alike, up to whole words; drop those inside others."""
-    text = b"\n" + b"\n".join(toxic) + b"\n"
-    out: list[bytes] = []
-    for s in segments:
-        while len(s) < longest:
-            before, after, at = Counter(), Counter(), text.find(s)
-            while at >= 0 and sum(after.values()) < 400:
-                before[text[at - 1:at]] += 1
-                after[text[at + len(s):at + len(s) + 1]] += 1
-                at = text.find(s, at + 1)
-            (left, n_left), (right, n_right) = before.most_common(1)[0], after.most_common(1)[0]
-            enough = share * sum(after.values())
-            if not s.startswith(b" ") and left != b"\n" and n_left >= enough:
-                s = left + s
-            elif not (s.startswith(b" ") and s.endswith(b" ")) and right != b"\n" and n_right >= enough:
-                s = s + right
-            else:
-                break
-        if s not in out:
-            out.append(s)
-    return [s for s in out if not any(s != t and s in t for t in out)]
+    return [s for s in dict.fromkeys(out) if not any(s != t and s in t for t in out)]
+
+
+def _grow(s: bytes, text: bytes, share: float = 0.9, longest: int = 24) -> bytes:
+    """Extend a string while ``share`` of its occurrences go on alike, up to a whole word."""
+    while len(s) < longest:
+        before, after, at = Counter(), Counter(), text.find(s)
+        while at >= 0 and sum(after.values()) < 400:
+            before[text[at - 1:at]] += 1
+            after[text[at + len(s):at + len(s) + 1]] += 1
+            at = text.find(s, at + 1)
+        (left, n_left), (right, n_right) = before.most_common(1)[0], after.most_common(1)[0]
+        enough = share * sum(after.values())
+        if not s.startswith(b" ") and left != b"\n" and n_left >= enough:
+            s = left + s
+        elif not (s.startswith(b" ") and s.endswith(b" ")) and right != b"\n" and n_right >= enough:
+            s = s + right
+        else:
+            break
+    return s
 
 
 class Compressors:
@@ -221,7 +223,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     folded = [[fold(t) for t in texts] for texts in (toxic, ordinary)]
     learn = [[t for i, t in enumerate(texts) if i % 3 or len(texts) < 3] for texts in folded]
     check = [[t for i, t in enumerate(texts) if i % 3 == 0] for texts in folded]
-    segments = extend_segments(toxic_segments(*learn), learn[0])
+    segments = toxic_segments(*learn)
     counts = Counter(w for t in learn[1] for w in t.split())
     base, size = [], 0
     for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
