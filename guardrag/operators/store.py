@@ -1,18 +1,23 @@
 """Chunk store: validation (T4), upsert (S5) and immutable snapshots.
 
-The store is a directory of parquet snapshots plus an append-only log naming
-them; the latest entry is current. A write never touches the snapshot being
-read, so readers always see a consistent table, and a failed write leaves the
-previous snapshot current.
+The store is a directory of parquet folders, one per key bucket and commit, plus a
+log of manifests naming them; the latest manifest is current. A write never
+touches a folder being read, so readers always see a consistent table, and a
+failed write leaves the previous version current.
 """
 
 from __future__ import annotations
 
-import time
+import json
 import uuid
+from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from guardrag.session import materialize
 
 REJECT_EMPTY_EMBEDDING = "empty_embedding"
 REJECT_EMPTY_ID = "empty_id"
@@ -80,68 +85,162 @@ def validate_chunks(chunks: DataFrame, expected_dim: int | None = None, *, store
     return tagged.filter(F.col("reason").isNull()).drop("reason"), tagged.filter(F.col("reason").isNotNull())
 
 
-# Largest update batch whose keys are broadcast to resolve an upsert without
-# shuffling the stored snapshot (rows; 32-hex ids make this about 50 MiB).
-BROADCAST_KEYS_LIMIT = 1_000_000
-
-
 def _latest(rows: DataFrame, key: str, seq_col: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col(seq_col).desc_nulls_last(), F.col("_src").desc())
+    others = [c for c in rows.columns if c not in (key, seq_col, "_src")]
+    w = Window.partitionBy(key).orderBy(F.col(seq_col).desc_nulls_last(), F.col("_src").desc(), F.xxhash64(*others) if others else F.lit(0))
     return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "_src")
 
 
 def upsert(existing: DataFrame | None, updates: DataFrame, key: str = "chunk_id",
-           seq_col: str = "ingest_seq", broadcast_keys_limit: int = BROADCAST_KEYS_LIMIT) -> DataFrame:
+           seq_col: str = "ingest_seq") -> DataFrame:
     """Insert-or-replace by ``key``; the highest ``seq_col`` wins, and on equal
     sequence an update beats the stored row.
 
-    When the update batch is small (counted, at most ``broadcast_keys_limit`` rows)
-    its keys are broadcast: stored rows with untouched keys pass through without a
-    shuffle, and only the touched rows meet the updates in the window. Otherwise
-    store and updates are shuffled together on ``key``.
+    The result holds one row per key whatever the batch size: repeated keys on either
+    side collapse, and a null key is one key like any other. ``upsert_store`` applies
+    it to the touched buckets of a stored snapshot only.
     """
     upd = updates.withColumn("_src", F.lit(1))
     if existing is None:
         return _latest(upd, key, seq_col)
-    old = existing.withColumn("_src", F.lit(0))
-    if updates.count() <= broadcast_keys_limit:
-        keys = F.broadcast(updates.select(key).distinct())
-        touched = old.join(keys, key, "left_semi")
-        untouched = old.join(keys, key, "left_anti").drop("_src")
-        return untouched.unionByName(_latest(touched.unionByName(upd), key, seq_col))
-    return _latest(old.unionByName(upd), key, seq_col)
+    return _latest(existing.withColumn("_src", F.lit(0)).unionByName(upd), key, seq_col)
 
 
 # ---------------------------------------------------------------------------
-# Snapshot directories
+# Snapshots: a log of manifests, each naming one immutable folder per key bucket
 # ---------------------------------------------------------------------------
 
-LOG = "_snapshots"
+LOG = "_log"
+DEFAULT_BUCKETS = 32
 
 
-def write_snapshot(df: DataFrame, root: str, partitions: int | None = None, key: str = "chunk_id") -> str:
-    """Write ``df`` as a new snapshot under ``root``, then append its path to the
-    snapshot log. Nothing is overwritten or deleted: a failure before the log
-    append leaves the previous snapshot current; readers never see a gap."""
-    spark = df.sparkSession
-    path = f"{root.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
-    out = df.repartition(partitions, key) if partitions else df
-    out.write.mode("errorifexists").parquet(path)
-    entry = spark.createDataFrame([(time.time_ns(), path)], "version long, path string")
-    entry.coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/{LOG}")
-    return path
+class ConcurrentCommit(RuntimeError):
+    """Another writer committed the version this one was about to commit."""
 
 
-def current_snapshot(spark: SparkSession, root: str) -> str | None:
-    """Path of the latest committed snapshot, or None for an empty store."""
-    try:
-        log = spark.read.parquet(f"{root.rstrip('/')}/{LOG}")
-    except Exception:  # no log yet: empty store
-        return None
-    row = log.orderBy(F.col("version").desc(), F.col("path").desc()).select("path").first()
-    return None if row is None else row[0]
+@dataclass(frozen=True)
+class Manifest:
+    """A committed version: the folder of every non-empty bucket, relative to the store."""
+
+    version: int
+    buckets: int
+    schema: str
+    paths: dict[str, str]
+    rejects: str | None = None
+
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
-def read_store(spark: SparkSession, root: str) -> DataFrame | None:
-    path = current_snapshot(spark, root)
-    return None if path is None else spark.read.parquet(path)
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Committed versions. Only an absent log is an empty store; any other failure is raised."""
+    fs, path = _hadoop(spark, f"{root.rstrip('/')}/{LOG}")
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
+
+
+def read_manifest(spark: SparkSession, root: str, version: int | None = None) -> Manifest | None:
+    """The latest (or the given) committed version; None for a store that was never written."""
+    known = _versions(spark, root)
+    if not known:
+        return None
+    version = known[-1] if version is None else version
+    text = spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/{LOG}/{version:020d}.json").first()
+    if text is None:
+        raise ValueError(f"store log entry {version} under {root!r} is empty")
+    return Manifest(**json.loads(text[0]))
+
+
+def _commit(spark: SparkSession, root: str, manifest: Manifest) -> None:
+    """Publish a manifest by writing it aside and renaming it, which fails if the version exists."""
+    base = f"{root.rstrip('/')}/{LOG}"
+    fs, aside = _hadoop(spark, f"{base}/.{uuid.uuid4().hex}")
+    fs.mkdirs(aside.getParent())
+    out = fs.create(aside, False)
+    out.write(bytearray(json.dumps(asdict(manifest)).encode()))
+    out.close()
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{base}/{manifest.version:020d}.json")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(fs.makeQualified(aside), fs.makeQualified(target), none)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
+            fs.delete(aside, False)
+            raise ConcurrentCommit(f"version {manifest.version} of {root!r} was committed by another writer") from e
+        raise
+
+
+def _read_buckets(spark: SparkSession, root: str, manifest: Manifest, buckets: list[int] | None = None) -> DataFrame:
+    schema = T.StructType.fromJson(json.loads(manifest.schema))
+    wanted = manifest.paths if buckets is None else {b: p for b, p in manifest.paths.items() if int(b) in set(buckets)}
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{root.rstrip('/')}/{p}" for p in wanted.values()])
+
+
+def upsert_store(updates: DataFrame, root: str, *, key: str = "chunk_id", seq_col: str = "ingest_seq",
+                 rejects: DataFrame | None = None, buckets: int = DEFAULT_BUCKETS, base: Manifest | None | bool = True) -> int:
+    """Commit ``updates`` as the next version of the store and return that version.
+
+    Rows live in ``buckets`` hash buckets of the key; only the buckets that the batch touches are read,
+    merged and written anew, the others keep their folders. Nothing is overwritten: a failure before the
+    commit leaves the previous version current. Without ``seq_col`` in the updates the version is the
+    sequence, so later commits win even when a stream starts over with a new checkpoint.
+    ``base`` is the version the caller read (the latest if left out); if another
+    writer commits in between, ``ConcurrentCommit`` is raised and the store is as that writer left it.
+    """
+    spark = updates.sparkSession
+    root = root.rstrip("/")
+    base = read_manifest(spark, root) if base is True else base
+    version, n = (base.version + 1, base.buckets) if base else (1, buckets)
+    if seq_col not in updates.columns:
+        updates = updates.withColumn(seq_col, F.lit(version).cast("bigint"))
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+    batch = materialize(updates, "store-batch")
+    touched = sorted(r[0] for r in batch.select(bucket.alias("b")).distinct().collect())  # at most ``buckets`` numbers
+    merged = upsert(_read_buckets(spark, root, base, touched) if base else None, batch, key, seq_col)
+    commit = uuid.uuid4().hex
+    if touched:
+        merged.withColumn("_bucket", bucket).hint("rebalance", "_bucket").write.mode("errorifexists").partitionBy("_bucket").parquet(f"{root}/data/{commit}")
+    kept = None
+    if rejects is not None:
+        kept = f"rejects/{commit}"
+        rejects.write.mode("errorifexists").parquet(f"{root}/{kept}")
+    paths = (base.paths if base else {}) | {str(b): f"data/{commit}/_bucket={b}" for b in touched}
+    _commit(spark, root, Manifest(version, n, base.schema if base else updates.schema.json(), paths, kept))
+    return version
+
+
+def write_snapshot(df: DataFrame, root: str, key: str = "chunk_id", buckets: int = DEFAULT_BUCKETS) -> int:
+    """Commit ``df`` as the whole content of the next version."""
+    spark = df.sparkSession
+    base = read_manifest(spark, root)
+    n = base.buckets if base else buckets
+    commit = uuid.uuid4().hex
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+    path = f"{root.rstrip('/')}/data/{commit}"
+    df.withColumn("_bucket", bucket).hint("rebalance", "_bucket").write.mode("errorifexists").partitionBy("_bucket").parquet(path)
+    fs, p = _hadoop(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    paths = {d.removeprefix("_bucket="): f"data/{commit}/{d}" for d in names if d.startswith("_bucket=")}
+    version = (base.version if base else 0) + 1
+    _commit(spark, root, Manifest(version, n, df.schema.json(), paths))
+    return version
+
+
+def read_store(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
+    """A committed version (the latest by default); None for a store that was never written."""
+    manifest = read_manifest(spark, root, version)
+    return None if manifest is None else _read_buckets(spark, root.rstrip("/"), manifest)
+
+
+def read_rejects(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
+    """The rows that a commit refused, with their reason; None if it kept no rejects."""
+    manifest = read_manifest(spark, root, version)
+    return None if manifest is None or manifest.rejects is None else spark.read.parquet(f"{root.rstrip('/')}/{manifest.rejects}")

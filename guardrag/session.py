@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -65,7 +67,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster "
                                f"(master={master!r}); a machine-local scratch folder would not survive executor loss")
         configured = tempfile.mkdtemp(prefix="guardrag-ckpt-")
@@ -81,6 +83,47 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """What a run creates for itself: written intermediate tables and broadcasts."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.broadcasts = spark, [], []
+
+    def release(self) -> None:
+        """Delete the tables and destroy the broadcasts; nothing may read them any more."""
+        for broadcast in self.broadcasts:
+            broadcast.destroy()
+        for path in self.paths:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.paths, self.broadcasts = [], []
+
+
+_scratch: ContextVar[Scratch | None] = ContextVar("guardrag_scratch", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Release at the end what ``materialize`` writes and ``track`` is given inside.
+
+    For runs that write their results before the scope ends, such as a streaming micro-batch.
+    """
+    scratch = Scratch(spark)
+    token = _scratch.set(scratch)
+    try:
+        yield scratch
+    finally:
+        _scratch.reset(token)
+        scratch.release()
+
+
+def track(broadcast):
+    """Leave a broadcast to the enclosing scratch scope, if there is one."""
+    if (scratch := _scratch.get()) is not None:
+        scratch.broadcasts.append(broadcast)
+    return broadcast
+
+
 def materialize(df, name: str):
     """Write ``df`` as a parquet table in the shared checkpoint folder and read it back.
 
@@ -88,5 +131,7 @@ def materialize(df, name: str):
     plan) and is columnar, unlike ``DataFrame.checkpoint``'s row serialisation.
     """
     path = scratch_path(df.sparkSession, name)
+    if (scratch := _scratch.get()) is not None:
+        scratch.paths.append(path)
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

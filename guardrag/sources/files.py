@@ -30,11 +30,12 @@ def read_documents(spark: SparkSession, path: str, extensions: tuple[str, ...] =
 
 
 def stream_documents(spark: SparkSession, path: str, extensions: tuple[str, ...] = (".txt", ".md"),
-                     max_files_per_trigger: int | None = None) -> DataFrame:
+                     max_files_per_trigger: int | None = None, recursive: bool = True) -> DataFrame:
     """Streaming form of ``read_documents``: each new file is read once (the
     checkpoint of the consuming query records which files were ingested)."""
     reader = (spark.readStream.format("text").option("wholetext", True)
-              .option("pathGlobFilter", extension_glob(extensions)))
+              .option("pathGlobFilter", extension_glob(extensions))
+              .option("recursiveFileLookup", recursive))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return _project(reader.load(path))

@@ -3,7 +3,9 @@
 A file stream with ``foreachBatch``: the checkpoint records which files were
 already ingested (skip-already-ingested), the trigger is the polling interval.
 Each micro-batch upserts into the snapshot store; chunk and document ids are
-content-derived, so a replayed batch rewrites the same rows.
+content-derived, so a replayed batch rewrites the same rows. The commit's version is
+the sequence, so a stream that starts over with a new checkpoint still wins over older
+rows. Rejected chunks are kept with each commit (``read_rejects``).
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from guardrag.config import ChunkingOptions, IngestionOptions
 from guardrag.plans.ingest import ingest_to_store
+from guardrag.session import scratch_scope
 from guardrag.sources.files import read_documents, stream_documents
 
 
@@ -22,8 +25,8 @@ def start_ingest_stream(spark: SparkSession, store_root: str, checkpoint: str,
     docs = stream_documents(spark, opts.source_path, opts.file_extensions)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        ingest_to_store(df, store_root, ingest_seq=batch_id, content_col="content", title_col="title",
-                        chunking=chunking, **ingest_kwargs)
+        with scratch_scope(df.sparkSession):
+            ingest_to_store(df, store_root, content_col="content", title_col="title", chunking=chunking, **ingest_kwargs)
 
     writer = docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
@@ -31,13 +34,13 @@ def start_ingest_stream(spark: SparkSession, store_root: str, checkpoint: str,
     return writer.start()
 
 
-def ingest_folder(spark: SparkSession, store_root: str, ingest_seq: int, opts: IngestionOptions = IngestionOptions(),
-                  chunking: ChunkingOptions = ChunkingOptions(), **ingest_kwargs) -> str:
-    """Skip-already-ingested off: re-read the whole folder as one batch."""
+def ingest_folder(spark: SparkSession, store_root: str, ingest_seq: int | None = None, opts: IngestionOptions = IngestionOptions(),
+                  chunking: ChunkingOptions = ChunkingOptions(), **ingest_kwargs) -> int:
+    """Skip-already-ingested off: re-read the whole folder as one batch. Returns the committed version."""
     docs = read_documents(spark, opts.source_path, opts.file_extensions)
-    path, _ = ingest_to_store(docs, store_root, ingest_seq, content_col="content", title_col="title",
-                              chunking=chunking, **ingest_kwargs)
-    return path
+    version, _ = ingest_to_store(docs, store_root, ingest_seq, content_col="content", title_col="title",
+                                 chunking=chunking, **ingest_kwargs)
+    return version
 
 
 def start_chunk_stream(stream: DataFrame, transform, sink: str, checkpoint: str) -> StreamingQuery:

@@ -1,16 +1,18 @@
 """File and JSON sources, folder ingestion stream, question stream."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, rows
 from guardrag.config import IngestionOptions
 from guardrag.functions.embedding import hashing_embedder
-from guardrag.operators.store import read_store
+from guardrag.operators.store import read_rejects, read_store
 from guardrag.plans import fixtures as fx
 from guardrag.plans.ask import ask_batch
 from guardrag.plans.catalog import AS_OF, document_store
+from guardrag.session import ensure_checkpoint_dir
 from guardrag.sources.files import read_documents
 from guardrag.sources.queries import read_queries, stream_queries
 from guardrag.streaming.ask import start_ask_stream
@@ -55,8 +57,8 @@ def test_folder_reingest_is_idempotent(spark, tmp_path):
     src, store_root = tmp_path / "src", str(tmp_path / "store")
     write_files(src, {"a.txt": "One.\n\nTwo."})
     opts = IngestionOptions(source_path=str(src), skip_already_ingested=False)
-    ingest_folder(spark, store_root, 1, opts)
-    ingest_folder(spark, store_root, 2, opts)
+    ingest_folder(spark, store_root, opts=opts)
+    ingest_folder(spark, store_root, opts=opts)
     st = read_store(spark, store_root)
     assert st.count() == 1 and st.first()["ingest_seq"] == 2
 
@@ -84,3 +86,30 @@ def test_json_query_stream(spark, tmp_path):
                      available_now=True, embedder=hashing_embedder(64)).awaitTermination()
     out = rows(spark.read.parquet(str(tmp_path / "audit")))
     assert [r["query_id"] for r in out] == ["a"]
+
+
+def test_stream_reads_nested_folders_and_a_new_checkpoint_wins(spark, tmp_path):
+    src, store_root = tmp_path / "src", str(tmp_path / "store")
+    write_files(src / "deep" / "er", {"a.txt": "Old text."})
+    opts = IngestionOptions(source_path=str(src))
+    start_ingest_stream(spark, store_root, str(tmp_path / "ck1"), opts, available_now=True).awaitTermination()
+    assert [r["content"] for r in rows(read_store(spark, store_root))] == ["Old text.\n"]
+    assert read_rejects(spark, store_root).count() == 0
+    first = read_store(spark, store_root).first()["ingest_seq"]
+    start_ingest_stream(spark, store_root, str(tmp_path / "ck2"), opts, available_now=True).awaitTermination()
+    assert read_store(spark, store_root).first()["ingest_seq"] > first
+
+
+def test_micro_batches_leave_no_scratch_tables(spark, tmp_path):
+    scratch = os.path.join(ensure_checkpoint_dir(spark).removeprefix("file:"), "")
+    d = tmp_path / "qin"
+    d.mkdir()
+    for i in range(3):
+        (d / f"{i}.json").write_text(json.dumps({"query_id": f"q{i}", "query": "fund yield?"}))
+    st = spark.createDataFrame([("c0", "alpha", "A", [1.0] * 64)],
+                               "chunk_id string, content string, title string, embedding array<float>")
+    before = set(os.listdir(scratch))
+    stream = spark.readStream.schema("query_id string, query string").option("maxFilesPerTrigger", 1).json(str(d))
+    start_ask_stream(stream, st, str(tmp_path / "audit"), str(tmp_path / "ck"), available_now=True).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "audit")).count() == 3
+    assert {n for n in set(os.listdir(scratch)) - before if "ask" in n or "topk" in n} == set()

@@ -3,7 +3,16 @@
 import pytest
 
 from conftest import rows
-from guardrag.operators.store import read_store, upsert, validate_chunks, write_snapshot
+from guardrag.operators.store import (
+    ConcurrentCommit,
+    read_manifest,
+    read_rejects,
+    read_store,
+    upsert,
+    upsert_store,
+    validate_chunks,
+    write_snapshot,
+)
 
 SCHEMA = "chunk_id string, document_id string, pos int, embedding array<float>"
 
@@ -46,25 +55,81 @@ def test_upsert_last_write_wins(spark):
     assert got == {"a": "new-a", "b": "old-b", "c": "newer-c"}
 
 
-def test_snapshot_pointer(spark, tmp_path):
+def test_snapshot_versions(spark, tmp_path):
     root = str(tmp_path / "store")
     assert read_store(spark, root) is None
     df1 = spark.createDataFrame([("a", 1)], "chunk_id string, ingest_seq long")
-    p1 = write_snapshot(df1, root)
+    v1 = write_snapshot(df1, root)
     assert read_store(spark, root).count() == 1
-    df2 = upsert(read_store(spark, root), spark.createDataFrame([("b", 2)], "chunk_id string, ingest_seq long"))
-    p2 = write_snapshot(df2, root)
-    assert p1 != p2 and read_store(spark, root).count() == 2
-    assert spark.read.parquet(p1).count() == 1  # the old snapshot is untouched
+    v2 = upsert_store(spark.createDataFrame([("b", 2)], "chunk_id string, ingest_seq long"), root)
+    assert (v1, v2) == (1, 2) and read_store(spark, root).count() == 2
+    assert read_store(spark, root, v1).count() == 1  # the old version is untouched
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_upsert_paths_agree(spark, limit):
+def test_upsert_collapses_null_and_repeated_keys(spark):
+    old = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), (None, 1, "n1"), ("b", 1, "b1")], "chunk_id string, ingest_seq long, v string")
+    new = spark.createDataFrame([("b", 2, "b2"), (None, 2, "n2"), (None, 0, "n0")], "chunk_id string, ingest_seq long, v string")
+    got = sorted(((r["chunk_id"] or "", r["v"]) for r in rows(upsert(old, new))))
+    assert got == [("", "n2"), ("a", "y"), ("b", "b2")]
+
+
+def test_stored_upsert_equals_the_frame_upsert(spark, tmp_path):
     old = spark.range(0, 50).selectExpr("cast(id as string) AS chunk_id", "1L AS ingest_seq", "'old' AS v")
     new = spark.range(40, 60).selectExpr("cast(id as string) AS chunk_id",
                                          "CASE WHEN id % 2 = 0 THEN 2L ELSE 0L END AS ingest_seq", "'new' AS v")
-    got = {r["chunk_id"]: r["v"] for r in rows(upsert(old, new, broadcast_keys_limit=limit))}
-    assert len(got) == 60
-    assert all(got[str(i)] == "old" for i in range(40))
-    assert all(got[str(i)] == ("new" if i % 2 == 0 else "old") for i in range(40, 50))
-    assert all(got[str(i)] == "new" for i in range(50, 60))
+    root = str(tmp_path / "store")
+    upsert_store(old, root, buckets=5)
+    upsert_store(new, root)
+    stored, framed = ({r["chunk_id"]: r["v"] for r in rows(df)} for df in (read_store(spark, root), upsert(old, new)))
+    assert stored == framed and len(stored) == 60
+    assert all(stored[str(i)] == ("new" if i >= 50 or i >= 40 and i % 2 == 0 else "old") for i in range(60))
+
+
+def test_a_commit_rewrites_touched_buckets_only(spark, tmp_path):
+    root = str(tmp_path / "store")
+    upsert_store(spark.range(500).selectExpr("cast(id as string) AS chunk_id", "id AS v"), root, buckets=100)
+    before = read_manifest(spark, root)
+    upsert_store(spark.createDataFrame([("7", -7)], "chunk_id string, v long"), root)
+    after = read_manifest(spark, root)
+    changed = [b for b in after.paths if before.paths.get(b) != after.paths[b]]
+    assert len(changed) == 1 and read_store(spark, root).count() == 500
+    assert read_store(spark, root).filter("chunk_id = '7'").first()["v"] == -7
+
+
+def test_the_version_is_the_sequence(spark, tmp_path):
+    root = str(tmp_path / "store")
+    for v in (1, 2, 3):
+        assert upsert_store(spark.createDataFrame([("a", f"v{v}")], "chunk_id string, t string"), root) == v
+    assert [(r["t"], r["ingest_seq"]) for r in rows(read_store(spark, root))] == [("v3", 3)]
+
+
+def test_two_writers_on_one_version(spark, tmp_path):
+    root = str(tmp_path / "store")
+    upsert_store(spark.createDataFrame([("a", 1)], "chunk_id string, v long"), root)
+    base = read_manifest(spark, root)
+    upsert_store(spark.createDataFrame([("b", 2)], "chunk_id string, v long"), root, base=base)
+    with pytest.raises(ConcurrentCommit):
+        upsert_store(spark.createDataFrame([("c", 3)], "chunk_id string, v long"), root, base=base)
+    assert sorted(r["chunk_id"] for r in rows(read_store(spark, root))) == ["a", "b"]
+
+
+def test_a_torn_log_is_an_error_not_an_empty_store(spark, tmp_path):
+    root = tmp_path / "store"
+    upsert_store(spark.createDataFrame([("a", 1)], "chunk_id string, v long"), str(root))
+    entry = next(p for p in (root / "_log").iterdir() if p.name.endswith(".json") and not p.name.startswith("."))
+    for text in ("", '{"version": 1, "buck'):
+        entry.write_text(text)
+        (root / "_log" / f".{entry.name}.crc").unlink(missing_ok=True)
+        with pytest.raises(Exception):
+            read_store(spark, str(root))
+        with pytest.raises(Exception):
+            upsert_store(spark.createDataFrame([("b", 1)], "chunk_id string, v long"), str(root))
+
+
+def test_empty_batches_and_rejects(spark, tmp_path):
+    root = str(tmp_path / "store")
+    none = spark.createDataFrame([], "chunk_id string, v long")
+    assert upsert_store(none, root) == 1 and read_store(spark, root).count() == 0 and read_rejects(spark, root) is None
+    bad = spark.createDataFrame([("x", "empty_id")], "chunk_id string, reason string")
+    upsert_store(spark.createDataFrame([("a", 1)], "chunk_id string, v long"), root, rejects=bad)
+    assert [r["reason"] for r in rows(read_rejects(spark, root))] == ["empty_id"] and read_store(spark, root).count() == 1
