@@ -1,8 +1,9 @@
-"""Paragraph chunking as higher-order column expressions.
+"""Paragraph chunking (T1a, T1b): an Arrow function, one linear pass per document.
 
-The packer is a left fold over the paragraph array (``aggregate``) whose state is
-``(cur, out)``: the open buffer and the chunks emitted so far. It runs inside one
-row, so a document is chunked wherever it lives, with no shuffle.
+A document is chunked wherever it lives, with no shuffle. The fold copies each
+character a bounded number of times, so time grows with the text, also for documents of many
+megabytes (built-in array functions copy their array for every chunk). Lengths count
+UTF-16 units: a character outside the basic plane counts two.
 
 Rules reproduced exactly:
 * a paragraph is never split; the size test ignores the appended newline;
@@ -15,12 +16,18 @@ Rules reproduced exactly:
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from guardrag.config import ChunkingOptions
 from guardrag.functions.text import col_, literal_split_regex
 
+_ASTRAL = re.compile("[\U00010000-\U0010FFFF]")
+
 
 def split_paragraphs(text: Column | str, separator: str = "\n\n") -> Column:
     """Split on a literal separator and drop zero-length pieces (no trimming)."""
@@ -28,27 +35,65 @@ def split_paragraphs(text: Column | str, separator: str = "\n\n") -> Column:
     return F.filter(pieces, lambda p: F.length(p) > 0)
 
 
-def pack_chunks(paragraphs: Column, max_len: int = 500, overlap: int = 50) -> Column:
-    """Greedy ordered packing of paragraphs into chunk strings (array<string>)."""
-    nl = F.lit("\n")
-    init = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
+def utf16_units(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + len(_ASTRAL.findall(text))
+
+
+def last_units(text: str, n: int) -> str:
+    """The last ``n`` UTF-16 units of a text; half of a character that is cut in two becomes U+FFFD."""
+    tail = text[-n:] if n else ""
+    if utf16_units(tail) == len(tail):
+        return tail
+    units, at = 0, len(tail)
+    while at and units < n:
+        at -= 1
+        units += 2 if tail[at] > "\uffff" else 1
+    return ("\ufffd" + tail[at + 1:]) if units > n else tail[at:]
+
+
+def pack_paragraphs(paragraphs: list[str], max_len: int, overlap: int) -> list[str]:
+    """The fold over one document's paragraphs: one pass, each character copied a bounded number of times."""
+    out: list[str] = []
+    parts: list[str] = []
+    size = 0
+    for p in paragraphs:
+        units = utf16_units(p)
+        if size and size + units > max_len:
+            chunk = "".join(parts)
+            out.append(chunk)
+            parts = [last_units(chunk, overlap)] if size > overlap else []
+            size = overlap if size > overlap else 0
+        parts += (p, "\n")
+        size += units + 1
+    if parts:
+        out.append("".join(parts))
+    return out
 
-    def merge(acc: Column, p: Column) -> Column:
-        cur = acc["cur"]
-        emit = ((F.length(cur) + F.length(p)) > F.lit(max_len)) & (F.length(cur) > F.lit(0))
-        carry = F.when(F.length(cur) > F.lit(overlap), F.substring(cur, -overlap, overlap)).otherwise(F.lit(""))
-        return F.when(
-            emit,
-            F.struct(F.concat(carry, p, nl).alias("cur"), F.concat(acc["out"], F.array(cur)).alias("out")),
-        ).otherwise(F.struct(F.concat(cur, p, nl).alias("cur"), acc["out"].alias("out")))
 
-    def finish(acc: Column) -> Column:
-        return F.when(F.length(acc["cur"]) > F.lit(0), F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"])
+@lru_cache(maxsize=None)
+def _packer(max_len: int, overlap: int):
+    @F.arrow_udf("array<string>")
+    def pack(paragraphs: pa.Array) -> pa.Array:
+        return pa.array([None if ps is None else pack_paragraphs(ps, max_len, overlap) for ps in paragraphs.to_pylist()], pa.list_(pa.string()))
 
-    return F.aggregate(paragraphs, init, merge, finish)
+    return pack
+
+
+@lru_cache(maxsize=None)
+def _chunker(separator: str, max_len: int, overlap: int):
+    @F.arrow_udf("array<string>")
+    def chunk(texts: pa.Array) -> pa.Array:
+        return pa.array([pack_paragraphs([p for p in (t.split(separator) if separator else [t]) if p], max_len, overlap) if t else []
+                         for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return chunk
+
+
+def pack_chunks(paragraphs: Column, max_len: int = 500, overlap: int = 50) -> Column:
+    """Greedy ordered packing of paragraphs into chunk strings (array<string>), lengths in UTF-16 units."""
+    return _packer(max_len, overlap)(paragraphs)
 
 
 def chunk_text(text: Column | str, opts: ChunkingOptions = ChunkingOptions()) -> Column:
     """T1a + T1b: text → array of chunk strings. Null text → empty array."""
-    paras = split_paragraphs(text, opts.separator)
-    return F.coalesce(pack_chunks(paras, opts.max_chunk_length, opts.overlap), F.array().cast("array<string>"))
+    return _chunker(opts.separator, opts.max_chunk_length, opts.overlap)(col_(text))

@@ -8,7 +8,7 @@ A model-backed embedder is an iterator ``pandas_udf`` with that signature.
   A token is a maximal run of letters/digits of the lower-cased text; its bucket
   is the first 8 hex digits of its MD5, read as an integer, modulo ``dim``.
   Tokenising and hashing run in the JVM; only the per-row bucket histogram is
-  done in an Arrow-batched pandas UDF (one ``bincount`` per batch).
+  done in an Arrow function (one ``bincount`` per batch).
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,19 +50,16 @@ def constant_embedder(text: Column | str) -> Column:
 
 @lru_cache(maxsize=None)
 def bucket_histogram(dim: int):
-    """pandas UDF: array<int> of bucket ids → array<float> of ``dim`` counts."""
+    """Arrow function: array<int> of bucket ids → array<float> of ``dim`` counts, from list offsets and flat values."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def hist(buckets: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def hist(buckets: pa.Array) -> pa.Array:
         n = len(buckets)
-        lens = np.fromiter((0 if b is None else len(b) for b in buckets), dtype=np.int64, count=n)
-        if lens.sum():
-            flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets if b is not None and len(b)])
-        else:
-            flat = np.zeros(0, dtype=np.int64)
-        rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-        counts = np.bincount(rows * dim + flat, minlength=n * dim).astype(np.float32).reshape(n, dim)
-        return pd.Series(list(counts))
+        lengths = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
+        flat = buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = np.bincount(rows * dim + flat, minlength=n * dim).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(dim)), pa.array(counts))
 
     return hist
 

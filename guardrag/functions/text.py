@@ -24,11 +24,6 @@ def utf16_length(text: Column | str) -> Column:
     return F.length(t) + F.coalesce(F.regexp_count(t, F.lit(r"[\x{10000}-\x{10FFFF}]")), F.lit(0))
 
 
-def contains_ignore_case(text_lower: Column, needle: str) -> Column:
-    """Case-insensitive substring test against an already lower-cased text."""
-    return F.contains(text_lower, F.lit(needle.lower()))
-
-
 def literal_split_regex(separator: str) -> str:
     """A Java regex matching ``separator`` literally."""
     return re.escape(separator) if separator else r"(?!)"

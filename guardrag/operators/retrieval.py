@@ -43,10 +43,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guardrag.config import RetrievalOptions
-from guardrag.functions.similarity import DOUBLE_EPSILON, cosine, squared_norm
+from guardrag.functions.similarity import DOUBLE_EPSILON, cosine
+from guardrag.session import materialize, track
 
-# Candidate slack for the approximate pass: the exact and approximate cosine
-# differ by at most ~2**-23; anything within this distance of the k-th best is kept.
+# Candidate slack for the approximate pass: for regular vectors (``_regular``) the exact and
+# approximate cosine differ by at most ~2**-23; anything within this distance of the k-th best is kept.
 APPROX_TOLERANCE = 1e-5
 # Upper bound on float64 entries in one score tile (128 MiB).
 MAX_TILE_ENTRIES = 1 << 24
@@ -73,14 +74,14 @@ def search(chunks: DataFrame, query_vector: list[float], k: int, vector_col: str
     nothing instead of failing.
     """
     if query_vector is None or len(query_vector) == 0:
-        raise ValueError("Search embedding must be a non-empty vector.")
+        raise ValueError("a question vector is missing or has no entries")
     dim = len(query_vector)
     q = F.array(*[F.lit(float(x)) for x in query_vector]).cast("array<float>")
     checked = F.when(
         F.size(F.col(vector_col)) == F.lit(dim), F.col(vector_col)
     ).otherwise(
-        F.raise_error(F.concat(F.lit("Embedding dimension mismatch. Expected "),
-                               F.size(F.col(vector_col)).cast("string"), F.lit(f", got {dim}.")))
+        F.raise_error(F.concat(F.lit("stored vectors have "), F.size(F.col(vector_col)).cast("string"),
+                               F.lit(f" entries, the question vector {dim}")))
     )
     scored = chunks.withColumn("score", cosine(checked, q))
     if k <= 0:  # R4
@@ -104,7 +105,7 @@ def _matrix(list_col: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
     widths = np.diff(offsets)
     d = int(widths[0])
     if not np.all(widths == d):
-        raise ValueError("Embedding dimension mismatch inside a retrieval block.")
+        raise ValueError("vectors of one block differ in length")
     flat = list_col.values.slice(offsets[0], offsets[-1] - offsets[0])
     vals = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
     return vals.reshape(n, d)
@@ -141,7 +142,29 @@ def _select_topk(q_idx: np.ndarray, scores: np.ndarray, chunk_ids: np.ndarray, k
     return order[rank < k]
 
 
-def score_cell(q_mat: np.ndarray, c_mat: np.ndarray, chunk_ids: np.ndarray, k: int,
+def _regular(norms: np.ndarray, dim: int) -> np.ndarray:
+    """Rows whose float32 products with other such rows can neither underflow nor overflow.
+
+    Rows of norm 0 by the exact rule score exactly 0 in the approximate pass too.
+    """
+    return ((norms > dim * 2.0**-100) & (norms < 2.0**120)) | (norms <= DOUBLE_EPSILON)
+
+
+class QueryBlock:
+    """A block of question vectors with what every batch of chunks needs of it, computed once."""
+
+    def __init__(self, matrix: np.ndarray, bounds: np.ndarray | None = None):
+        self.matrix, self.bounds = matrix, bounds
+        self.norms = _squared_norms(matrix)
+        self.regular = np.flatnonzero(_regular(self.norms, matrix.shape[1]))
+        self.odd = np.setdiff1d(np.arange(len(matrix)), self.regular)
+        n2 = self.norms[self.regular]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scale = np.where(n2 > DOUBLE_EPSILON, 1.0 / np.sqrt(n2), 0.0)
+        self.unit = matrix[self.regular].astype(np.float64) * scale[:, None]
+
+
+def score_cell(q_mat: np.ndarray | QueryBlock, c_mat: np.ndarray, chunk_ids: np.ndarray, k: int,
                tile_entries: int = MAX_TILE_ENTRIES,
                bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact top-k of every query against the chunks of one cell.
@@ -150,44 +173,63 @@ def score_cell(q_mat: np.ndarray, c_mat: np.ndarray, chunk_ids: np.ndarray, k: i
     ``bounds`` (one float per query, ``-inf`` for none) is a proven lower bound on
     each query's final k-th score: rows scoring below it can never be in the
     answer and are not emitted.
+
+    Vectors so small or large that float32 products may under- or overflow (and
+    those that hold NaN or infinity) skip the approximate pass: their pairs are
+    scored by the exact rule alone.
     """
-    nq, nc = q_mat.shape[0], c_mat.shape[0]
+    block = q_mat if isinstance(q_mat, QueryBlock) else QueryBlock(q_mat, bounds)
+    bounds = block.bounds
+    nq, nc = block.matrix.shape[0], c_mat.shape[0]
     empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
     if nq == 0 or nc == 0 or k <= 0:
         return empty
-    if q_mat.shape[1] != c_mat.shape[1]:
-        raise ValueError(f"Embedding dimension mismatch. Expected {c_mat.shape[1]}, got {q_mat.shape[1]}.")
-    q2, c2 = _squared_norms(q_mat), _squared_norms(c_mat)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        qn = np.where(q2 > DOUBLE_EPSILON, 1.0 / np.sqrt(q2), 0.0)
-        cn = np.where(c2 > DOUBLE_EPSILON, 1.0 / np.sqrt(c2), 0.0)
-    c_unit = c_mat.astype(np.float64) * cn[:, None]
-    q_unit = q_mat.astype(np.float64) * qn[:, None]
-    kk = min(k, nc)
-    step = max(1, tile_entries // nc)
-    cand_c, cand_q = [], []
-    for s in range(0, nq, step):
-        with np.errstate(invalid="ignore", over="ignore"):
-            sc = c_unit @ q_unit[s:s + step].T  # (nc, m)
-        sc[~np.isfinite(sc)] = -np.inf
-        if kk < nc:
-            floor = np.partition(sc, nc - kk, axis=0)[nc - kk] - APPROX_TOLERANCE
-        else:
-            floor = np.full(sc.shape[1], -np.inf)
+    if block.matrix.shape[1] != c_mat.shape[1]:
+        raise ValueError(f"stored vectors have {c_mat.shape[1]} entries, question vectors {block.matrix.shape[1]}")
+    c2 = _squared_norms(c_mat)
+    plain = _regular(c2, c_mat.shape[1])
+    regular, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
+    held = [empty]
+
+    def keep(qi: np.ndarray, ci: np.ndarray) -> None:
+        exact = exact_cosine(c_mat[ci], block.matrix[qi], c2[ci], block.norms[qi])
         if bounds is not None:
-            floor = np.maximum(floor, bounds[s:s + step].astype(np.float64) - APPROX_TOLERANCE)
-        ci, qj = np.nonzero(sc >= floor[None, :])
-        cand_c.append(ci)
-        cand_q.append(qj + s)
-    ci = np.concatenate(cand_c)
-    qi = np.concatenate(cand_q)
-    exact = exact_cosine(c_mat[ci], q_mat[qi], c2[ci], q2[qi])
-    if bounds is not None:
-        b = bounds[qi]
-        ok = np.isneginf(b) | (exact >= b)
-        ci, qi, exact = ci[ok], qi[ok], exact[ok]
-    keep = _select_topk(qi, exact, chunk_ids[ci], k)
-    return qi[keep], ci[keep], exact[keep]
+            ok = np.isneginf(bounds[qi]) | (exact >= bounds[qi])
+            qi, ci, exact = qi[ok], ci[ok], exact[ok]
+        held.append((qi, ci, exact))
+        if sum(len(h[0]) for h in held) > max(tile_entries // 8, 4 * k * nq):
+            held[:] = [_best(held)]
+
+    def _best(parts):
+        qi, ci, exact = (np.concatenate(x) for x in zip(*parts))
+        top = _select_topk(qi, exact, chunk_ids[ci], k)
+        return qi[top], ci[top], exact[top]
+
+    if len(regular) and len(block.regular):
+        c_reg = c_mat[regular]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scale = np.where(c2[regular] > DOUBLE_EPSILON, 1.0 / np.sqrt(c2[regular]), 0.0)
+        c_unit = c_reg.astype(np.float64) * scale[:, None]
+        kk = min(k, len(regular))
+        step = max(1, tile_entries // len(regular))
+        for s in range(0, len(block.regular), step):
+            sc = c_unit @ block.unit[s:s + step].T  # (regular chunks, m)
+            if kk < len(regular):
+                floor = np.partition(sc, len(regular) - kk, axis=0)[len(regular) - kk] - APPROX_TOLERANCE
+            else:
+                floor = np.full(sc.shape[1], -np.inf)
+            if bounds is not None:
+                floor = np.maximum(floor, bounds[block.regular[s:s + step]].astype(np.float64) - APPROX_TOLERANCE)
+            ci, qj = np.nonzero(sc >= floor[None, :])
+            keep(block.regular[qj + s], regular[ci])
+    # Pairs with an odd vector on either side, in tiles of bounded size.
+    rows = max(1, tile_entries // max(1, 8 * c_mat.shape[1]))
+    for queries, chunks in ((np.arange(nq), odd), (block.odd, regular)):
+        if len(queries) and len(chunks):
+            for s in range(0, len(queries) * len(chunks), rows):
+                at = np.arange(s, min(s + rows, len(queries) * len(chunks)))
+                keep(queries[at // len(chunks)], chunks[at % len(chunks)])
+    return _best(held)
 
 
 # ---------------------------------------------------------------------------
@@ -218,13 +260,23 @@ def _emit(schema: pa.Schema, q_tbl: pa.Table, c_tbl: pa.Table, qi, ci, sc, query
     return pa.RecordBatch.from_arrays(cols, schema=schema)
 
 
+_ROW = "_question"
+
+
 def topk_batch(chunks: DataFrame, queries: DataFrame, k: int, *, query_id: str = "query_id",
                query_vector: str = "embedding", chunk_id: str = "chunk_id", chunk_vector: str = "embedding",
                carry: list[str] | None = None, opts: RetrievalOptions = RetrievalOptions(),
                strategy: str = "auto", broadcast_query_bytes: int | None = None,
-               probe_fraction: float | None = None) -> DataFrame:
+               probe_fraction: float | None = None, unique_ids: bool = False) -> DataFrame:
     """``(query_id, rank, chunk_id, score, *carry)`` — each query's exact top-k chunks.
 
+    Every row of ``queries`` is ranked on its own: rows are keyed by an internal number, and
+    the caller's id, null or repeated as it may be, is only carried along. With ``unique_ids``
+    the caller vouches for unique, non-null long ids, which then serve as that number.
+
+    Only ids and vectors take part in the scan; the ``carry`` columns are joined to the winning
+    chunk ids afterwards. Chunk ids are the key of a store; should one repeat, its smallest row counts.
+
     Queries with an empty vector, or one whose dimension differs from the store's,
     raise (R3); ``k <= 0`` yields no rows (R4). Queries with no chunks get no rows;
     callers left-join to keep them.
@@ -242,48 +294,67 @@ def topk_batch(chunks: DataFrame, queries: DataFrame, k: int, *, query_id: str =
     if broadcast_query_bytes is None:
         broadcast_query_bytes = opts.broadcast_query_bytes
     spark = chunks.sparkSession
-    out = _out_schema(chunks, queries, query_id, chunk_id, carry)
-    final_schema = T.StructType([out[query_id], T.StructField("rank", T.IntegerType(), True)]
-                                + [f for f in out.fields if f.name != query_id])
+    final_schema = T.StructType([queries.schema[query_id], T.StructField("rank", T.IntegerType(), True),
+                                 T.StructField(chunk_id, chunks.schema[chunk_id].dataType, True), T.StructField("score", T.FloatType(), True)]
+                                + [T.StructField(c, chunks.schema[c].dataType, True) for c in carry])
     if k <= 0:
         return _empty_like(final_schema, spark)
+    if unique_ids:
+        q = queries.select(F.col(query_id).alias(_ROW), query_vector)
+    else:
+        # Written once: the numbers stay the same however often the block is read or a task retried.
+        numbered = materialize(queries.select(query_id, query_vector).withColumn(_ROW, F.monotonically_increasing_id()), "topk-questions")
+        q = numbered.select(_ROW, query_vector)
+    out = _out_schema(chunks, q, _ROW, chunk_id, [])
 
-    q = queries.select(query_id, query_vector)
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.min(F.size(query_vector)).alias("dmin"),
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce(F.size(query_vector), F.lit(-1))).alias("dmin"),
                   F.max(F.size(query_vector)).alias("dmax")).first()
     n_q, dmin, dmax = stats["n"], stats["dmin"], stats["dmax"]
     if n_q == 0:
         return _empty_like(final_schema, spark)
     if dmin is None or dmin <= 0:
-        raise ValueError("Search embedding must be a non-empty vector.")
+        raise ValueError("a question vector is missing or has no entries")
     if dmin != dmax:
-        raise ValueError(f"Embedding dimension mismatch among queries: {dmin} vs {dmax}.")
-    c = chunks.select(chunk_id, chunk_vector, *carry)
+        raise ValueError(f"question vectors differ in length: {dmin} and {dmax}")
+    c = chunks.select(chunk_id, chunk_vector)
     if probe_fraction is None:
         n_c = c.count()
         probe_fraction = (PROBE_ROWS / n_c) if n_c >= PROBE_MIN_ROWS else 0.0
     if probe_fraction and probe_fraction < 1.0:
-        q = _with_bounds(c, q, k, probe_fraction, query_id, query_vector, chunk_id, chunk_vector, opts, strategy,
+        q = _with_bounds(c, q, k, probe_fraction, _ROW, query_vector, chunk_id, chunk_vector, opts, strategy,
                          broadcast_query_bytes)
-    query_bytes = n_q * (dmax * 4 + 64)
+    query_bytes = n_q * (dmax * 4 + 16)  # vectors, the 8-byte row number and the bound
     rounds = max(1, math.ceil(query_bytes / broadcast_query_bytes))
     if strategy == "auto":
-        strategy = "broadcast" if rounds == 1 else _rounds_or_blocked(c, n_q, dmax, carry, rounds, opts)
+        strategy = "broadcast" if rounds == 1 else _rounds_or_blocked(c, n_q, dmax, [], rounds, opts)
     if strategy == "broadcast":
         if rounds > 1:
             raise ValueError("query block exceeds the broadcast bound; use strategy='rounds' or 'blocked'")
-        cand = _broadcast_cells(c, q, k, query_id, query_vector, chunk_id, chunk_vector, carry, out)
+        cand = _broadcast_cells(c, q, k, _ROW, query_vector, chunk_id, chunk_vector, [], out)
     elif strategy == "rounds":
-        cand = _rounds_cells(c, q, k, rounds, query_id, query_vector, chunk_id, chunk_vector, carry, out)
+        cand = _rounds_cells(c, q, k, rounds, _ROW, query_vector, chunk_id, chunk_vector, [], out)
     elif strategy == "blocked":
-        cand = _blocked_cells(c, q, k, n_q, query_id, query_vector, chunk_id, chunk_vector, carry, out, opts)
+        cand = _blocked_cells(c, q, k, n_q, _ROW, query_vector, chunk_id, chunk_vector, [], out, opts)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    w = Window.partitionBy(query_id).orderBy(*rank_order("score", chunk_id))
+    w = Window.partitionBy(_ROW).orderBy(*rank_order("score", chunk_id))
     ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select(query_id, "rank", chunk_id, "score", *carry)
-
-
+    if carry:
+        # Winners are at most k rows per question; the store's other columns are read for them alone.
+        ranked = materialize(ranked, "topk-ranked")
+        winners = ranked.select(chunk_id).distinct()
+        if n_q * k <= BROADCAST_WINNERS:
+            winners = F.broadcast(winners)
+        late = (chunks.select(chunk_id, *carry).join(winners, chunk_id, "left_semi")
+                .groupBy(chunk_id).agg(F.min(F.struct(*carry)).alias("_late")))
+        ranked = ranked.join(late, chunk_id, "left").select(_ROW, "rank", chunk_id, "score", *[F.col(f"_late.{x}").alias(x) for x in carry])
+    if unique_ids:
+        return ranked.select(F.col(_ROW).alias(query_id), "rank", chunk_id, "score", *carry)
+    return ranked.join(numbered.select(_ROW, query_id), _ROW).select(query_id, "rank", chunk_id, "score", *carry)
+
+
+# Most winning chunk ids (questions × k) that are broadcast to fetch the carried columns.
+BROADCAST_WINNERS = 500_000
 PROBE_MIN_ROWS = 5_000_000
 PROBE_ROWS = 250_000
 PROBE_SEED = 20_241_202
@@ -296,7 +367,7 @@ def _with_bounds(c: DataFrame, q: DataFrame, k: int, fraction: float, query_id,
     probe = c.select(chunk_id, chunk_vector).sample(withReplacement=False, fraction=fraction, seed=PROBE_SEED)
     ranked = topk_batch(probe, q, k, query_id=query_id, query_vector=query_vector, chunk_id=chunk_id,
                         chunk_vector=chunk_vector, opts=opts, strategy=strategy,
-                        broadcast_query_bytes=broadcast_query_bytes, probe_fraction=0.0)
+                        broadcast_query_bytes=broadcast_query_bytes, probe_fraction=0.0, unique_ids=True)
     kth = ranked.groupBy(query_id).agg(
         F.count(F.lit(1)).alias("_n"), F.max_by("score", "rank").alias("_kth"),
         F.max(F.isnan("score").cast("int")).alias("_nan"))
@@ -316,14 +387,12 @@ def _broadcast_cells(c: DataFrame, q: DataFrame, k, query_id, query_vector, chun
     spark = c.sparkSession
     q_tbl = q.toArrow()  # size-checked by the caller
     q_mat = _matrix(q_tbl.column(query_vector), q_tbl.num_rows)
-    bq = spark.sparkContext.broadcast((q_tbl.select([query_id]), q_mat, _bounds_of(q_tbl)))
+    bq = track(spark.sparkContext.broadcast((q_tbl.select([query_id]), q_mat, _bounds_of(q_tbl))))
     arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in out.fields])
-    parallelism = spark.sparkContext.defaultParallelism
-    if c.rdd.getNumPartitions() < parallelism:
-        c = c.repartition(parallelism, chunk_id)
 
     def scan(batches):
-        q_ids, qm, bounds = bq.value
+        q_ids, q_vectors, bounds = bq.value
+        qm = QueryBlock(q_vectors, bounds)
         pending: list[pa.RecordBatch] = []
         held = 0
         for batch in batches:
@@ -332,10 +401,10 @@ def _broadcast_cells(c: DataFrame, q: DataFrame, k, query_id, query_vector, chun
             tbl = pa.Table.from_batches([batch])
             cm = _matrix(tbl.column(chunk_vector), tbl.num_rows)
             ids = np.asarray(tbl.column(chunk_id).to_numpy(zero_copy_only=False))
-            qi, ci, sc = score_cell(qm, cm, ids, k, bounds=bounds)
+            qi, ci, sc = score_cell(qm, cm, ids, k)
             pending.append(_emit(arrow_schema, q_ids, tbl, qi, ci, sc, query_id, chunk_id, carry))
             held += len(qi)
-            if held > 8 * k * qm.shape[0]:
+            if held > 8 * k * len(q_vectors):
                 pending = [_reduce(pending, arrow_schema, k, query_id, chunk_id)]
                 held = pending[0].num_rows
         if pending:
@@ -435,7 +504,3 @@ def _arrow_type(dt: T.DataType) -> pa.DataType:
 
     return to_arrow_type(dt)
 
-
-def with_squared_norm(chunks: DataFrame, vector_col: str = "embedding", out: str = "norm_sq") -> DataFrame:
-    """Precompute the squared magnitude once per stored chunk."""
-    return chunks.withColumn(out, squared_norm(F.col(vector_col)))

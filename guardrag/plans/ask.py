@@ -10,6 +10,7 @@ on questions that pass the confidence gate; the four outcomes are unioned.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -33,9 +34,11 @@ def _no_sources() -> Column:
 
 
 def prepare_queries(queries: DataFrame, query_id: str = "query_id", query_col: str = "query") -> DataFrame:
-    """``(query_id, query)``; a missing query text counts as the empty string."""
-    return queries.select(F.col(query_id).alias("query_id"),
-                          F.coalesce(F.col(query_col).cast("string"), F.lit("")).alias("query"))
+    """``(query_id, query)``; a missing query text counts as the empty string, and a question
+    without an id (or a table without that column) gets a fresh one."""
+    fresh = F.replace(F.uuid(), F.lit("-"), F.lit(""))
+    given = F.coalesce(F.col(query_id).cast("string"), fresh) if query_id in queries.columns else fresh
+    return queries.select(given.alias("query_id"), F.coalesce(F.col(query_col).cast("string"), F.lit("")).alias("query"))
 
 
 def route(queries: DataFrame, opts: AskOptions = AskOptions()) -> DataFrame:
@@ -80,7 +83,8 @@ def _audit_row(df: DataFrame, *, random_ids: bool = False, scrubbed_query, scrub
 def ask_batch(queries: DataFrame, chunks: DataFrame, opts: AskOptions = AskOptions(), *,
               embedder: Embedder | None = None, answerer: Answerer | None = None, as_of: Column | None = None,
               checkpoint: bool = True, strategy: str = "auto") -> DataFrame:
-    """A12. ``queries``: (query_id, query); ``chunks``: a validated store
+    """A12. ``queries``: (query_id, query), where ids may be missing or repeated: every row
+    is one question with one audit record, kept apart by an internal row number; ``chunks``: a validated store
     (chunk_id, content, title, embedding). Returns the audit table:
     ``query_id, outcome`` + the 12 audit fields. The answer table (S7) is
     ``answers_of(audit)``.
@@ -88,7 +92,9 @@ def ask_batch(queries: DataFrame, chunks: DataFrame, opts: AskOptions = AskOptio
     embedder = embedder or hashing_embedder(64)
     answerer = answerer or template_answer
     as_of = as_of if as_of is not None else F.current_timestamp()
-    q = route(prepare_queries(queries), opts)
+    # Written once: fresh ids and row numbers stay the same whatever is retried.
+    q = materialize(prepare_queries(queries).withColumn("_row", F.monotonically_increasing_id()), "ask-questions")
+    q = route(q, opts)
 
     # Both rejection outcomes in one pass over the questions (built-in expressions only).
     is_long = F.col("outcome") == "too_long"
@@ -101,15 +107,15 @@ def ask_batch(queries: DataFrame, chunks: DataFrame, opts: AskOptions = AskOptio
         sources=_no_sources(), top=F.lit(0.0), length=is_long, relevance=~is_long, low=False, n_in=F.lit(0),
         n_out=F.lit(0), disclaimer=False, as_of=as_of)
 
-    survivors = pii.with_scrub(q.filter(F.col("outcome").isNull()).select("query_id", "query"), "query", "in")
-    survivors = survivors.select("query_id", "in_text", "in_count", "in_counts").withColumn("embedding", embedder(F.col("in_text")))
+    survivors = pii.with_scrub(q.filter(F.col("outcome").isNull()).select("_row", "query_id", "query"), "query", "in")
+    survivors = survivors.select("_row", "query_id", "in_text", "in_count", "in_counts").withColumn("embedding", embedder(F.col("in_text")))
     if checkpoint:
         survivors = materialize(survivors, "ask-survivors")
 
-    ranked = topk_batch(chunks, survivors.select("query_id", "embedding"), opts.query.top_k,
-                        carry=["content", "title"], opts=opts.retrieval, strategy=strategy)
-    ctx = assemble_context(ranked)
-    joined = survivors.drop("embedding").join(ctx, "query_id", "left").withColumn(
+    ranked = topk_batch(chunks, survivors.select("_row", "embedding"), opts.query.top_k, query_id="_row",
+                        carry=["content", "title"], opts=opts.retrieval, strategy=strategy, unique_ids=True)
+    ctx = assemble_context(ranked, "_row")
+    joined = survivors.drop("embedding").join(ctx, "_row", "left").withColumn(
         "top_score", F.coalesce(F.col("top_score"), F.lit(0.0).cast("float")))
     joined = joined.withColumn("outcome", F.when(
         gates.is_low_confidence("top_score", opts.query.confidence_threshold), F.lit("low_confidence")
@@ -153,12 +159,13 @@ def run_ask(queries: DataFrame, chunks: DataFrame, audit_path: str, answers_path
     answer table as a projection of what was written — the pipeline, and any
     model-backed slot in it, runs once for both outputs."""
     audit = ask_batch(queries, chunks, opts, **kwargs)
-    run_id = F.lit(__import__("uuid").uuid4().hex)
-    audit = audit.withColumn("run_id", run_id)
-    write_audit(audit, audit_path)
-    written = audit.sparkSession.read.parquet(audit_path).filter(F.col("run_id") == run_id)
-    write_answers(answers_of(written).withColumn("run_id", run_id), answers_path)
-    return written, audit.sparkSession.read.parquet(answers_path).filter(F.col("run_id") == run_id)
+    run_id = uuid.uuid4().hex
+    spark = audit.sparkSession
+    write_audit(audit, audit_path, run_id)
+    # ``run_id`` is a partition column: only this run's folders are read.
+    written = spark.read.parquet(audit_path).filter(F.col("run_id") == run_id)
+    write_answers(answers_of(written), answers_path, run_id)
+    return written, spark.read.parquet(answers_path).filter(F.col("run_id") == run_id)
 
 
 def answers_of(audit: DataFrame) -> DataFrame:

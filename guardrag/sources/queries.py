@@ -10,7 +10,8 @@ QUERY_SCHEMA = T.StructType([T.StructField("query_id", T.StringType()), T.Struct
 
 
 def normalise(df: DataFrame) -> DataFrame:
-    """Fixed schema; a missing query text is the empty string (the request default)."""
+    """Fixed schema; a missing query text is the empty string (the request default). A record without an
+    id stays without one here: ``ask_batch`` gives it a fresh id, written once before anything uses it."""
     return df.select(F.col("query_id").cast("string"), F.coalesce(F.col("query").cast("string"), F.lit("")).alias("query"))
 
 

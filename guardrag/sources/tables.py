@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+MAX_SPREAD = 32
+
 
 def spread(df: DataFrame, key_cols: list[str], min_partitions: int | None = None) -> DataFrame:
-    """Hash-repartition on ``key_cols`` only when the scan has fewer splits than cores.
+    """Hash-repartition a plain scan on ``key_cols`` when it has fewer splits than cores, up to ``MAX_SPREAD``.
 
     A small file with one row group is one split, so CPU-heavy row work (regex
-    scrub, chunk folding) would run in a single task. Large inputs already have
-    many splits and pass through untouched, with no shuffle. Keys are row
+    scrub, chunk folding) would run in a single task. Inputs of ``MAX_SPREAD`` splits or more
+    pass through untouched, with no shuffle, however large the cluster (lower
+    ``spark.sql.files.maxPartitionBytes`` there). Keys are row
     keys, so no value can gather a large share of the rows in one partition.
     """
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
+    target = min(min_partitions or spark.sparkContext.defaultParallelism, MAX_SPREAD)
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *key_cols)
