@@ -21,8 +21,9 @@ from guardrag.sources.files import read_documents, stream_documents
 
 def start_ingest_stream(spark: SparkSession, store_root: str, checkpoint: str,
                         opts: IngestionOptions = IngestionOptions(), chunking: ChunkingOptions = ChunkingOptions(),
-                        available_now: bool = False, **ingest_kwargs) -> StreamingQuery:
-    docs = stream_documents(spark, opts.source_path, opts.file_extensions)
+                        available_now: bool = False, docs: DataFrame | None = None, **ingest_kwargs) -> StreamingQuery:
+    """``docs``: a stream of (title, content) rows to ingest instead of the folder's files."""
+    docs = stream_documents(spark, opts.source_path, opts.file_extensions) if docs is None else docs
 
     def batch(df: DataFrame, batch_id: int) -> None:
         with scratch_scope(df.sparkSession):

@@ -193,3 +193,35 @@ def test_model_slots(spark):
                                                      answerer=model_answerer(strict_answerer)))}
     assert out["hi"]["outcome"] == "answered" and out["hi"]["scrubbed_response"].startswith("model says fund eee [2]")
     assert out["lo"]["outcome"] == "low_confidence"
+
+
+def test_questions_without_or_with_repeated_ids(spark, tmp_path):
+    """The request of the original holds a text only; every question gets one record with an id of its own."""
+    import json
+
+    from guardrag.sources.queries import read_queries
+
+    path = tmp_path / "q.json"
+    path.write_text("\n".join(json.dumps(x) for x in [{"query": "fund yield"}, {"query": "stock risk"}, {"query_id": "1", "query": "fund T1"}, {"query_id": "1", "query": "bond T2"}]))
+    st = spark.createDataFrame([(f"c{i}", f"text {i}", f"T{i}", [float(i == j) for j in range(3)]) for i in range(3)],
+                               "chunk_id string, content string, title string, embedding array<float>")
+    one_hot = lambda c: F.when(F.contains(c, F.lit("T2")), F.array(*[F.lit(x) for x in (0.0, 0.0, 1.0)])).otherwise(
+        F.array(*[F.lit(x) for x in (0.0, 1.0, 0.0)])).cast("array<float>")
+    got = rows(ask_batch(read_queries(spark, str(path)), st, embedder=one_hot))
+    assert len(got) == 4 and all(r["correlation_id"] and r["outcome"] == "answered" for r in got)
+    assert len({r["query_id"] for r in got}) == 3 and sum(r["query_id"] == "1" for r in got) == 2
+    assert all(len(r["sources"]) == 3 for r in got)
+    first = {r["scrubbed_query"]: r["sources"][0] for r in got}
+    assert first == {"fund yield": "T1", "stock risk": "T1", "fund T1": "T1", "bond T2": "T2"}
+
+
+def test_run_ask_reads_its_own_partition_only(spark, tmp_path):
+    from guardrag.plans.ask import run_ask
+
+    st = spark.createDataFrame([("c0", "alpha", "A", [1.0, 0.0])], "chunk_id string, content string, title string, embedding array<float>")
+    q = spark.createDataFrame([("a", "fund yield")], "query_id string, query string")
+    for _ in range(2):
+        audit, answers = run_ask(q, st, str(tmp_path / "audit"), str(tmp_path / "answers"), embedder=const_embedder([1.0, 0.0]))
+    assert audit.count() == answers.count() == 1 and spark.read.parquet(str(tmp_path / "audit")).count() == 2
+    plan = audit._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_id" in plan

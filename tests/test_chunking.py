@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import evaluate, rows
 from guardrag.config import ChunkingOptions
 from guardrag.functions.chunking import chunk_text
 from guardrag.functions.embedding import constant_embedder, hashing_embedder
@@ -86,3 +86,14 @@ def test_random_ids_opt_in(spark):
     ch = rows(chunk_documents(docs, random_ids=True))
     assert len({r["document_id"] for r in ch}) == 1 and len({r["chunk_id"] for r in ch}) == len(ch)
     assert all(len(r["chunk_id"]) == 32 and "-" not in r["chunk_id"] for r in ch)
+
+
+def test_lengths_count_utf16_units(spark):
+    text = "🙂" * 260 + "\n\n" + "x" * 10
+    assert len(evaluate(spark, lambda t: chunk_text(t), text)[0]) == 2  # 520 + 10 units are over 500
+
+
+def test_a_carry_that_cuts_a_character_in_two(spark):
+    chunks = evaluate(spark, lambda t: chunk_text(t), "🙂" * 225 + "ab\n\n" + "y" * 100)[0]
+    # "ab\n" and 47 units of emoji: 23 characters and the second half of one more.
+    assert chunks[1] == "�" + "🙂" * 23 + "ab\n" + "y" * 100 + "\n"

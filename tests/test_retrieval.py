@@ -182,3 +182,45 @@ def test_rounds_with_probe_bound(spark):
     both = sorted(map(tuple, topk_batch(s, q, 3, strategy="rounds", probe_fraction=0.25,
                                         broadcast_query_bytes=2000).collect()))
     assert both == plain and len(plain) == 180
+
+
+STRATEGIES = [dict(strategy="broadcast"), dict(strategy="rounds", broadcast_query_bytes=64), dict(strategy="blocked"), dict(strategy="broadcast", probe_fraction=0.5)]
+
+
+@pytest.mark.parametrize("how", STRATEGIES, ids=lambda h: "-".join(map(str, h.values())))
+def test_null_and_repeated_question_ids_are_separate_questions(spark, how):
+    rng = np.random.default_rng(4)
+    s = store(spark, rng.standard_normal((30, 4)).astype(np.float32).tolist())
+    vectors = rng.standard_normal((5, 4)).astype(np.float32).tolist()
+    q = spark.createDataFrame(list(zip([None, None, "1", "1", "2"], vectors)), "query_id string, embedding array<float>")
+    got = rows(topk_batch(s, q, 3, carry=["content", "title"], **how))
+    want = [(i, r["rank"], r["chunk_id"], r["score"], r["content"], r["title"]) for i, v in zip([None, None, "1", "1", "2"], vectors) for r in rows(search(s, v, 3))]
+    key = lambda r: (r[0] or "", *r[1:])
+    assert sorted((tuple(r[c] for c in ("query_id", "rank", "chunk_id", "score", "content", "title")) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_irregular_vectors_follow_the_exact_rule(spark):
+    """Subnormal products, overflow, NaN and zero vectors, on both sides, in random mixtures."""
+    from guardrag.operators.retrieval import _select_topk, _squared_norms, score_cell
+
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        scale = rng.choice([1.0, 1e-22, 1e-20, 1e-15, 1e19, 0.0], size=(60, 1), p=[0.5, 0.2, 0.1, 0.1, 0.05, 0.05])
+        v = (rng.standard_normal((60, 16)) * scale).astype(np.float32)
+        v[rng.integers(60)][0] = np.nan
+        c, q = v[:45], v[45:]
+        ids = np.array([f"{i:03d}" for i in range(45)])
+        qi, ci, score = score_cell(q, c, ids, 5, tile_entries=int(rng.choice([16, 200, 1 << 24])))
+        qa, ca = np.repeat(np.arange(15), 45), np.tile(np.arange(45), 15)
+        exact = exact_cosine(c[ca], q[qa], _squared_norms(c)[ca], _squared_norms(q)[qa])
+        top = _select_topk(qa, exact, ids[ca], 5)
+        want = sorted(zip(qa[top].tolist(), ca[top].tolist(), np.nan_to_num(exact[top], nan=9.0).tolist()))
+        assert sorted(zip(qi.tolist(), ci.tolist(), np.nan_to_num(score, nan=9.0).tolist())) == want
+
+
+def test_only_ids_and_vectors_enter_the_scan(spark):
+    s = store(spark, [[1.0, 0.0], [0.0, 1.0]])
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
+    plan = topk_batch(s, q, 1)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "MapInArrow" in line)
+    assert "content" not in scan and "title" not in scan
