@@ -20,6 +20,7 @@ equal results; ties go to the alphabetically first class.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -62,18 +63,21 @@ def gram_numbers(data: np.ndarray) -> list[np.ndarray]:
     return [a, b]
 
 
-def _frequencies(data: np.ndarray) -> np.ndarray:
-    out = np.zeros(WIDTH, dtype=np.float32)
-    if len(data) < 3:
-        return out
-    for numbers in gram_numbers(data):
-        out += np.bincount(numbers, minlength=WIDTH).astype(np.float32)
-    return out / len(data)
+def _counts(data: np.ndarray) -> np.ndarray:
+    """Feature counts of a text as 2-byte numbers (scaled down together where one would not fit)."""
+    out = np.zeros(WIDTH, dtype=np.int64)
+    if len(data) >= 3:
+        for numbers in gram_numbers(data):
+            out += np.bincount(numbers, minlength=WIDTH)
+    top = out.max()
+    return (out * 65_535 // top if top > 65_535 else out).astype(np.uint16)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 20) -> np.ndarray:
-    """Linear support vector machine by dual coordinate descent on the rows' inner products; the last column of x is the bias."""
-    products = (x @ x.T) * y[:, None] * y
+def _svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 20) -> tuple[np.ndarray, float]:
+    """(weights, bias) of a linear support vector machine, by dual coordinate descent on the rows' inner products."""
+    products = (x @ x.T).astype(np.float64) + 1.0  # 1: the bias as one more feature
+    products *= y[:, None]
+    products *= y
     norms = products.diagonal() + 1e-12
     alpha, margins = np.zeros(len(y)), np.zeros(len(y))
     rng = np.random.default_rng(7)
@@ -83,7 +87,7 @@ def _svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 20) -> np.
             if step:
                 alpha[i] += step
                 margins += step * products[i]
-    return (alpha * y) @ x
+    return (alpha * y).astype(np.float32) @ x, float(alpha @ y)
 
 
 class Model:
@@ -94,8 +98,8 @@ class Model:
         self.families = sorted({family_of(v) for v in self.langs})
         self.members = {f: [v for v in self.langs if family_of(v) == f] for f in self.families}
         family = np.array([family_of(v) for v in y]) if len(y) else np.array([], dtype=str)
-        self.scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5) if len(x) else np.ones(WIDTH)
-        z = np.hstack((x * self.scale, np.full((len(x), 1), 1.0))) if len(x) else np.zeros((0, WIDTH + 1))
+        self.scale = (1 / np.sqrt(x.mean(axis=0) + 1e-5)).astype(np.float32) if len(x) else np.ones(WIDTH, np.float32)
+        x = x * self.scale
         self.pairs: list[tuple[str, str]] = []
         columns, bias, slopes = [], [], []
         jobs = [(p, family) for p in combinations(self.families, 2)]
@@ -103,12 +107,13 @@ class Model:
         for (a, b), target in jobs:
             rows = np.flatnonzero((target == a) | (target == b))
             sign = np.where(target[rows] == a, 1.0, -1.0)
-            w = _svm(z[rows], sign, c)
-            margins = sign * (z[rows] @ w)
+            own = x if len(rows) == len(x) else x[rows]
+            w, offset = _svm(own, sign, c)
+            margins = sign * (own @ w + offset)
             slopes.append(min((0.5, 1.0, 2.0, 4.0, 8.0), key=lambda s: float(np.logaddexp(0, -s * margins).mean() + 0.02 * s)))
             self.pairs.append((a, b))
-            columns.append(w[:-1] * self.scale)
-            bias.append(w[-1])
+            columns.append(w * self.scale)
+            bias.append(offset)
         self.table = np.stack(columns, axis=1).astype(np.float32) if columns else np.zeros((WIDTH, 0), np.float32)
         self.bias, self.slopes = np.array(bias), np.array(slopes)
 
@@ -171,12 +176,15 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches, "text"):
-            freq = [_frequencies(data[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(freq, pa.binary())], names=["lang", "freq"])
-
-    found = sorted((r["lang"], bytes(r["freq"])) for r in picked.mapInArrow(vectors, "lang string, freq binary").collect())
-    x = np.array([np.frombuffer(f, dtype=np.float32) for _, f in found]).reshape(-1, WIDTH).astype(np.float64)
-    y = np.array([v for v, _ in found])
+            packed = [zlib.compress(_counts(data[a:b]).tobytes(), 1) for a, b in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(packed, pa.binary())], names=["lang", "n", "counts"])
+
+    # About ``max_per_lang`` vectors of a few KB per language reach the driver.
+    found = sorted((r["lang"], r["n"], bytes(r["counts"])) for r in picked.mapInArrow(vectors, "lang string, n long, counts binary").collect())
+    x = np.empty((len(found), WIDTH), dtype=np.float32)
+    for i, (_, n, counts) in enumerate(found):
+        x[i] = np.frombuffer(zlib.decompress(counts), dtype=np.uint16) / np.float32(max(n, 1))
+    y = np.array([lang for lang, _, _ in found])
     return Model(sorted(set(y.tolist())), x, y)
 
 
