@@ -71,6 +71,10 @@ NO_KEYWORD_REASON = (
 )
 TRUNCATED_QUERY_MARKER = "[QUERY TRUNCATED — {n} chars]"
 ANSWER_TEMPLATE = "Your question: {question} matches those answers: {context}"
+AUDIT_LABELS = (
+    "AUDIT | CorrelationId=", " Timestamp=", " TopScore=", " LowConfidence=", " InputPiiRedactions=", " OutputPiiRedactions=",
+    " DisclaimerAppended=", " SourceCount=", " Query=", " Response=", " Sources=",
+)
 
 # The constant embedding returned for every text by the stub embedder.
 CONSTANT_EMBEDDING: tuple[float, ...] = (0.02, 0.36, 0.91)

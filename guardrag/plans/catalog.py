@@ -8,19 +8,25 @@ DOUBLE (exact widening of the float score), arrays joined into strings.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardrag.config import (
+    ANSWER_TEMPLATE,
+    AUDIT_LABELS,
     DISCLAIMER_TEXT,
     DISCLAIMER_TRIGGER_KEYWORDS,
+    EMPTY_QUERY_REASON,
     FINANCIAL_KEYWORDS,
     LOW_CONFIDENCE_RESPONSE,
+    NO_KEYWORD_REASON,
     OFF_TOPIC_RESPONSE,
     PII_PATTERNS,
     QUERY_TOO_LONG_RESPONSE,
+    TRUNCATED_QUERY_MARKER,
     AskOptions,
     ChunkingOptions,
 )
@@ -61,6 +67,12 @@ def _sql_text(s: str) -> str:
     return " || chr(10) || ".join(_sql_str(p) for p in parts) if len(parts) > 1 else _sql_str(s)
 
 
+def _sql_filled(template: str, **values: str) -> str:
+    """A canned text as a SQL concatenation, its ``{names}`` replaced by SQL expressions."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(values[x] if i % 2 else _sql_str(x) for i, x in enumerate(parts) if x)
+
+
 def _sql_list(words) -> str:
     return "[" + ", ".join(_sql_str(w) for w in dict.fromkeys(w.lower() for w in words)) + "]"
 
@@ -175,7 +187,7 @@ def q_length_gate(spark, d):
 
 
 SQL_LENGTH_GATE = f"""SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS n_chars, length(text) > 1000 AS too_long,
-       CASE WHEN length(text) > 1000 THEN '[QUERY TRUNCATED — ' || CAST(length(text) AS VARCHAR) || ' chars]' END AS audit_query,
+       CASE WHEN length(text) > 1000 THEN {_sql_filled(TRUNCATED_QUERY_MARKER, n='CAST(length(text) AS VARCHAR)')} END AS audit_query,
        CASE WHEN length(text) > 1000 THEN {_sql_str(QUERY_TOO_LONG_RESPONSE.replace('{0}', '1000'))} END AS response
 FROM conversations"""
 
@@ -193,9 +205,8 @@ SQL_BLANK = "(text IS NULL OR regexp_matches(text, '^\\s*$'))"
 SQL_RELEVANCE = f"""SELECT conv_id, turn, {SQL_BLANK} AS is_blank,
        CAST(CASE WHEN {SQL_BLANK} THEN 0 ELSE {SQL_KW_COUNT} END AS BIGINT) AS keyword_matches,
        NOT {SQL_BLANK} AND {SQL_KW_COUNT} >= 1 AS is_relevant,
-       CASE WHEN {SQL_BLANK} THEN 'Query was empty.'
-            WHEN {SQL_KW_COUNT} < 1 THEN 'Query did not match any financial domain keywords (required: 1, found: '
-                 || CAST({SQL_KW_COUNT} AS VARCHAR) || ').' END AS rejection_reason
+       CASE WHEN {SQL_BLANK} THEN {_sql_str(EMPTY_QUERY_REASON)}
+            WHEN {SQL_KW_COUNT} < 1 THEN {_sql_filled(NO_KEYWORD_REASON, required="'1'", found=f'CAST({SQL_KW_COUNT} AS VARCHAR)')} END AS rejection_reason
 FROM conversations"""
 
 
@@ -410,7 +421,7 @@ def q_template_answer(spark, d):
     return users.select("conv_id", "turn", template_answer(F.col("text"), ctx).alias("answer"))
 
 
-SQL_TEMPLATE_ANSWER = """SELECT u.conv_id, u.turn, 'Your question: ' || u.text || ' matches those answers: ' || coalesce(n.text, '') AS answer
+SQL_TEMPLATE_ANSWER = f"""SELECT u.conv_id, u.turn, {_sql_filled(ANSWER_TEMPLATE, question='u.text', context="coalesce(n.text, '')")} AS answer
 FROM conversations u LEFT JOIN conversations n ON n.conv_id = u.conv_id AND n.turn = u.turn + 1
 WHERE u.role = 'user'"""
 
@@ -543,7 +554,7 @@ joined AS (
          coalesce(x.top_score, 0.0::FLOAT) < {thr} AS low
   FROM qemb q LEFT JOIN ctx x ON q.query_id = x.query_id),
 raw_answers AS (
-  SELECT query_id, 'Your question: ' || in_text || ' matches those answers: ' || coalesce(context, '') AS raw
+  SELECT query_id, {_sql_filled(ANSWER_TEMPLATE, question='in_text', context="coalesce(context, '')")} AS raw
   FROM joined WHERE NOT low),
 {ans_stages},
 safe AS (
@@ -554,7 +565,7 @@ safe AS (
   FROM a8),
 {off_stages}
 SELECT query_id, 'too_long' AS outcome, md5(query_id) AS correlation_id,
-       '[QUERY TRUNCATED — ' || CAST(length(query) AS VARCHAR) || ' chars]' AS scrubbed_query,
+       {_sql_filled(TRUNCATED_QUERY_MARKER, n='CAST(length(query) AS VARCHAR)')} AS scrubbed_query,
        {_sql_str(QUERY_TOO_LONG_RESPONSE.replace('{0}', str(opts.query.max_query_length)))} AS scrubbed_response,
        '' AS sources, 0.0::DOUBLE AS top_score, true AS was_rejected_for_length, false AS was_rejected_for_relevance,
        false AS was_low_confidence, 0::BIGINT AS input_pii, 0::BIGINT AS output_pii, false AS disclaimer_appended
@@ -595,20 +606,15 @@ def _sql_audit_lines() -> str:
     final = sep.lstrip("\n") + tail
     ts = AS_OF
     rounded = "printf('%.3f', (floor(abs(top_score * 1000.0) + 0.5) * sign(top_score) / 1000.0) + 0.0)"
+    values = ("correlation_id", f"'{ts}'", rounded, "CASE WHEN was_low_confidence THEN 'True' ELSE 'False' END", "CAST(input_pii AS VARCHAR)",
+              "CAST(output_pii AS VARCHAR)", "CASE WHEN disclaimer_appended THEN 'True' ELSE 'False' END", "CAST(n_sources AS VARCHAR)",
+              "coalesce(scrubbed_query, '')", "coalesce(scrubbed_response, '')", "sources")
+    line = " || ".join(f"{_sql_str(label)} || {value}" for label, value in zip(AUDIT_LABELS, values, strict=True))
     sources_count = "CASE WHEN sources = '' THEN 0 ELSE len(string_split(sources, ', ')) END"
     return f"""{head},
 audit AS (
 {final})
-SELECT query_id,
-       'AUDIT | CorrelationId=' || correlation_id || ' Timestamp={ts}'
-       || ' TopScore=' || {rounded}
-       || ' LowConfidence=' || CASE WHEN was_low_confidence THEN 'True' ELSE 'False' END
-       || ' InputPiiRedactions=' || CAST(input_pii AS VARCHAR)
-       || ' OutputPiiRedactions=' || CAST(output_pii AS VARCHAR)
-       || ' DisclaimerAppended=' || CASE WHEN disclaimer_appended THEN 'True' ELSE 'False' END
-       || ' SourceCount=' || CAST(n_sources AS VARCHAR)
-       || ' Query=' || coalesce(scrubbed_query, '') || ' Response=' || coalesce(scrubbed_response, '')
-       || ' Sources=' || sources AS line
+SELECT query_id, {line} AS line
 FROM (SELECT *, {sources_count} AS n_sources FROM audit)"""
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardrag.config import PII_PATTERNS, ChunkingOptions
+from guardrag.config import EMPTY_QUERY_REASON, NO_KEYWORD_REASON, PII_PATTERNS, ChunkingOptions
 from guardrag.functions import gates, pii
 from guardrag.functions.embedding import hashing_embedder
 from guardrag.functions.text import is_blank
@@ -244,8 +244,8 @@ SQL_RELEVANCE_BLANK = f"""WITH conv AS (
                              WHEN 3 THEN chr(160) || chr(8195) ELSE text END AS text,
          (conv_id + turn) % 12 < 4 OR regexp_matches(text, '^\\s*$') AS blank FROM conversations)
 SELECT conv_id, turn, blank AS is_blank, NOT blank AND {base.SQL_KW_COUNT} >= 1 AS is_relevant,
-       CASE WHEN blank THEN 'Query was empty.'
-            WHEN {base.SQL_KW_COUNT} < 1 THEN 'Query did not match any financial domain keywords (required: 1, found: 0).' END AS rejection_reason
+       CASE WHEN blank THEN {base._sql_str(EMPTY_QUERY_REASON)}
+            WHEN {base.SQL_KW_COUNT} < 1 THEN {base._sql_filled(NO_KEYWORD_REASON, required="'1'", found="'0'")} END AS rejection_reason
 FROM conv"""
 
 
