@@ -342,19 +342,23 @@ def topk_batch(chunks: DataFrame, queries: DataFrame, k: int, *, query_id: str =
     if carry:
         # Winners are at most k rows per question; the store's other columns are read for them alone.
         ranked = materialize(ranked, "topk-ranked")
-        winners = ranked.select(chunk_id).distinct()
-        if n_q * k <= BROADCAST_WINNERS:
-            winners = F.broadcast(winners)
-        late = (chunks.select(chunk_id, *carry).join(winners, chunk_id, "left_semi")
-                .groupBy(chunk_id).agg(F.min(F.struct(*carry)).alias("_late")))
-        ranked = ranked.join(late, chunk_id, "left").select(_ROW, "rank", chunk_id, "score", *[F.col(f"_late.{x}").alias(x) for x in carry])
+        size = ranked.agg(F.sum(F.octet_length(F.col(chunk_id).cast("string")) + 40)).first()[0] or 0
+        if size <= BROADCAST_WINNERS_BYTES:
+            won = F.broadcast(ranked.withColumnRenamed(chunk_id, "_won"))
+            met = chunks.select(chunk_id, *carry).join(won, F.col(chunk_id).eqNullSafe(F.col("_won")))
+            ranked = met.groupBy(_ROW, "rank", chunk_id, "score").agg(F.min(F.struct(*carry)).alias("_late"))
+        else:
+            late = (chunks.select(chunk_id, *carry).join(ranked.select(chunk_id).distinct(), chunk_id, "left_semi")
+                    .groupBy(chunk_id).agg(F.min(F.struct(*carry)).alias("_late")))
+            ranked = ranked.join(late, chunk_id, "left")
+        ranked = ranked.select(_ROW, "rank", chunk_id, "score", *[F.col(f"_late.{x}").alias(x) for x in carry])
     if unique_ids:
         return ranked.select(F.col(_ROW).alias(query_id), "rank", chunk_id, "score", *carry)
     return ranked.join(numbered.select(_ROW, query_id), _ROW).select(query_id, "rank", chunk_id, "score", *carry)
 
 
-# Most winning chunk ids (questions × k) that are broadcast to fetch the carried columns.
-BROADCAST_WINNERS = 500_000
+# Largest table of winners (measured) that is broadcast to fetch the carried columns.
+BROADCAST_WINNERS_BYTES = 32 << 20
 PROBE_MIN_ROWS = 5_000_000
 PROBE_ROWS = 250_000
 PROBE_SEED = 20_241_202

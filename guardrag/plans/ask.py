@@ -92,9 +92,8 @@ def ask_batch(queries: DataFrame, chunks: DataFrame, opts: AskOptions = AskOptio
     embedder = embedder or hashing_embedder(64)
     answerer = answerer or template_answer
     as_of = as_of if as_of is not None else F.current_timestamp()
-    # Written once: fresh ids and row numbers stay the same whatever is retried.
-    q = materialize(prepare_queries(queries).withColumn("_row", F.monotonically_increasing_id()), "ask-questions")
-    q = route(q, opts)
+    # Written once: fresh ids and row numbers stay the same whatever is retried, and the gates run once.
+    q = materialize(route(prepare_queries(queries).withColumn("_row", F.monotonically_increasing_id()), opts).drop("_rel"), "ask-questions")
 
     # Both rejection outcomes in one pass over the questions (built-in expressions only).
     is_long = F.col("outcome") == "too_long"
@@ -109,8 +108,7 @@ def ask_batch(queries: DataFrame, chunks: DataFrame, opts: AskOptions = AskOptio
 
     survivors = pii.with_scrub(q.filter(F.col("outcome").isNull()).select("_row", "query_id", "query"), "query", "in")
     survivors = survivors.select("_row", "query_id", "in_text", "in_count", "in_counts").withColumn("embedding", embedder(F.col("in_text")))
-    if checkpoint:
-        survivors = materialize(survivors, "ask-survivors")
+    survivors = materialize(survivors, "ask-survivors")
 
     ranked = topk_batch(chunks, survivors.select("_row", "embedding"), opts.query.top_k, query_id="_row",
                         carry=["content", "title"], opts=opts.retrieval, strategy=strategy, unique_ids=True)
