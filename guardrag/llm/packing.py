@@ -12,7 +12,8 @@ the corpus: one number per id of the vocabulary, counted over all documents with
 
 Tokenising works on distinct pieces: a text is cut before every single space that is followed by a
 printable ASCII character or a Latin letter, where the pre-tokeniser always cuts too; each distinct piece of
-a slice is encoded once and the ids are gathered. Tests compare this with the ``tokenizers`` library on whole texts.
+a slice is encoded once and the ids are gathered. The file's added tokens (``<|endoftext|>``) are cut out first and get their
+own ids. Tests compare this with the ``tokenizers`` library on whole texts.
 
 Scale: text is read once; ids travel as 2-byte numbers through one written table and one shuffle. Shards are hash
 buckets of bounded size, so no shard follows a hot source.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -47,15 +49,22 @@ _CUT_AFTER[0x21:0x7F] = _CUT_AFTER[0xC3] = True
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level BPE file; distinct pieces are encoded once per slice."""
+    """Ids of whole texts by a byte-level BPE file; distinct pieces are encoded once per slice.
+
+    ``encode_texts`` follows the file, ``encode`` reads its added tokens as ordinary text.
+    """
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocabulary, added = spec["model"]["vocab"], {t["content"] for t in spec.get("added_tokens", [])}
-        self.size = max(vocabulary.values()) + 1
+        if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", [])):
+            raise ValueError("added tokens that depend on their neighbours are not supported")
+        vocabulary, added = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.size = max([*vocabulary.values(), *added.values()]) + 1
+        self.added = {token.encode(): i for token, i in added.items()}
+        self.literal = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)))
         # The file spells bytes as printable characters: printable Latin-1 stands for itself, the others follow from U+0100.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         other = [b for b in range(256) if b not in set(plain)]
@@ -102,6 +111,23 @@ class Encoder:
         out = ids[ranges(first[number], counts)]
         return out, np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(start, offsets)]
 
+    def encode_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with each added token of the file as its own id; the texts around it are encoded by themselves."""
+        raw = data.tobytes()
+        if not any(token in raw for token in self.added):
+            return self.encode(data, offsets)
+        rows = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+        found = [(m.start(), m.end(), self.added[m.group()]) for lo, hi in rows for m in self.literal.finditer(raw, lo, hi)]
+        begin, end, special = np.array(found, dtype=np.int64).reshape(-1, 3).T
+        keep = np.ones(len(data), dtype=bool)
+        keep[ranges(begin, end - begin)] = False
+        gone = np.concatenate(([0], np.cumsum(~keep)))
+        edges = np.concatenate((offsets, begin))
+        order = np.argsort(edges, kind="stable")  # a row that begins with a literal comes before the cut
+        cut = order >= len(offsets)
+        ids, first = self.encode(data[keep], (edges - gone[edges])[order])
+        return np.insert(ids, first[cut], special.astype(np.uint16)), (first + np.cumsum(cut))[~cut]
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -120,7 +146,7 @@ def tokenise(docs: DataFrame, path: str, key_col: str = "doc_id", text_col: str
         if encoder.size > 1 << 16:
             raise ValueError("ids do not fit two bytes")
         for batch, data, offsets in pieces(batches, "text"):
-            ids, first = encoder.encode(data, offsets)
+            ids, first = encoder.encode_texts(data, offsets)
             at = first + np.arange(len(first))
             with_end = np.full(len(ids) + batch.num_rows, END_ID, dtype=np.uint16)
             with_end[np.arange(len(ids)) + np.repeat(np.arange(batch.num_rows), np.diff(first))] = ids

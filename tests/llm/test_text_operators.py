@@ -383,3 +383,19 @@ def test_packing_edge_cases(spark):
     got = packing.pack(docs, queries.tokenizer_path())
     assert sorted(((r.doc_id is None, r.doc_id), r.doc_tokens) for r in got.select("doc_id", "doc_tokens").distinct().collect()) == [((False, 4), 1), ((False, 4), 4), ((True, None), 1)]
     assert packing.pack(docs.limit(0), queries.tokenizer_path()).count() == 0
+
+
+def test_added_tokens_get_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    loaded, end = Tokenizer.from_file(queries.tokenizer_path()), "<|endoftext|>"
+    rng = random.Random(9)
+    parts = [end, end, "<|endof", "text|>", " ", "  ", "a", "word", "\n", "é", "日", "'s"]
+    texts = [f"a {end} b", end, "", end + end, "<|endof", "text|>", f" {end} ", *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(300))]
+    want = [loaded.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    data, offsets = text_bytes(pa.array(texts))
+    ids, first = packing.Encoder(queries.tokenizer_path()).encode_texts(data, offsets)
+    assert [ids[first[i]:first[i + 1]].tolist() for i in range(len(texts))] == want
+    rows = packing.tokenise(documents(spark, texts), queries.tokenizer_path()).collect()
+    assert {r.key: np.frombuffer(r.ids, dtype=np.uint16).tolist() for r in rows} == {i: w + [0] for i, w in enumerate(want)}
