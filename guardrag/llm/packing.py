@@ -1,11 +1,15 @@
 """Lexical retrieval packing into fixed-length sequences with a sharded BM25 index.
 
 Documents are tokenised whole (byte-level BPE, one end id 0 after each). A document's full windows of ``length`` ids
-become sequences of their own; what is left is a remainder of fewer ids. Documents are dealt to shards; a shard
-holds an inverted index of its remainders. A seed remainder opens a sequence, its
+become sequences of their own; what is left is a remainder of fewer ids. A seed remainder opens a sequence, its
 highest-scoring unused neighbours by BM25 fill it, and the last one is cut where the sequence is full; its rest
 stays available. When no neighbour shares a term, the next unused remainder continues. The
-end of a shard is cut into sequences whose lengths are powers of two, which need no padding.
+end is cut into sequences whose lengths are powers of two, which need no padding.
+
+Retrieval covers all remainders and scores all terms of the seed. Packing goes in rounds: the next seeds' terms go to
+every index shard, each shard ranks its unused remainders, the best of all shards are merged, and the sequences are filled
+in the order of the seeds. A list is a part of the ranking: a sequence whose list is used up asks again
+in the next round. The last 1,024 remainders, or a table of so many, are packed one seed at a time, with whole rankings.
 
 Terms are token ids, so corpus statistics (documents per term, number and mean length of remainders) have a fixed size whatever
 the corpus: one number per id of the vocabulary, counted over all documents with partial aggregation and broadcast.
@@ -15,8 +19,10 @@ printable ASCII character or a Latin letter, where the pre-tokeniser always cuts
 a slice is encoded once and the ids are gathered. The file's added tokens (``<|endoftext|>``) are cut out first and get their
 own ids. Tests compare this with the ``tokenizers`` library on whole texts.
 
-Scale: text is read once; ids travel as 2-byte numbers through one written table and one shuffle. Shards are hash
-buckets of bounded size, so no shard follows a hot source.
+Scale: text is read once; ids travel as 2-byte numbers through one written table, and the remainders through one shuffle. Index
+shards are slices of bounded size of the written table and do not move; a round shuffles its lists. Every seed is scored against
+every unused remainder, so CPU grows with the square of the corpus. The driver holds the length and state of each remainder (some 30 bytes) and a round's
+lists.
 
 Edge cases: null text is empty and packs as its end id; repeated rows are packed separately; null ids keep a null id;
 a document longer than a sequence spans several; an empty table gives no rows.
@@ -25,14 +31,13 @@ a document longer than a sequence spans several; an empty table gives no rows.
 from __future__ import annotations
 
 import json
-import math
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardrag.llm.arrowtext import pieces, prefix_sums, ranges, span_hashes
@@ -42,7 +47,12 @@ LENGTH = 1024
 END_ID = 0
 SHARD_TOKENS = 1 << 21
 K1, B = 1.2, 0.75
-QUERY_TERMS = 24
+#: Seeds of a round: a quarter of the unused remainders within these bounds. Entries of all lists of a round, and of one list at least.
+MIN_SEEDS, MAX_SEEDS = 1 << 10, 1 << 16
+LIST_ENTRIES, MIN_LIST = 1 << 20, 10
+#: Weights are whole multiples of 1/256, so that sums are exact in any order; seeds that are scored at a time.
+UNIT, BLOCK = 256, 256
+_LOW = 0xFFFFFFFF
 #: Bytes after a space at which a text may be cut: printable ASCII, and the lead byte of the Latin letters U+00C0 to U+00FF.
 _CUT_AFTER = np.zeros(256, dtype=bool)
 _CUT_AFTER[0x21:0x7F] = _CUT_AFTER[0xC3] = True
@@ -185,126 +195,294 @@ def term_statistics(tokens: DataFrame, length: int = LENGTH) -> tuple[np.ndarray
 
 
 class Bm25Index:
-    """Inverted index of one shard's remainders; scores are BM25 with the corpus's statistics."""
+    """Inverted index of one shard's remainders; scores are BM25 with the corpus's statistics.
+
+    Terms that many of its remainders hold are rows of a matrix, the others are postings.
+    """
 
-    def __init__(self, rests: list[np.ndarray], frequency: np.ndarray, documents: int, mean: float, query_terms: int = QUERY_TERMS):
-        self.count, self.query_terms = len(rests), query_terms
+    def __init__(self, rests: list[np.ndarray], frequency: np.ndarray, documents: int, mean: float):
+        self.count = len(rests)
         lengths = np.array([len(r) for r in rests])
         doc = np.repeat(np.arange(len(rests)), lengths)
         pair, tf = np.unique(np.concatenate(rests).astype(np.int64) << 32 | doc, return_counts=True)
-        term, self.doc = pair >> 32, pair & 0xFFFFFFFF
+        term, self.doc = pair >> 32, pair & _LOW
         idf = np.log1p((documents - frequency + 0.5) / (frequency + 0.5))
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / max(mean, 1e-9)))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / max(mean, 1e-9)))
+        weight = np.maximum(1, np.rint(UNIT * weight))
+        exact = np.float32 if weight.max() * lengths.max() < 1 << 24 else np.float64
+        self.weight = weight.astype(exact)
         self.begin = np.searchsorted(term, np.arange((1 << 16) + 1))
-        # Each document's terms, most telling first: those are its query.
-        order = np.lexsort((term, -self.weight, self.doc))
-        self.terms, self.first = term[order], np.searchsorted(self.doc[order], np.arange(len(rests) + 1))
+        held = np.diff(self.begin)
+        common = np.flatnonzero(held * 16 > self.count)
+        self.row = np.full(1 << 16, -1)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.count), dtype=exact)
+        at = ranges(self.begin[common], held[common])
+        self.matrix[np.repeat(np.arange(len(common)), held[common]), self.doc[at]] = self.weight[at]
+
+    def scores(self, terms: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Scores (in units) of all remainders for each query; ``terms`` are the queries' distinct terms in a row."""
+        query = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        row = self.row[terms]
+        asked = np.zeros((len(first) - 1, len(self.matrix)), dtype=self.matrix.dtype)
+        asked[query[row >= 0], row[row >= 0]] = 1
+        out = asked @ self.matrix
+        rare, query = terms[row < 0].astype(np.int64), query[row < 0]
+        n = self.begin[rare + 1] - self.begin[rare]
+        at = ranges(self.begin[rare], n)
+        np.add.at(out.reshape(-1), np.repeat(query * self.count, n) + self.doc[at], self.weight[at])
+        return out
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Documents that share a query term with ``seed``, best first; ties by number."""
-        own = self.terms[self.first[seed]:self.first[seed + 1]][:self.query_terms]
-        lo = self.begin[own]
-        at = ranges(lo, self.begin[own + 1] - lo)
-        score = np.bincount(self.doc[at], weights=self.weight[at], minlength=self.count)
+        """Documents that share a term with ``seed``, best first; ties by number."""
+        own = np.unique(np.repeat(np.arange(1 << 16), np.diff(self.begin))[self.doc == seed])
+        score = self.scores(own, np.array([0, len(own)]))[0]
         found = np.flatnonzero(score > 0)
         return found[np.lexsort((found, -score[found]))]
 
 
-def pack_shard(documents: list[np.ndarray], frequency: np.ndarray, total: int, mean: float, length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of every piece of a shard."""
-    out: list[tuple[int, int, int, int, int]] = []
-    sequence = 0
-    rests, owner, begin = [], [], []
-    for d, ids in enumerate(documents):
-        full = len(ids) // length
-        for k in range(full):
-            out.append((d, k * length, length, sequence, 0))
-            sequence += 1
-        if len(ids) > full * length:
-            rests.append(ids[full * length:])
-            owner.append(d)
-            begin.append(full * length)
-    if not rests:
-        return out
-    index = Bm25Index(rests, frequency, total, mean)
-    left = np.array([len(r) for r in rests])
-    used = np.zeros(len(rests), dtype=bool)
-    unused = 0  # everything before it is used
-    line: list[tuple[int, int, int, int]] = []  # pieces of the open sequence: document, start, length, offset
-    size = 0
-
-    def take(i: int) -> None:
-        """Put remainder i into the open sequence; cut it where the sequence is full."""
-        nonlocal size, sequence, line
-        room = min(int(left[i]), length - size)
-        line.append((owner[i], begin[i], room, size))
-        size += room
-        begin[i] += room
-        left[i] -= room
-        used[i] = left[i] == 0
-        if size == length:
-            out.extend((d, s, n, sequence, o) for d, s, n, o in line)
-            sequence, line, size = sequence + 1, [], 0
-
-    pending = -1  # a remainder that was cut opens the next sequence
-    while True:
-        if pending >= 0 and not used[pending]:
-            seed = pending
-        else:
-            while unused < len(rests) and used[unused]:
-                unused += 1
-            if unused == len(rests):
-                break
-            seed = unused
-        take(seed)
-        pending = -1
-        if not size:
-            pending = seed
-            continue
-        for i in index.neighbours(seed).tolist():
-            if not used[i]:
-                take(i)
-                if not size:
-                    pending = i
-                    break
-    # What is left of the last sequence is cut into powers of two.
-    parts = [1 << k for k in range(size.bit_length() - 1, -1, -1) if size >> k & 1]
-    at = 0
-    for d, s, n, _ in line:
-        while n:
-            put = min(n, parts[0] - at)
-            out.append((d, s, put, sequence, at))
-            s, n, at = s + put, n - put, at + put
-            if at == parts[0]:
-                parts.pop(0)
-                sequence, at = sequence + 1, 0
+def enter(best: np.ndarray, index: Bm25Index, numbers: np.ndarray, terms: np.ndarray, first: np.ndarray) -> None:
+    """Enter an index's remainders into the lists of all queries: codes of score and number, best first, 0 where a list ends."""
+    k = best.shape[1]
+    for a in range(0, len(best), BLOCK):
+        b = min(a + BLOCK, len(best))
+        score = index.scores(terms[first[a]:first[b]], first[a:b + 1] - first[a])
+        floor = np.maximum(best[a:b, -1] >> 32, 1)
+        if index.count > k:
+            floor = np.maximum(floor, np.partition(score, index.count - k, axis=1)[:, index.count - k])
+        query, doc = np.nonzero(score >= floor[:, None].astype(score.dtype))
+        codes = np.concatenate((best[a:b].reshape(-1), score[query, doc].astype(np.int64) << 32 | (_LOW - numbers[doc])))
+        query = np.concatenate((np.repeat(np.arange(b - a), k), query))
+        order = np.lexsort((-codes, query))
+        begin = np.searchsorted(query[order], np.arange(b - a))
+        best[a:b] = codes[order[begin[:, None] + np.arange(k)]]
+
+
+class Packer:
+    """State of the packing: what is left of each remainder, the open sequences, and the pieces of the full ones."""
+
+    def __init__(self, lengths: np.ndarray, length: int = LENGTH):
+        self.length, self.sequence = length, 0
+        self.left, self.begin = lengths.astype(np.int32), np.zeros(len(lengths), dtype=np.int32)
+        self.used, self.cut = lengths == 0, np.zeros(len(lengths), dtype=bool)
+        self.waiting: list[tuple[int, list]] = []  # open sequences by seed whose lists are used up
+        self.idle: list[list] = []  # open sequences whose seeds have no neighbour left
+        self.out: list[tuple[int, int, int, int, int]] = []  # remainder, start, length, sequence, offset
+
+    def seeds(self) -> tuple[list[int], int]:
+        """(what to ask for next, entries of a list): open sequences first, then rests of cut remainders, then the next unused."""
+        free = np.flatnonzero(~self.used)
+        if not len(free):
+            return [], 0
+        count = min(MAX_SEEDS, max(MIN_SEEDS, len(free) // 4))
+        self.asked = [seed for seed, _ in self.waiting[:count]]
+        self.fresh = free[np.argsort(~self.cut[free], kind="stable")][:max(0, count - len(self.asked))].tolist()
+        seeds = self.asked + self.fresh
+        return seeds, max(MIN_LIST, LIST_ENTRIES // len(seeds))
+
+    def fill(self, lists: dict[int, np.ndarray], entries: int) -> None:
+        """Fill sequences by the lists of the seeds asked for; a list of fewer than ``entries`` is a whole ranking."""
+        again, self.waiting = self.waiting[:len(self.asked)], self.waiting[len(self.asked):]
+        for seed, line in again:
+            self._extend(seed, line, lists, entries)
+        for seed in self.fresh:
+            if not self.used[seed]:
+                self._extend(seed, self.idle.pop() if self.idle else [], lists, entries)
+
+    def _extend(self, seed: int, line: list, lists: dict[int, np.ndarray], entries: int) -> None:
+        while True:
+            while self.left[seed]:
+                line = self._take(seed, line)
+            if not line:
+                return
+            cut = -1
+            for i in lists[seed].tolist():
+                if not self.used[i]:
+                    line = self._take(i, line)
+                    if not line:
+                        cut = i if self.left[i] else -1
+                        break
+            if line:
+                if len(lists[seed]) < entries:
+                    self.idle.append(line)
+                else:
+                    self.waiting.append((seed, line))
+                return
+            if cut < 0 or cut not in lists:
+                return
+            seed = cut  # a remainder that was cut opens the next sequence
+
+    def _take(self, i: int, line: list) -> list:
+        """Put remainder i into an open sequence; cut it where the sequence is full. The open sequence, empty when it was full."""
+        at = line[-1][2] + line[-1][3] if line else 0
+        n = min(int(self.left[i]), self.length - at)
+        line.append((i, int(self.begin[i]), n, at))
+        self.begin[i] += n
+        self.left[i] -= n
+        self.used[i], self.cut[i] = self.left[i] == 0, True
+        if at + n < self.length:
+            return line
+        self.out.extend((d, s, m, self.sequence, o) for d, s, m, o in line)
+        self.sequence += 1
+        return []
+
+    def finish(self) -> None:
+        """Nothing is unused: open sequences are joined, and the end is cut into powers of two."""
+        pieces = [(d, s, n) for line in [*(line for _, line in self.waiting), *self.idle] for d, s, n, _ in line]
+        self.waiting, self.idle = [], []
+        size = sum(n for _, _, n in pieces)
+        rest = size % self.length
+        parts = [self.length] * (size // self.length) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
+        k = at = 0
+        for d, s, n in pieces:
+            while n:
+                put = min(n, parts[k] - at)
+                self.out.append((d, s, put, self.sequence, at))
+                s, n, at = s + put, n - put, at + put
+                if at == parts[k]:
+                    k, at, self.sequence = k + 1, 0, self.sequence + 1
+
+    def pieces(self) -> np.ndarray:
+        """The pieces of full sequences since the last call."""
+        done, self.out = np.array(self.out, dtype=np.int64).reshape(-1, 5), []
+        return done
+
+
+def _numbers(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Numbers from 0 of the rows of the written table, from the ids that Spark gave them (partition, then place)."""
+    return starts[rows >> 33] + (rows & ((1 << 33) - 1))
+
+
+def _remainders(batches: Iterator[pa.RecordBatch], starts: np.ndarray, wanted: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, ids) of the wanted remainders."""
+    for batch in batches:
+        number = _numbers(batch.column(0).to_numpy(), starts)
+        for k in np.flatnonzero(wanted[number]).tolist():
+            yield int(number[k]), _remainder(np.frombuffer(batch.column(1)[k].as_buffer(), dtype=np.uint16), length)
+
+
+def seed_terms(spark: SparkSession, tokens: DataFrame, starts: np.ndarray, seeds: list[int], total: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct terms of the seeds in a row, first of each)."""
+    wanted = np.zeros(total, dtype=bool)
+    wanted[seeds] = True
+    shared = spark.sparkContext.broadcast((starts, np.packbits(wanted)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, bits = shared.value
+        found = [(n, np.unique(ids).tobytes()) for n, ids in _remainders(batches, starts, np.unpackbits(bits).view(bool), length)]
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary())], names=["number", "terms"])
+
+    found = tokens.select("row", "ids").mapInArrow(run, "number long, terms binary").toArrow()  # the seeds of one round
+    shared.destroy()
+    terms = dict(zip(found["number"].to_pylist(), found["terms"].to_pylist()))
+    own = [np.frombuffer(terms[s], dtype=np.uint16) for s in seeds]
+    return np.concatenate(own), np.concatenate(([0], np.cumsum([len(t) for t in own])))
+
+
+def rank(spark: SparkSession, tokens: DataFrame, starts: np.ndarray, statistics: tuple[np.ndarray, int, float], queries: tuple[np.ndarray, np.ndarray],
+         used: np.ndarray, entries: int, length: int, shard_tokens: int) -> list[np.ndarray]:
+    """The best unused remainders for each query over all index shards, best first; ties by number."""
+    shared = spark.sparkContext.broadcast((starts, statistics, queries, np.packbits(~used)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, statistics, (terms, first), bits = shared.value
+        best = np.zeros((len(first) - 1, entries), dtype=np.int64)
+        numbers, rests, size = [], [], 0
+        for number, ids in _remainders(batches, starts, np.unpackbits(bits).view(bool), length):
+            numbers.append(number)
+            rests.append(ids)
+            size += len(ids)
+            if size >= shard_tokens:
+                enter(best, Bm25Index(rests, *statistics), np.array(numbers), terms, first)
+                numbers, rests, size = [], [], 0
+        if rests:
+            enter(best, Bm25Index(rests, *statistics), np.array(numbers), terms, first)
+        found = np.flatnonzero(best[:, 0])
+        counts = (best[found] > 0).sum(axis=1)
+        codes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(best[best > 0], pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), codes], names=["query", "codes"])
+
+    lists = tokens.select("row", "ids").mapInArrow(run, "query long, codes array<long>").groupBy("query") \
+        .agg(F.slice(F.sort_array(F.flatten(F.collect_list("codes")), False), 1, entries).alias("codes")).toArrow()  # one round's lists
+    shared.destroy()
+    out = [np.zeros(0, dtype=np.int64)] * (len(queries[1]) - 1)
+    for part in lists.to_batches():
+        codes = part.column(1)
+        flat, first = _LOW - (codes.flatten().to_numpy() & _LOW), np.concatenate(([0], np.cumsum(codes.value_lengths().to_numpy())))
+        for k, query in enumerate(part.column(0).to_pylist()):
+            out[query] = flat[first[k]:first[k + 1]]
     return out
 
 
 _PIECE = "key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
 def pack(docs: DataFrame, tokenizer_path: str, key_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
          shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Sequence ids are odd for full windows of one document and even for packed remainders.
+    """
     spark = docs.sparkSession
-    tokens = materialize(tokenise(docs, tokenizer_path, key_col, text_col), "tokens")
-    total = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    shards = max(1, math.ceil(total / 2 / shard_tokens))
-    frequency, documents, mean = term_statistics(tokens, length)
-    shared = spark.sparkContext.broadcast((frequency, documents, mean))  # one number per id of the vocabulary
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("ids", "ascending")])
-        shard = table.column("shard")[0].as_py()
-        keys = table.column("key").to_pylist()
-        ids = [np.frombuffer(x, dtype=np.uint16) for x in table.column("ids").to_pylist()]
-        rows = pack_shard(ids, *shared.value, length)
-        doc, start, size, sequence, offset = (list(x) for x in zip(*rows))
-        crc = [zlib.crc32(ids[d][s:s + n].astype("<u4").tobytes()) for d, s, n, _, _ in rows]
-        return pa.table([pa.array([keys[d] for d in doc], pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()),
-                         pa.array([len(ids[d]) for d in doc], pa.int64()), pa.array([(shard << 32) + s for s in sequence], pa.int64()), pa.array(offset, pa.int64())],
-                        names=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("key", "ids"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, _PIECE).withColumnRenamed("key", key_col)
+    tokens = materialize(tokenise(docs, tokenizer_path, key_col, text_col).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    sizes = tokens.select("row", (F.octet_length("ids") / 2).cast("long").alias("n")).toArrow()  # two numbers a document
+    rows, counts = sizes["row"].to_numpy(), sizes["n"].to_numpy()
+    order = np.argsort(rows)
+    rows, counts = rows[order], counts[order]
+    starts = np.searchsorted(rows >> 33, np.arange((int(rows[-1]) >> 33) + 1 if len(rows) else 0))
+    statistics = term_statistics(tokens, length)
+
+    packer, packed = Packer(counts % length, length), []
+
+    def keep() -> None:
+        done = packer.pieces()
+        if len(done):
+            at = pa.table({"row": rows[done[:, 0]], "start": done[:, 1], "length": done[:, 2], "sequence_id": 2 * done[:, 3], "offset": done[:, 4]})
+            packed.append(materialize(spark.createDataFrame(at), "pieces"))
+
+    while (asked := packer.seeds())[0]:
+        seeds, entries = asked
+        queries = seed_terms(spark, tokens, starts, seeds, len(rows), length)
+        found = rank(spark, tokens, starts, statistics, queries, packer.used, entries, length, shard_tokens)
+        packer.fill(dict(zip(seeds, found)), entries)
+        keep()
+    packer.finish()
+    keep()
+
+    shared = spark.sparkContext.broadcast(starts)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = _numbers(batch.column("row").to_numpy(), shared.value).tolist()
+            out = []
+            for n, key, body in zip(number, batch.column("key").to_pylist(), batch.column("ids")):
+                ids = np.frombuffer(body.as_buffer(), dtype=np.uint16)
+                out.extend((key, k * length, length, _crc(ids[k * length:(k + 1) * length]), len(ids), ((n << 24) + k) * 2 + 1, 0) for k in range(len(ids) // length))
+            yield _piece_batch(out)
+
+    def remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, total, body, start, size, sequence, offset = (batch.column(c) for c in ("key", "total", "rest", "start", "length", "sequence_id", "offset"))
+            out = []
+            for k, x, b, s, n, q, o in zip(key.to_pylist(), total.to_pylist(), body, start.to_pylist(), size.to_pylist(), sequence.to_pylist(), offset.to_pylist()):
+                out.append((k, x // length * length + s, n, _crc(np.frombuffer(b.as_buffer(), dtype=np.uint16)[s:s + n]), x, q, o))
+            yield _piece_batch(out)
+
+    whole = tokens.mapInArrow(windows, _PIECE)
+    if packed:
+        pieces = packed[0]
+        for more in packed[1:]:
+            pieces = pieces.unionByName(more)
+        total = (F.octet_length("ids") / 2).cast("long")
+        rests = tokens.select("row", "key", total.alias("total"), F.expr(f"substring(ids, int(octet_length(ids) div {2 * length} * {2 * length} + 1))").alias("rest"))
+        whole = whole.unionByName(rests.join(pieces, "row").mapInArrow(remainders, _PIECE))
+    return whole.withColumnRenamed("key", key_col)
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])

@@ -399,3 +399,58 @@ def test_added_tokens_get_their_own_ids(spark):
     assert [ids[first[i]:first[i + 1]].tolist() for i in range(len(texts))] == want
     rows = packing.tokenise(documents(spark, texts), queries.tokenizer_path()).collect()
     assert {r.key: np.frombuffer(r.ids, dtype=np.uint16).tolist() for r in rows} == {i: w + [0] for i, w in enumerate(want)}
+
+
+@pytest.mark.parametrize("shard", [1 << 21, 300])
+def test_packing_retrieves_from_all_shards(spark, shard):
+    rng = random.Random(17)
+    topics = [[f"{chr(97 + t)}{rng.randrange(10**4)}" for _ in range(30)] for t in range(8)]
+    texts = [" ".join(rng.choice(topics[i % 8]) for _ in range(rng.randrange(4, 18))) for i in range(120)]
+    docs = documents(spark, texts).repartition(5, "doc_id")
+    length = 256
+    got = packing.pack(docs, queries.tokenizer_path(), length=length, shard_tokens=shard).collect()
+    together = {}
+    for r in got:
+        together.setdefault(r.sequence_id, set()).add(r.doc_id % 8)
+    # Documents of a topic meet whatever shard they are in: a sequence of unrelated documents holds most topics.
+    assert np.mean([len(t) for t in together.values()]) < 2.5
+
+
+def test_rankings_cover_all_shards_and_rounds_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rests = [rng.choice(np.arange(40 * (i % 5), 40 * (i % 5) + 60), rng.integers(1, 60)).astype(np.uint16) for i in range(150)]
+    tokens = spark.createDataFrame([(bytearray(r.tobytes()), (i // 40 << 33) + i % 40) for i, r in enumerate(rests)], "ids binary, row long").repartition(3)
+    frequency, total, mean = packing.term_statistics(tokens, 64)
+    starts, used = np.array([0, 40, 80, 120]), np.arange(150) % 7 == 3
+    index = packing.Bm25Index(rests, frequency, total, mean)
+    seeds = [0, 149, 20, 77]
+    asked = packing.seed_terms(spark, tokens, starts, seeds, 150, 64)
+    for entries, shard in ((9, 100), (150, 1 << 21), (40, 700)):
+        found = packing.rank(spark, tokens, starts, (frequency, total, mean), asked, used, entries, 64, shard)
+        for seed, ranked in zip(seeds, found):
+            want = [i for i in index.neighbours(seed).tolist() if not used[i]]
+            assert ranked.tolist() == want[:entries]
+    monkeypatch.setattr(packing, "MIN_SEEDS", 8)
+    monkeypatch.setattr(packing, "LIST_ENTRIES", 16)
+    packer = packing.Packer(np.array([len(r) for r in rests]), 64)
+    while (now := packer.seeds())[0]:
+        free = ~packer.used
+        packer.fill({s: np.array([i for i in index.neighbours(s) if free[i]][:now[1]], dtype=np.int64) for s in now[0]}, now[1])
+    packer.finish()
+    pieces = packer.pieces()
+    for column, size_of in ((0, {i: len(r) for i, r in enumerate(rests)}), (3, None)):
+        spans = {}
+        for p in pieces.tolist():
+            spans.setdefault(p[column], []).append((p[1] if column == 0 else p[4], p[2]))
+        for k, own in spans.items():
+            ends = np.cumsum([n for _, n in sorted(own)])
+            assert [s for s, _ in sorted(own)] == [0, *ends[:-1].tolist()]
+            assert ends[-1] == size_of[k] if size_of else ends[-1] == 64 or ends[-1] & (ends[-1] - 1) == 0
+
+
+def test_neighbours_score_every_term_of_the_seed():
+    rests = [np.arange(60, dtype=np.uint16), np.array([59], dtype=np.uint16), *(np.array([59, 70 + i], dtype=np.uint16) for i in range(3)), np.array([99], dtype=np.uint16)]
+    frequency = np.zeros(1 << 16, dtype=np.int64)
+    for r in rests:
+        frequency[np.unique(r)] += 1
+    assert set(packing.Bm25Index(rests, frequency, len(rests), 12.0).neighbours(0).tolist()) == {0, 1, 2, 3, 4}
