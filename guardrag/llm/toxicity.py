@@ -252,13 +252,17 @@ def train(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col:
     picked = marks.where(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < share * 1_000_003)
     texts = (docs.select(F.col(f"`{key_col}`").alias("key"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
              .join(F.broadcast(picked), "key"))  # about max_toxic + max_ordinary rows
-    # The sample is bounded in bytes too: beyond the bound the texts with the largest keys' hashes are left out.
-    found, size = [], 0
+    # The sample is bounded in bytes too: in the order of the hashes, a text that does not fit any more is left out.
+    found, size, left_out = [], 0, set()
     for r in texts.select("mark", "text", F.xxhash64("key", "text").alias("h")).orderBy("h").toLocalIterator():
-        size += len(r["text"])
-        if size > MAX_TRAIN_BYTES:
-            break
-        found.append((r["mark"] > 0, r["text"].encode()))
+        toxic, text = r["mark"] > 0, r["text"].encode()
+        if size + len(text) > MAX_TRAIN_BYTES:
+            left_out.add(toxic)
+            continue
+        size += len(text)
+        found.append((toxic, text))
+    if left_out - {toxic for toxic, _ in found}:
+        raise ValueError(f"no labelled text of a class fits the {MAX_TRAIN_BYTES} bytes of training text")
     return fit([t for toxic, t in found if toxic], [t for toxic, t in found if not toxic])
 
 

@@ -249,6 +249,20 @@ def test_toxicity_without_usable_labels(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_training_skips_a_text_that_does_not_fit(spark, monkeypatch):
+    rows = toxic_corpus()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9000 + i, "é" * 60_000) for i in range(6)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(9000 + i, 0) for i in range(6)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, ordinary: (sorted(toxic), sorted(ordinary)))
+    small = min(100_000, toxicity.MAX_TRAIN_BYTES)
+    monkeypatch.setattr(toxicity, "MAX_TRAIN_BYTES", small)
+    toxic, ordinary = toxicity.train(docs, labels)
+    assert toxic and ordinary and sum(map(len, toxic + ordinary)) <= small and not any("é".encode() * 60_000 == t for t in ordinary)
+    only = labels.where("doc_id >= 9000 or toxic > 0")
+    with pytest.raises(ValueError, match="no labelled text"):
+        toxicity.train(docs, only)
+
+
 def test_windows_cover_the_whole_text():
     folded = toxicity.fold("One, two\nTHREE " .encode() * 40 + "é".encode())
     parts = toxicity.windows(folded)
