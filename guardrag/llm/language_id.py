@@ -4,8 +4,8 @@ First the language family is decided, then one-versus-one linear support vector
 separate the languages within it. Features are relative frequencies of hashed byte 2-grams and
 3-grams of the lower-cased text, non-letters folded to one space, over the whole text.
 
-Training uses a sample of labelled rows: about ``max_per_lang`` per language (documented bound, a
-hash threshold, the same rows every time), reduced to feature vectors on the
+Training uses a sample of labelled texts: the ``max_per_lang`` distinct ones with the smallest hashes of each language (documented
+bound, the same texts every time, whatever their copies), reduced to feature vectors on the
 executors. The model is a table of 2 * 2**12 + 2**12 rows with one column per pair of
 classes; its size does not depend on the data. Prediction is a scan in place: a table look-up per byte and
 one sum per document, no shuffle.
@@ -26,7 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardrag.llm.arrowtext import LOWER, pieces
@@ -164,23 +164,26 @@ class Model:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_per_lang: int = MAX_PER_LANG) -> Model:
-    """Fit a model to the rows of ``labelled`` with a language: about ``max_per_lang`` of each, by a hash threshold."""
+    """Fit a model to the rows of ``labelled`` with a language: the ``max_per_lang`` distinct texts of each with the smallest hashes."""
     rows = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()}
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not counts:
         return Model([], np.zeros((0, WIDTH)), np.array([]))
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, max_per_lang / n))])
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    smallest = hashed.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= max_per_lang).drop("place")
+    picked = hashed.join(F.broadcast(smallest), ["lang", "h"]).select("lang", "h", "text")  # max_per_lang hashes per language
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches, "text"):
             packed = [zlib.compress(_counts(data[a:b]).tobytes(), 1) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(packed, pa.binary())], names=["lang", "n", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(packed, pa.binary())], names=["lang", "h", "n", "counts"])
 
-    # About ``max_per_lang`` vectors of a few KB per language reach the driver.
-    found = sorted((r["lang"], r["n"], bytes(r["counts"])) for r in picked.mapInArrow(vectors, "lang string, n long, counts binary").collect())
+    # One vector of a few KB for each hash reaches the driver; copies of a text have equal vectors.
+    one = picked.mapInArrow(vectors, "lang string, h long, n long, counts binary").groupBy("lang", "h").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
+    found = sorted((r["lang"], r["n"], bytes(r["counts"])) for r in one.collect())
     x = np.empty((len(found), WIDTH), dtype=np.float32)
     for i, (_, n, counts) in enumerate(found):
         x[i] = np.frombuffer(zlib.decompress(counts), dtype=np.uint16) / np.float32(max(n, 1))

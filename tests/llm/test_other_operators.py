@@ -249,6 +249,14 @@ def test_toxicity_without_usable_labels(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_language_training_takes_distinct_texts(spark, monkeypatch):
+    rows = [("en", "the same page again")] * 900 + [("en", f"page number {i} of many") for i in range(300)] + [("de", "eine Seite")] * 40 + [("de", "noch eine")]
+    monkeypatch.setattr(language_id, "Model", lambda langs, x, y: (langs, x, y))
+    for most in (250, 301, 400):
+        langs, x, y = language_id.train(spark.createDataFrame(rows, "lang string, text string").repartition(4), max_per_lang=most)
+        assert langs == ["de", "en"] and len(x) == len(y) and (y == "de").sum() == 2 and (y == "en").sum() == min(most, 301)
+
+
 def test_toxicity_training_skips_a_text_that_does_not_fit(spark, monkeypatch):
     rows = toxic_corpus()
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9000 + i, "é" * 60_000) for i in range(6)], "doc_id long, text string").repartition(3)
