@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardrag.llm import decontaminate, fingerprint, jaccard_join, language_id, packing, sharding, suffix_dedup, toxicity, url_filter, warc
+from guardrag.llm import (centroid_cluster, decontaminate, fingerprint, importance, jaccard_join, language_id, packing, pivot_index, sharding, suffix_dedup,
+                          toxicity, url_filter, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,8 +75,47 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_cluster.clusters_with_inertia(_table(spark, sf_dir, "embeddings"))
+
+
+def _cluster_sql() -> str:
+    """Four assignments and three updates as a chain of common table expressions."""
+    c = centroid_cluster
+    steps = [f"""
+WITH kept AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({c.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {c.DIMS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {c.DIMS}),
+comp AS (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept),
+c0 AS (
+    SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i
+    FROM (SELECT row_number() OVER (ORDER BY sha256('{c.SEED}:' || vec_id), v) - 1 AS k, v FROM kept) WHERE k < {c.CLUSTERS})"""]
+    for n in range(c.ROUNDS + 1):
+        steps.append(f"""
+a{n} AS (
+    SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d
+    FROM (SELECT comp.r, c{n}.k, sum((comp.x - c{n}.x) * (comp.x - c{n}.x))::BIGINT AS d FROM comp JOIN c{n} USING (i) GROUP BY ALL) GROUP BY r)""")
+        if n < c.ROUNDS:
+            steps.append(f"""
+c{n + 1} AS (
+    SELECT c{n}.k, c{n}.i, coalesce(m.x, c{n}.x) AS x
+    FROM c{n} LEFT JOIN (SELECT k, i, floor(sum(x) / count(*))::BIGINT AS x FROM comp JOIN a{n} USING (r) GROUP BY k, i) m ON m.k = c{n}.k AND m.i = c{n}.i)""")
+    return ",".join(steps) + f"""
+SELECT vec_id, k::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a{c.ROUNDS} JOIN kept USING (r) JOIN (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{c.ROUNDS} GROUP BY k) USING (k)"""
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_extendible_sharding, op3_suffix_dedup, op4_warc_archive, op5_url_filter, op6_decontaminate,
-                                   op7_jaccard_join, op8_fingerprints, op9_toxicity, op10_packing)}
+                                   op7_jaccard_join, op8_fingerprints, op9_toxicity, op10_packing, op11_importance_resampling, op12_embedding_dedup,
+                                   op13_centroid_clustering)}
 
 ORACLES = {
     "op2_extendible_sharding": f"""
@@ -181,4 +221,48 @@ reach(a, b) AS (
     SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a) m USING (doc_id)""",
+    "op11_importance_resampling": rf"""
+WITH RECURSIVE lut(k, v, n) AS (
+    SELECT k::BIGINT, k::BIGINT, 0 FROM range(256) t(k)
+    UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM lut WHERE n < 8),
+t AS (SELECT k, v FROM lut WHERE n = 8),
+texts AS (
+    SELECT 0 AS src, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+d AS (
+    SELECT src, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+grams AS (
+    SELECT src, r, f, count(*) AS n FROM (
+        SELECT src, r, w[s] AS f FROM (SELECT src, r, w, unnest(generate_series(1, len(w))) AS s FROM d)
+        UNION ALL SELECT src, r, w[s] || ' ' || w[s + 1] FROM (SELECT src, r, w, unnest(generate_series(1, len(w) - 1)) AS s FROM d)
+        UNION ALL SELECT src, r, w[s] || ' ' || w[s + 1] || ' ' || w[s + 2] FROM (SELECT src, r, w, unnest(generate_series(1, len(w) - 2)) AS s FROM d))
+    GROUP BY ALL),
+names AS (SELECT row_number() OVER () AS id, f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM grams)),
+crc(id, h, c) AS (
+    SELECT id, h, 4294967295::BIGINT FROM names
+    UNION ALL SELECT id, substr(h, 3), xor(c >> 8, t.v) FROM crc JOIN t ON t.k = xor(c, ('0x' || substr(h, 1, 2))::BIGINT) & 255 WHERE h <> ''),
+hashed AS (SELECT f, xor(c, 4294967295) % {importance.BUCKETS} AS b FROM crc JOIN names USING (id) WHERE crc.h = ''),
+tallies AS (SELECT b, coalesce(sum(n) FILTER (src = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (src = 1), 0)::DOUBLE AS t FROM grams JOIN hashed USING (f) GROUP BY b),
+gains AS (
+    SELECT b, floor(1000 * ln((t + 1) * (sum(s) OVER () + {importance.BUCKETS}) / ((s + 1) * (sum(t) OVER () + {importance.BUCKETS}))))::BIGINT AS gain FROM tallies),
+weights AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM grams JOIN hashed USING (f) JOIN gains USING (b) WHERE src = 0 GROUP BY r),
+scores AS (
+    SELECT doc_id, len(w) >= {importance.MIN_WORDS} AS eligible, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM d LEFT JOIN weights USING (r) WHERE src = 0),
+places AS (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) AS place, count(*) FILTER (eligible) OVER () AS n FROM scores)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= {importance.PERCENT} * n // 100 THEN place END AS rank FROM places""",
+    "op12_embedding_dedup": """
+WITH RECURSIVE v AS (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+           AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) THEN label END AS label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+links AS (
+    SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS r, min(vec_id) AS m FROM reach JOIN v ON v.r = b GROUP BY a),
+degrees AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least(m, vec_id), vec_id) AS component_id,
+       vec_id IS NOT DISTINCT FROM coalesce(least(m, vec_id), vec_id) AS kept
+FROM v LEFT JOIN least USING (r) LEFT JOIN degrees USING (r)""",
+    "op13_centroid_clustering": _cluster_sql(),
 }
