@@ -17,13 +17,16 @@ from guardrag.config import ChunkingOptions, IngestionOptions
 from guardrag.plans.ingest import ingest_to_store
 from guardrag.session import scratch_scope
 from guardrag.sources.files import read_documents, stream_documents
+from guardrag.streaming.once import without_copies
 
 
 def start_ingest_stream(spark: SparkSession, store_root: str, checkpoint: str,
                         opts: IngestionOptions = IngestionOptions(), chunking: ChunkingOptions = ChunkingOptions(),
-                        available_now: bool = False, docs: DataFrame | None = None, **ingest_kwargs) -> StreamingQuery:
-    """``docs``: a stream of (title, content) rows to ingest instead of the folder's files."""
+                        available_now: bool = False, docs: DataFrame | None = None, skip_copies: str | None = None, **ingest_kwargs) -> StreamingQuery:
+    """``docs``: a stream of (title, content) rows to ingest instead of the folder's files. ``skip_copies``: how long (event time, column
+    ``modified_at``) a content counts as ingested, so that a renamed copy adds no chunk; None goes by file name alone."""
     docs = stream_documents(spark, opts.source_path, opts.file_extensions) if docs is None else docs
+    docs = docs if skip_copies is None else without_copies(docs, skip_copies)
 
     def batch(df: DataFrame, batch_id: int) -> None:
         with scratch_scope(df.sparkSession):
