@@ -25,7 +25,7 @@ from guardrag.functions.safety import model_answerer, output_safety, template_an
 from guardrag.functions.similarity import cosine
 from guardrag.operators.chunking import chunk_documents
 from guardrag.operators.retrieval import search, topk_batch
-from guardrag.operators.store import ConcurrentCommit, read_rejects, read_store, upsert, upsert_store, validate_chunks, write_snapshot
+from guardrag.operators.store import compact_store, read_rejects, read_store, upsert, upsert_store, validate_chunks, write_snapshot
 from guardrag.plans.ask import answers_of, ask_batch, ask_pii_report, run_ask
 from guardrag.plans.ingest import ingest_documents, ingest_to_store
 from guardrag.session import get_spark
@@ -33,7 +33,7 @@ from guardrag.sources.files import read_documents
 from guardrag.sources.queries import read_queries
 
 __all__ = [
-    "AskOptions", "ChunkingOptions", "ConcurrentCommit", "DisclaimerOptions", "IngestionOptions", "QueryOptions", "RelevanceOptions",
+    "AskOptions", "ChunkingOptions", "compact_store", "DisclaimerOptions", "IngestionOptions", "QueryOptions", "RelevanceOptions",
     "RetrievalOptions", "answers_of", "ask_batch", "ask_pii_report", "chunk_documents", "constant_embedder",
     "contains_pii", "cosine", "get_spark", "hashing_embedder", "ingest_documents", "ingest_to_store",
     "is_low_confidence", "is_too_long", "keyword_count", "model_answerer", "model_embedder", "output_safety", "read_documents", "read_queries",

@@ -81,7 +81,7 @@ def write_clustered(chunks: DataFrame, path: str, clusters: int | None = None, c
     h = F.xxhash64(F.col(chunk_id), F.col(vector_col))
     sample = chunks.select(vector_col, h.alias("h")).orderBy("h").limit(SAMPLE_PER_CLUSTER * wanted).collect()
     dim = stats["hi"] or 0
-    vectors = np.array([[math.nan if x is None else x for x in r[0]] for r in sample], dtype=np.float32).reshape(-1, dim)
+    vectors = np.array([[math.nan if x is None else x for x in r[0]] for r in sample], dtype=np.float32).reshape(len(sample), dim)
     centroids = fit_centroids(vectors, wanted)
 
     schema = T.StructType([*chunks.schema.fields, T.StructField("angle", T.DoubleType()), T.StructField("cluster", T.IntegerType())])
@@ -112,7 +112,7 @@ class Clusters:
         self.loose = sum(r["n"] for r in rows if r["cluster"] < 0)
         rows = [r for r in rows if r["cluster"] >= 0]
         self.numbers = np.array([r["cluster"] for r in rows], dtype=np.int64)
-        self.centroids = np.array([r["centroid"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+        self.centroids = np.array([r["centroid"] for r in rows], dtype=np.float64).reshape(len(rows), len(rows[0]["centroid"]) if rows else 0)
         self.radii, self.sizes = np.array([r["radius"] for r in rows]), np.array([r["n"] for r in rows], dtype=np.int64)
 
     def nearest(self, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,23 +1,16 @@
 """Chunk store: validation (T4), upsert (S5) and immutable snapshots.
 
-The store is a directory of parquet folders, one per key bucket and commit, plus a
-log of manifests naming them; the latest manifest is current. A write never
-touches a folder being read, so readers always see a consistent table, and a
-failed write leaves the previous version current.
+The store is append-only Parquet written by DataFrame writers: ``rows/version=N`` holds the rows of batch N,
+``base/version=N`` all rows as they were at version N (a compaction), ``rejects/version=N`` what batch N refused, and
+``commits`` one row per finished batch. A batch writes its own rows and nothing else; the read resolves the latest row of a key.
+A batch whose commit row is missing is not there, so a failed write leaves the previous version current.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-from dataclasses import asdict, dataclass
-
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from guardrag.session import materialize
 
 REJECT_EMPTY_EMBEDDING = "empty_embedding"
 REJECT_EMPTY_ID = "empty_id"
@@ -97,8 +90,8 @@ def upsert(existing: DataFrame | None, updates: DataFrame, key: str = "chunk_id"
     sequence an update beats the stored row.
 
     The result holds one row per key whatever the batch size: repeated keys on either
-    side collapse, and a null key is one key like any other. ``upsert_store`` applies
-    it to the touched buckets of a stored snapshot only.
+    side collapse, and a null key is one key like any other. ``read_store`` applies the same rule to
+    what was appended.
     """
     upd = updates.withColumn("_src", F.lit(1))
     if existing is None:
@@ -107,140 +100,103 @@ def upsert(existing: DataFrame | None, updates: DataFrame, key: str = "chunk_id"
 
 
 # ---------------------------------------------------------------------------
-# Snapshots: a log of manifests, each naming one immutable folder per key bucket
+# Versions: appended batches, resolved when they are read
 # ---------------------------------------------------------------------------
 
-LOG = "_log"
-DEFAULT_BUCKETS = 32
-
-
-class ConcurrentCommit(RuntimeError):
-    """Another writer committed the version this one was about to commit."""
-
-
-@dataclass(frozen=True)
-class Manifest:
-    """A committed version: the folder of every non-empty bucket, relative to the store."""
+_COMMIT = "version long, kind string, rejects boolean"
 
-    version: int
-    buckets: int
-    schema: str
-    paths: dict[str, str]
-    rejects: str | None = None
 
-
-def _hadoop(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Committed versions. Only an absent log is an empty store; any other failure is raised."""
-    fs, path = _hadoop(spark, f"{root.rstrip('/')}/{LOG}")
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
-
-
-def read_manifest(spark: SparkSession, root: str, version: int | None = None) -> Manifest | None:
-    """The latest (or the given) committed version; None for a store that was never written."""
-    known = _versions(spark, root)
-    if not known:
-        return None
-    version = known[-1] if version is None else version
-    text = spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/{LOG}/{version:020d}.json").first()
-    if text is None:
-        raise ValueError(f"store log entry {version} under {root!r} is empty")
-    return Manifest(**json.loads(text[0]))
-
-
-def _commit(spark: SparkSession, root: str, manifest: Manifest) -> None:
-    """Publish a manifest by writing it aside and renaming it, which fails if the version exists."""
-    base = f"{root.rstrip('/')}/{LOG}"
-    fs, aside = _hadoop(spark, f"{base}/.{uuid.uuid4().hex}")
-    fs.mkdirs(aside.getParent())
-    out = fs.create(aside, False)
-    out.write(bytearray(json.dumps(asdict(manifest)).encode()))
-    out.close()
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{base}/{manifest.version:020d}.json")
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
-    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+def _table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """A part of the store; None if it was never written. Any other failure is raised."""
     try:
-        context.rename(fs.makeQualified(aside), fs.makeQualified(target), none)
-    except Py4JJavaError as e:
-        if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
-            fs.delete(aside, False)
-            raise ConcurrentCommit(f"version {manifest.version} of {root!r} was committed by another writer") from e
+        return spark.read.parquet(f"{root.rstrip('/')}/{name}")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
         raise
 
 
-def _read_buckets(spark: SparkSession, root: str, manifest: Manifest, buckets: list[int] | None = None) -> DataFrame:
-    schema = T.StructType.fromJson(json.loads(manifest.schema))
-    wanted = manifest.paths if buckets is None else {b: p for b, p in manifest.paths.items() if int(b) in set(buckets)}
-    if not wanted:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{root.rstrip('/')}/{p}" for p in wanted.values()])
+def latest_version(spark: SparkSession, root: str) -> int:
+    """The highest committed version; 0 for a store that was never written."""
+    commits = _table(spark, root, "commits")
+    return 0 if commits is None else commits.agg(F.max("version")).first()[0]
 
 
-def upsert_store(updates: DataFrame, root: str, *, key: str = "chunk_id", seq_col: str = "ingest_seq",
-                 rejects: DataFrame | None = None, buckets: int = DEFAULT_BUCKETS, base: Manifest | None | bool = True) -> int:
-    """Commit ``updates`` as the next version of the store and return that version.
+def _commit(spark: SparkSession, root: str, version: int, kind: str, rejects: bool = False) -> int:
+    spark.createDataFrame([(version, kind, rejects)], _COMMIT).coalesce(1).write.mode("append").parquet(f"{root}/commits")
+    return version
+
+
+def upsert_store(updates: DataFrame, root: str, *, key: str = "chunk_id", seq_col: str = "ingest_seq", rejects: DataFrame | None = None) -> int:
+    """Append ``updates`` (and ``rejects``) as the next version of the store and return that version.
 
-    Rows live in ``buckets`` hash buckets of the key; only the buckets that the batch touches are read,
-    merged and written anew, the others keep their folders. Nothing is overwritten: a failure before the
-    commit leaves the previous version current. Without ``seq_col`` in the updates the version is the
-    sequence, so later commits win even when a stream starts over with a new checkpoint.
-    ``base`` is the version the caller read (the latest if left out); if another
-    writer commits in between, ``ConcurrentCommit`` is raised and the store is as that writer left it.
+    Nothing that is stored is read or written again. Without ``seq_col`` in the updates the version is the sequence, so later
+    batches win even when a stream starts over with a new checkpoint. A batch that is replayed appends equal rows, of which the
+    read keeps one. Two writers at once lose nothing: their files stand side by side, under one version or two.
     """
-    spark = updates.sparkSession
-    root = root.rstrip("/")
-    base = read_manifest(spark, root) if base is True else base
-    version, n = (base.version + 1, base.buckets) if base else (1, buckets)
+    spark, root = updates.sparkSession, root.rstrip("/")
+    version = latest_version(spark, root) + 1
     if seq_col not in updates.columns:
         updates = updates.withColumn(seq_col, F.lit(version).cast("bigint"))
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
-    batch = materialize(updates, "store-batch")
-    touched = sorted(r[0] for r in batch.select(bucket.alias("b")).distinct().collect())  # at most ``buckets`` numbers
-    merged = upsert(_read_buckets(spark, root, base, touched) if base else None, batch, key, seq_col)
-    commit = uuid.uuid4().hex
-    if touched:
-        merged.withColumn("_bucket", bucket).hint("rebalance", "_bucket").write.mode("errorifexists").partitionBy("_bucket").parquet(f"{root}/data/{commit}")
-    kept = None
+    updates.write.mode("append").parquet(f"{root}/rows/version={version}")
     if rejects is not None:
-        kept = f"rejects/{commit}"
-        rejects.write.mode("errorifexists").parquet(f"{root}/{kept}")
-    paths = (base.paths if base else {}) | {str(b): f"data/{commit}/_bucket={b}" for b in touched}
-    _commit(spark, root, Manifest(version, n, base.schema if base else updates.schema.json(), paths, kept))
-    return version
+        rejects.write.mode("append").parquet(f"{root}/rejects/version={version}")
+    return _commit(spark, root, version, "rows", rejects is not None)
 
 
-def write_snapshot(df: DataFrame, root: str, key: str = "chunk_id", buckets: int = DEFAULT_BUCKETS) -> int:
-    """Commit ``df`` as the whole content of the next version."""
-    spark = df.sparkSession
-    base = read_manifest(spark, root)
-    n = base.buckets if base else buckets
-    commit = uuid.uuid4().hex
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
-    path = f"{root.rstrip('/')}/data/{commit}"
-    df.withColumn("_bucket", bucket).hint("rebalance", "_bucket").write.mode("errorifexists").partitionBy("_bucket").parquet(path)
-    fs, p = _hadoop(spark, path)
-    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    paths = {d.removeprefix("_bucket="): f"data/{commit}/{d}" for d in names if d.startswith("_bucket=")}
-    version = (base.version if base else 0) + 1
-    _commit(spark, root, Manifest(version, n, df.schema.json(), paths))
-    return version
+def write_snapshot(df: DataFrame, root: str) -> int:
+    """Write ``df`` (one row per key) as the whole content of the next version."""
+    spark, root = df.sparkSession, root.rstrip("/")
+    version = latest_version(spark, root) + 1
+    df.write.mode("errorifexists").parquet(f"{root}/base/version={version}")
+    return _commit(spark, root, version, "base")
+
 
+def compact_store(spark: SparkSession, root: str, key: str = "chunk_id", seq_col: str = "ingest_seq") -> int:
+    """Write the resolved rows once, so that later reads resolve only what was appended since. Older versions stay readable."""
+    resolved = read_store(spark, root, key=key, seq_col=seq_col)
+    if resolved is None:
+        raise ValueError(f"there is no store under {root!r}")
+    return write_snapshot(resolved, root)
 
-def read_store(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
-    """A committed version (the latest by default); None for a store that was never written."""
-    manifest = read_manifest(spark, root, version)
-    return None if manifest is None else _read_buckets(spark, root.rstrip("/"), manifest)
+
+def read_store(spark: SparkSession, root: str, version: int | None = None, key: str = "chunk_id", seq_col: str = "ingest_seq") -> DataFrame | None:
+    """A version of the store (the latest by default), one row per key; None for a store that was never written.
+
+    Only rows appended since the last compaction are shuffled to find the latest of each key. The compacted rows are scanned in place
+    where the appended keys are few enough for Spark to broadcast them.
+    """
+    commits = _table(spark, root, "commits")
+    if commits is None:
+        return None
+    known = commits if version is None else commits.where(F.col("version") <= version)
+    start = known.where("kind = 'base'").agg(F.max("version")).first()[0]
+    done = known.where(F.col("kind") == "rows").where(F.col("version") > (start or 0)).select("version").distinct()
+    rows = _table(spark, root, "rows")
+    fresh = None
+    if rows is not None:
+        appended = rows.where(F.col("version") > (start or 0)).join(F.broadcast(done), "version", "left_semi")
+        fresh = _latest(appended.withColumnRenamed("version", "_src"), key, seq_col)
+    if start is None:
+        return fresh
+    base = spark.read.parquet(f"{root.rstrip('/')}/base/version={start}")
+    if fresh is None or known.where(F.col("version") > start).isEmpty():
+        return base
+    if seq_col not in base.columns:
+        base = base.withColumn(seq_col, F.lit(start).cast("bigint"))
+    newer = fresh.select(F.col(key).alias("_key"), F.col(seq_col).alias("_seq"))
+    later = F.coalesce(F.col(seq_col) > F.col("_seq"), F.col(seq_col).isNotNull())  # a stored row loses on equal sequences; no sequence is the lowest
+    met = F.col(key).eqNullSafe(F.col("_key"))
+    winners = base.join(newer, met & later, "left_semi").select(F.col(key).alias("_key"))
+    kept = base.join(newer, met & ~later, "left_anti")
+    return kept.unionByName(fresh.join(winners, met, "left_anti").select(*base.columns))
 
 
 def read_rejects(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
-    """The rows that a commit refused, with their reason; None if it kept no rejects."""
-    manifest = read_manifest(spark, root, version)
-    return None if manifest is None or manifest.rejects is None else spark.read.parquet(f"{root.rstrip('/')}/{manifest.rejects}")
+    """The rows that a batch (the latest by default) refused, with their reason; None if it kept no rejects."""
+    commits = _table(spark, root, "commits")
+    if commits is None:
+        return None
+    version = latest_version(spark, root) if version is None else version
+    kept = commits.where((F.col("version") == version) & F.col("rejects"))
+    return None if kept.isEmpty() else spark.read.parquet(f"{root.rstrip('/')}/rejects/version={version}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from guardrag.config import ChunkingOptions
 from guardrag.functions.embedding import Embedder, hashing_embedder
 from guardrag.operators.chunking import chunk_documents
-from guardrag.operators.store import ConcurrentCommit, read_manifest, read_rejects, read_store, upsert_store, validate_chunks
+from guardrag.operators.store import read_rejects, read_store, upsert_store, validate_chunks
 from guardrag.session import materialize
 
 
@@ -33,24 +33,16 @@ def ingest_documents(docs: DataFrame, *, content_col: str = "content", title_col
     return validate_chunks(chunks, expected_dim, store=store, order_cols=["document_id", "pos"], mode=mode)
 
 
-def ingest_to_store(docs: DataFrame, root: str, ingest_seq: int | None = None, attempts: int = 3, **kwargs) -> tuple[int, DataFrame | None]:
-    """Ingest into the snapshot store at ``root``: upsert the touched buckets, commit the next
-    version together with the rejected chunks. Returns (version, rejects).
+def ingest_to_store(docs: DataFrame, root: str, ingest_seq: int | None = None, **kwargs) -> tuple[int, DataFrame | None]:
+    """Ingest into the store at ``root``: append the batch as the next version together with the
+    rejected chunks. Returns (version, rejects).
 
-    ``ingest_seq`` left out is the version, so the last commit wins. When another writer
-    commits first, the batch is validated and merged again on top of that version.
+    ``ingest_seq`` left out is the version, so the last commit wins. The dimension is that of the store, else of the
+    batch's first valid chunk; writers that start an empty store at once should be given ``expected_dim``.
     """
     spark = docs.sparkSession
-    for attempt in range(attempts):
-        base = read_manifest(spark, root)
-        current = read_store(spark, root, base.version) if base else None
-        valid, rejects = ingest_documents(docs, store=current, **kwargs)
-        if ingest_seq is not None:
-            valid = valid.withColumn("ingest_seq", F.lit(ingest_seq).cast("bigint"))
-        try:
-            version = upsert_store(valid, root, rejects=rejects, base=base)
-            return version, read_rejects(spark, root, version)
-        except ConcurrentCommit:
-            if attempt + 1 == attempts:
-                raise
-    raise ValueError("attempts must be at least 1")
+    valid, rejects = ingest_documents(docs, store=read_store(spark, root), **kwargs)
+    if ingest_seq is not None:
+        valid = valid.withColumn("ingest_seq", F.lit(ingest_seq).cast("bigint"))
+    version = upsert_store(valid, root, rejects=rejects)
+    return version, read_rejects(spark, root, version)

@@ -2,7 +2,7 @@
 
 A file stream with ``foreachBatch``: the checkpoint records which files were
 already ingested (skip-already-ingested), the trigger is the polling interval.
-Each micro-batch upserts into the snapshot store; chunk and document ids are
+Each micro-batch appends its own rows to the store and compacts it now and then; chunk and document ids are
 content-derived, so a replayed batch rewrites the same rows. The commit's version is
 the sequence, so a stream that starts over with a new checkpoint still wins over older
 rows. Rejected chunks are kept with each commit (``read_rejects``).
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from guardrag.config import ChunkingOptions, IngestionOptions
+from guardrag.operators.store import compact_store
 from guardrag.plans.ingest import ingest_to_store
 from guardrag.session import scratch_scope
 from guardrag.sources.files import read_documents, stream_documents
@@ -22,15 +23,18 @@ from guardrag.streaming.once import without_copies
 
 def start_ingest_stream(spark: SparkSession, store_root: str, checkpoint: str,
                         opts: IngestionOptions = IngestionOptions(), chunking: ChunkingOptions = ChunkingOptions(),
-                        available_now: bool = False, docs: DataFrame | None = None, skip_copies: str | None = None, **ingest_kwargs) -> StreamingQuery:
+                        available_now: bool = False, docs: DataFrame | None = None, skip_copies: str | None = None, compact_every: int | None = None,
+                        **ingest_kwargs) -> StreamingQuery:
     """``docs``: a stream of (title, content) rows to ingest instead of the folder's files. ``skip_copies``: how long (event time, column
-    ``modified_at``) a content counts as ingested, so that a renamed copy adds no chunk; None goes by file name alone."""
+    ``modified_at``) a content counts as ingested, so that a renamed copy adds no chunk; None goes by file name alone. ``compact_every``: compact the store after so many versions."""
     docs = stream_documents(spark, opts.source_path, opts.file_extensions) if docs is None else docs
     docs = docs if skip_copies is None else without_copies(docs, skip_copies)
 
     def batch(df: DataFrame, batch_id: int) -> None:
         with scratch_scope(df.sparkSession):
-            ingest_to_store(df, store_root, content_col="content", title_col="title", chunking=chunking, **ingest_kwargs)
+            version, _ = ingest_to_store(df, store_root, content_col="content", title_col="title", chunking=chunking, **ingest_kwargs)
+            if compact_every and version % compact_every == 0:
+                compact_store(df.sparkSession, store_root)
 
     writer = docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(

@@ -84,7 +84,8 @@ def live_pii_report(audit: DataFrame, window: str = "1 hour", delay: str = "10 m
     """P12 as a stream: ``(window_start, window_end, direction, pii_type, redactions, items)``, a row once its window is closed (append mode).
 
     ``counts`` names the counts column of each direction (by default those of the audit table). A window closes when the watermark, the latest time
-    seen less ``delay``, has reached its end; rows that are later than that are not in it and count in the batch report only.
+    seen less ``delay``, has reached its end; it is given out once, by the micro-batch that begins with that watermark. A row that comes in a later
+    micro-batch is late: it enters no window and counts in the batch report over the audit table only.
     Sums are formed per task first, so a type that is everywhere is no hot key. A null time belongs to no window.
     """
     counts = counts or {"input": "input_pii_type_counts", "output": "output_pii_type_counts"}

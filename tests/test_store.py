@@ -4,8 +4,7 @@ import pytest
 
 from conftest import rows
 from guardrag.operators.store import (
-    ConcurrentCommit,
-    read_manifest,
+    compact_store,
     read_rejects,
     read_store,
     upsert,
@@ -78,22 +77,57 @@ def test_stored_upsert_equals_the_frame_upsert(spark, tmp_path):
     new = spark.range(40, 60).selectExpr("cast(id as string) AS chunk_id",
                                          "CASE WHEN id % 2 = 0 THEN 2L ELSE 0L END AS ingest_seq", "'new' AS v")
     root = str(tmp_path / "store")
-    upsert_store(old, root, buckets=5)
+    upsert_store(old, root)
     upsert_store(new, root)
     stored, framed = ({r["chunk_id"]: r["v"] for r in rows(df)} for df in (read_store(spark, root), upsert(old, new)))
     assert stored == framed and len(stored) == 60
     assert all(stored[str(i)] == ("new" if i >= 50 or i >= 40 and i % 2 == 0 else "old") for i in range(60))
 
 
-def test_a_commit_rewrites_touched_buckets_only(spark, tmp_path):
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path):
     root = str(tmp_path / "store")
-    upsert_store(spark.range(500).selectExpr("cast(id as string) AS chunk_id", "id AS v"), root, buckets=100)
-    before = read_manifest(spark, root)
+    upsert_store(spark.range(500).selectExpr("cast(id as string) AS chunk_id", "id AS v"), root)
+    before = sorted(p.name for p in (tmp_path / "store" / "rows" / "version=1").iterdir())
     upsert_store(spark.createDataFrame([("7", -7)], "chunk_id string, v long"), root)
-    after = read_manifest(spark, root)
-    changed = [b for b in after.paths if before.paths.get(b) != after.paths[b]]
-    assert len(changed) == 1 and read_store(spark, root).count() == 500
-    assert read_store(spark, root).filter("chunk_id = '7'").first()["v"] == -7
+    assert spark.read.parquet(f"{root}/rows/version=2").count() == 1
+    assert sorted(p.name for p in (tmp_path / "store" / "rows" / "version=1").iterdir()) == before
+    assert read_store(spark, root).count() == 500 and read_store(spark, root).filter("chunk_id = '7'").first()["v"] == -7
+
+
+@pytest.mark.parametrize("at", [1, 2, 3])
+def test_compaction_changes_no_row(spark, tmp_path, at):
+    """Stale, equal, newer, repeated and null keys, with and without sequences, around a compaction after each batch."""
+    batches = [[("a", 5, "a5"), ("b", 1, "b1"), (None, 1, "n1"), ("s", None, "s0")], [("a", 4, "stale"), ("b", 1, "b1-again"), ("c", 2, "c2"), ("s", None, "s1")],
+               [(None, 2, "n2"), ("c", None, "none"), ("d", 1, "d1"), ("d", 0, "d0"), ("s", 0, "s2")]]
+    root, merged = str(tmp_path / "store"), None
+    for n, batch in enumerate(batches, 1):
+        frame = spark.createDataFrame(batch, "chunk_id string, ingest_seq long, v string")
+        upsert_store(frame, root)
+        merged = upsert(merged, frame)
+        if n == at:
+            compact_store(spark, root)
+        key = lambda r: (r["chunk_id"] or "", r["ingest_seq"], r["v"])
+        assert {key(r) for r in rows(read_store(spark, root))} == {key(r) for r in rows(merged)}
+    assert read_store(spark, root).count() == 6
+
+
+def test_a_compacted_store_is_scanned_in_place(spark, tmp_path):
+    root = str(tmp_path / "store")
+    upsert_store(spark.range(2000).selectExpr("cast(id as string) AS chunk_id", "id AS v"), root)
+    compact_store(spark, root)
+    upsert_store(spark.createDataFrame([("7", -7), ("x", 1)], "chunk_id string, v long"), root)
+    resolved = read_store(spark, root)
+    assert resolved.count() == 2001 and resolved.filter("chunk_id = '7'").first()["v"] == -7
+    plan = resolved._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_an_unfinished_batch_is_not_there(spark, tmp_path):
+    root = str(tmp_path / "store")
+    upsert_store(spark.createDataFrame([("a", 1)], "chunk_id string, v long"), root)
+    spark.createDataFrame([("b", 2, 2)], "chunk_id string, v long, ingest_seq long").write.parquet(f"{root}/rows/version=2")
+    assert [r["chunk_id"] for r in rows(read_store(spark, root))] == ["a"]
+    assert upsert_store(spark.createDataFrame([("c", 3)], "chunk_id string, v long"), root) == 2  # the batch comes again
 
 
 def test_the_version_is_the_sequence(spark, tmp_path):
@@ -103,25 +137,26 @@ def test_the_version_is_the_sequence(spark, tmp_path):
     assert [(r["t"], r["ingest_seq"]) for r in rows(read_store(spark, root))] == [("v3", 3)]
 
 
-def test_two_writers_on_one_version(spark, tmp_path):
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    from guardrag.operators import store
+
     root = str(tmp_path / "store")
     upsert_store(spark.createDataFrame([("a", 1)], "chunk_id string, v long"), root)
-    base = read_manifest(spark, root)
-    upsert_store(spark.createDataFrame([("b", 2)], "chunk_id string, v long"), root, base=base)
-    with pytest.raises(ConcurrentCommit):
-        upsert_store(spark.createDataFrame([("c", 3)], "chunk_id string, v long"), root, base=base)
-    assert sorted(r["chunk_id"] for r in rows(read_store(spark, root))) == ["a", "b"]
+    monkeypatch.setattr(store, "latest_version", lambda *_: 1)  # both saw version 1
+    upsert_store(spark.createDataFrame([("b", 2)], "chunk_id string, v long"), root)
+    upsert_store(spark.createDataFrame([("c", 3)], "chunk_id string, v long"), root)
+    assert sorted(r["chunk_id"] for r in rows(read_store(spark, root))) == ["a", "b", "c"]
 
 
-def test_a_torn_log_is_an_error_not_an_empty_store(spark, tmp_path):
+def test_a_torn_commit_is_an_error_not_an_empty_store(spark, tmp_path):
     root = tmp_path / "store"
     upsert_store(spark.createDataFrame([("a", 1)], "chunk_id string, v long"), str(root))
-    entry = next(p for p in (root / "_log").iterdir() if p.name.endswith(".json") and not p.name.startswith("."))
-    for text in ("", '{"version": 1, "buck'):
+    entry = next(p for p in (root / "commits").iterdir() if p.name.endswith(".parquet"))
+    for text in ("", "PAR1 torn"):
         entry.write_text(text)
-        (root / "_log" / f".{entry.name}.crc").unlink(missing_ok=True)
+        (root / "commits" / f".{entry.name}.crc").unlink(missing_ok=True)
         with pytest.raises(Exception):
-            read_store(spark, str(root))
+            read_store(spark, str(root)).collect()
         with pytest.raises(Exception):
             upsert_store(spark.createDataFrame([("b", 1)], "chunk_id string, v long"), str(root))
 
