@@ -100,12 +100,26 @@ def scrub_stages(text: Column | str) -> tuple[Column, list[Column]]:
     return cur, [diff[i] for i in range(len(PATTERNS))]
 
 
+def _has_digit(text: Column) -> Column:
+    return text.rlike(r"(?U)\d")
+
+
+def _has_at(text: Column) -> Column:
+    return F.contains(text, F.lit("@"))
+
+
+#: Every pattern but the last needs a digit, the last an ``@``. Placeholders hold neither, so the original text tells for all stages.
+_DIGIT_PATTERNS, _AT_PATTERN = PATTERNS[:-1], PATTERNS[-1]
+assert all(r"\d" in p.java_regex or "[0-9]" in p.java_regex for p in _DIGIT_PATTERNS) and "]+@[" in _AT_PATTERN.java_regex
+
+
 def scrub_text(text: Column | str) -> Column:
-    """P9 text only: the eight replacements in order."""
-    cur = _col(text)
-    for p in PATTERNS:
+    """P9 text only: the eight replacements in order; a text without a digit or without ``@`` skips the patterns that need one."""
+    original = cur = _col(text)
+    for p in _DIGIT_PATTERNS:
         cur = F.regexp_replace(cur, p.java_regex, p.placeholder)
-    return cur
+    cur = F.when(_has_digit(original), cur).otherwise(original)
+    return F.when(_has_at(original), F.regexp_replace(cur, _AT_PATTERN.java_regex, _AT_PATTERN.placeholder)).otherwise(cur)
 
 
 def staged_counts(text: Column | str) -> list[Column]:
@@ -148,11 +162,10 @@ def scrub(text: Column | str) -> Column:
 def contains_pii(text: Column | str) -> Column:
     """Any pattern matches the original text; null or blank is False."""
     t = _col(text)
-    hit = None
-    for p in PATTERNS:
-        h = t.rlike(p.java_regex)
-        hit = h if hit is None else (hit | h)
-    return F.coalesce(hit, F.lit(False))
+    hit = t.rlike(_DIGIT_PATTERNS[0].java_regex)
+    for p in _DIGIT_PATTERNS[1:]:
+        hit = hit | t.rlike(p.java_regex)
+    return F.coalesce((_has_digit(t) & hit) | (_has_at(t) & t.rlike(_AT_PATTERN.java_regex)), F.lit(False))
 
 
 def with_scrub(df, text_col: str, prefix: str = "pii"):

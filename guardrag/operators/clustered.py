@@ -98,6 +98,7 @@ def write_clustered(chunks: DataFrame, path: str, clusters: int | None = None, c
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(angle), pa.array(cluster)], names=[*batch.schema.names, "angle", "cluster"])
 
     placed = materialize(chunks.mapInArrow(assign, schema), "clustered-assign")
+    chunks.limit(0).withColumn("cluster", F.lit(0)).write.parquet(f"{path.rstrip('/')}/shape")  # an empty store has no partition to read a schema from
     placed.drop("angle").hint("rebalance", "cluster").write.partitionBy("cluster").parquet(f"{path.rstrip('/')}/rows")
     sizes = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
     table = chunks.sparkSession.createDataFrame([(k, c.tolist()) for k, c in enumerate(centroids)] + [(-1, [])], "cluster int, centroid array<double>")
@@ -140,7 +141,7 @@ class Clusters:
 def _scan(spark, path, block: pa.Table, needs: np.ndarray, clusters: Clusters, k, bounds, chunk_id, chunk_vector, out: T.StructType, loose: bool) -> DataFrame:
     """Candidates of one pass: the needed clusters are read in place, each for the questions that need it."""
     wanted = clusters.numbers[needs.any(axis=0)].tolist() + [-1] * loose
-    rows = spark.read.parquet(f"{path.rstrip('/')}/rows").where(F.col("cluster").isin(wanted)).select(chunk_id, chunk_vector, "cluster")
+    rows = clusters_read(spark, path, wanted).select(chunk_id, chunk_vector, "cluster")
     position = {int(c): i for i, c in enumerate(clusters.numbers)}
     shared = track(spark.sparkContext.broadcast((block.select(["_question"]), _matrix(block.column("vector"), block.num_rows), np.packbits(needs, axis=1), bounds)))
     count, arrow_schema = needs.shape[1], pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in out.fields])
@@ -214,7 +215,7 @@ def topk_clustered(spark: SparkSession, path: str, queries: DataFrame, k: int, *
     store no question has a row in the ranking.
     """
     clusters = Clusters(spark, path)
-    stored = spark.read.parquet(f"{path.rstrip('/')}/rows").schema
+    stored = spark.read.parquet(f"{path.rstrip('/')}/shape").schema
     out = T.StructType([T.StructField("_question", T.LongType()), T.StructField(chunk_id, stored[chunk_id].dataType), T.StructField("score", T.FloatType())])
     numbered = materialize(queries.select(F.monotonically_increasing_id().alias("_question"), F.col(query_id).alias("id"), F.col(query_vector).cast("array<float>").alias("vector")), "clustered-asked")
     stats = numbered.agg(F.count("*").alias("n"), F.min(F.coalesce(F.size("vector"), F.lit(-1))).alias("lo"), F.max(F.size("vector")).alias("hi")).first()
@@ -253,4 +254,5 @@ def topk_clustered(spark: SparkSession, path: str, queries: DataFrame, k: int, *
 
 def clusters_read(spark: SparkSession, path: str, clusters: list[int]) -> DataFrame:
     """The rows of some clusters; the filter on the partition column leaves the files of all others unread."""
-    return spark.read.parquet(f"{path.rstrip('/')}/rows").where(F.col("cluster").isin(clusters))
+    path = path.rstrip("/")
+    return spark.read.schema(spark.read.parquet(f"{path}/shape").schema).parquet(f"{path}/rows").where(F.col("cluster").isin(clusters))

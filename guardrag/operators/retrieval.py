@@ -321,8 +321,9 @@ def topk_batch(chunks: DataFrame, queries: DataFrame, k: int, *, query_id: str =
         n_c = c.count()
         probe_fraction = (PROBE_ROWS / n_c) if n_c >= PROBE_MIN_ROWS else 0.0
     if probe_fraction and probe_fraction < 1.0:
-        q = _with_bounds(c, q, k, probe_fraction, _ROW, query_vector, chunk_id, chunk_vector, opts, strategy,
-                         broadcast_query_bytes)
+        # Written once: every round reads the bounds, none ranks the probe again.
+        q = materialize(_with_bounds(c, q, k, probe_fraction, _ROW, query_vector, chunk_id, chunk_vector, opts, strategy,
+                                     broadcast_query_bytes), "topk-bounds")
     query_bytes = n_q * (dmax * 4 + 16)  # vectors, the 8-byte row number and the bound
     rounds = max(1, math.ceil(query_bytes / broadcast_query_bytes))
     if strategy == "auto":
