@@ -14,7 +14,7 @@ sets; it is 1 for equal texts. Two empty texts are alike, an empty and another t
 ``edited_pairs`` gives each document's text an edit that borrows from the next document in
 descending key order. Documents are dealt into key ranges, and the first document of a range is
 also sent to the range before it, so no task sees more than one range and the text is
-shuffled once.
+shuffled once. A key (or null) that many rows share has several ranges, by text digest; rows that are equal in both stay together.
 
 Edge cases: null text is empty; null keys come last; repeated keys are ordered by text hash;
 an empty table gives no rows; a single document is its own next.
@@ -28,7 +28,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,6 +94,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def sketch(text: bytes, span: int = SPAN, size: int = SIZE) -> tuple[str, np.ndarray]:
     """(fingerprint, its sorted span values as uint32)."""
+    return _sketch(text, span, size)[:2]
+
+
+def _sketch(text: bytes, span: int, size: int) -> tuple[str, np.ndarray, PrefixHash]:
     data = np.frombuffer(text, dtype=np.uint8)
     hashes = PrefixHash(data)
     whole = int(hashes.span(0, hashes.n)) if hashes.n else 0
@@ -108,7 +111,7 @@ def sketch(text: bytes, span: int = SPAN, size: int = SIZE) -> tuple[str, np.nda
         if len(values) < size:
             values = np.unique(spans)
         values = values[:size]
-    return f"{whole:016x}" + values.astype(">u4").tobytes().hex(), values
+    return f"{whole:016x}" + values.astype(">u4").tobytes().hex(), values, hashes
 
 
 def likeness(a: str, b: str, size: int = SIZE) -> float:
@@ -143,70 +146,90 @@ def fingerprints(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text
     return docs.select(f"`{key_col}`", f"`{text_col}`").mapInArrow(run, f"`{key_col}` {kind.simpleString()}, fingerprint string")
 
 
+class KeyRanges:
+    """Ranges of (descending key, text digest), numbered in that order: between the cuts, and over the digests of a key that several cuts fall on."""
+
+    def __init__(self, cuts: np.ndarray, null_parts: int):
+        self.cuts, self.parts = np.unique(cuts, return_counts=True)
+        self.parts[self.parts < 2] = 0  # how many ranges a key has to itself
+        q, at = len(self.cuts), 0
+        self.between, self.own = np.zeros(q + 1, np.int64), np.zeros(q, np.int64)
+        for i in range(q, -1, -1):
+            self.between[i], at = at, at + 1
+            if i:
+                self.own[i - 1], at = at, at + self.parts[i - 1]
+        self.null, self.null_parts = at, max(1, null_parts)
+
+    def number(self, keys: pa.Array, digests: pa.Array) -> np.ndarray:
+        """The range of each row; keys stay 64-bit integers, whether or not there are nulls among them."""
+        absent = keys.is_null().to_numpy(zero_copy_only=False)
+        values = keys.fill_null(0).to_numpy().astype(np.int64)
+        share = np.array([int(d[:8], 16) for d in digests.to_pylist()], dtype=np.int64)
+        i = np.searchsorted(self.cuts, values, side="right")
+        out = self.between[i]
+        if len(self.cuts):
+            before = np.maximum(i - 1, 0)
+            hot = (i > 0) & (self.cuts[before] == values) & (self.parts[before] > 0)
+            out = np.where(hot, self.own[before] + (share * self.parts[before] >> 32), out)
+        return np.where(absent, self.null + (share * self.null_parts >> 32), out)
+
+
 def edited_pairs(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", range_bytes: int = 2 << 20,
                  span: int = SPAN, size: int = SIZE) -> DataFrame:
-    """Per document: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """Per document: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, common_bytes (the longest
+    common extension of the starts of the text and its edited text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(f"`{key_col}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    size_of = docs.agg(F.sum(F.octet_length("text") + 64).alias("b"), F.count("key").alias("n")).first()
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    docs = docs.select(F.col(f"`{key_col}`").cast("long").alias("key"), text.alias("text"), F.md5(text).alias("digest"))
+    size_of = docs.agg(F.sum(F.octet_length("text") + 64).alias("b"), F.count("key").alias("n"), F.count("*").alias("rows")).first()
     n_ranges = min(MAX_RANGES, max(1, math.ceil((size_of["b"] or 0) / range_bytes)))
     cuts = np.zeros(0, np.int64)
     if n_ranges > 1 and size_of["n"]:
         shares = [i / n_ranges for i in range(1, n_ranges)]
-        cuts = np.unique(np.array(docs.agg(F.percentile_approx("key", shares, max(10_000, 4 * n_ranges))).first()[0], np.int64))
-    ranges = spark.sparkContext.broadcast(cuts)  # at most MAX_RANGES numbers
-
-    def numbers(keys: pd.Series) -> np.ndarray:
-        """Ranges count downwards from the largest keys; null keys form the last one."""
-        inner = len(ranges.value) - np.searchsorted(ranges.value, keys.fillna(0).to_numpy(np.int64), side="right")
-        return np.where(keys.isna(), len(ranges.value) + 1, inner)
-
-    @F.pandas_udf("int")
-    def range_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(numbers(keys))
-
-    tops = {r["part"]: r["top"] for r in docs.groupBy(range_of("key").alias("part")).agg(F.max("key").alias("top")).collect()}  # one row per range
-    order = sorted(tops)
-    # The first document of a range is sent to the range before it too; that of the first range to the last.
-    prior = spark.sparkContext.broadcast({part: (tops[part], order[i - 1]) for i, part in enumerate(order)})
-
-    @F.pandas_udf("array<int>")
-    def parts_of(keys: pd.Series) -> pd.Series:
-        out = []
-        for part, key, none in zip(numbers(keys).tolist(), keys.tolist(), keys.isna().tolist()):
-            top, before = prior.value[part]
-            out.append([part, -1 - before] if (none if top is None else key == top) else [part])
-        return pd.Series(out)
-
-    dealt = (docs.withColumn("part", F.explode(parts_of("key")))
-             .withColumns({"head": (F.col("part") < 0).cast("int"), "part": F.when(F.col("part") < 0, -1 - F.col("part")).otherwise(F.col("part"))}))
+        cuts = np.array(docs.agg(F.percentile_approx("key", shares, max(10_000, 4 * n_ranges))).first()[0], np.int64)
+    plan = spark.sparkContext.broadcast(KeyRanges(cuts, math.ceil(n_ranges * (size_of["rows"] - size_of["n"]) / max(1, size_of["rows"]))))  # at most MAX_RANGES numbers
+
+    @F.arrow_udf("int")
+    def range_of(keys: pa.Array, digests: pa.Array) -> pa.Array:
+        return pa.array(plan.value.number(keys, digests), pa.int32())
+
+    placed = docs.withColumn("part", range_of("key", "digest"))
+    # The first document of a range is the one with the largest key, then the smallest digest; null keys come last.
+    tops = placed.groupBy("part").agg(F.max("key").alias("top"), F.min(F.struct(-F.col("key").cast("decimal(20,0)"), F.col("digest").alias("d"))).alias("first"))
+    tops = sorted(((r["part"], r["top"], r["first"]["d"]) for r in tops.collect()), key=lambda r: r[0])  # one row per range
+    # It is sent to the range before it too; that of the first range to the last.
+    before = spark.createDataFrame([(part, top, d, tops[i - 1][0]) for i, (part, top, d) in enumerate(tops)], "part int, top long, top_digest string, before int")
+    is_top = F.col("key").eqNullSafe(F.col("top")) & (F.col("digest") == F.col("top_digest"))
+    sent = F.when(is_top, F.array(F.struct(F.lit(0).alias("head"), "part"), F.struct(F.lit(1).alias("head"), F.col("before").alias("part")))).otherwise(F.array(F.struct(F.lit(0).alias("head"), "part")))
+    dealt = placed.join(F.broadcast(before), "part").select("key", "text", "digest", F.explode(sent).alias("to")).select("key", "text", "digest", "to.head", "to.part")
 
     def run(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_pylist()
         texts = table.column("text").to_pylist()
         heads_ = table.column("head").to_pylist()
-        digest = [hashlib.md5(t.encode()).digest() for t in texts]
+        digest = table.column("digest").to_pylist()
         rank = sorted(range(len(keys)), key=lambda i: (heads_[i], keys[i] is None, -(keys[i] or 0), digest[i]))
         own = [i for i in rank if not heads_[i]]
         after = own[1:] + [i for i in rank if heads_[i]][:1]
-        done: dict[int, tuple[str, np.ndarray]] = {}
+        done: dict[int, tuple[str, np.ndarray, PrefixHash]] = {}
         out: list[tuple] = []
         for i, j in zip(own, after):
             for x in (i, j):
                 if x not in done:
-                    done[x] = sketch(texts[x].encode(), span, size)
+                    done[x] = _sketch(texts[x].encode(), span, size)
             changed = edit(texts[i], texts[j]).encode()
-            mine, other, new = done.pop(i), done[j] if j != i else None, sketch(changed, span, size)
+            mine, other, new = done.pop(i), done[j] if j != i else None, _sketch(changed, span, size)
             other = other or mine
             out.append((keys[i], len(texts[i]), hashlib.sha256(changed).hexdigest(), mine[0], new[0],
                         1.0 if mine[0][:16] == new[0][:16] else _overlap(mine[1], new[1], size),
-                        1.0 if mine[0][:16] == other[0][:16] else _overlap(mine[1], other[1], size)))
-        columns = list(zip(*out)) if out else [[]] * 7
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))],
-                        names=[key_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                        1.0 if mine[0][:16] == other[0][:16] else _overlap(mine[1], other[1], size), mine[2].common_extension(0, new[2], 0)))
+        columns = list(zip(*out)) if out else [[]] * 8
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)],
+                        names=[key_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_bytes"])
 
     return dealt.groupBy("part").applyInArrow(run, _RESULT.format(key=key_col))
 
 
 _RESULT = ("`{key}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-           "near_edited double, near_next double")
+           "near_edited double, near_next double, common_bytes long")
