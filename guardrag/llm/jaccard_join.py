@@ -4,6 +4,9 @@ A document's set holds its distinct five-word shingles (the whole sequence if it
 ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z). Jaccard distance 1 - |x & y| / |x | y| is a metric; two
 documents link when it is at most 0.25. Shingles are 64-bit hashes.
 
+Regions come from a prefix filter on rare shingles, not from nearest pivots: pivots drawn from all documents are useless for shingle sets, as nearly
+all distances are 1. Pivots, balls and windows work inside a region.
+
 Steps:
 
 1. **Who can have a partner.** A linked pair shares 3/4 of either set, so a document with more than n/4 shingles that
@@ -16,7 +19,7 @@ Steps:
 4. **Metric join in a region.** A member becomes a pivot; its exact distances to all others define a ball (distance up to
    0.25: linked), a window (up to 0.5) and the rest, which by the triangle inequality holds no
    partner of the ball. Ball members are settled by their pivot; window members that are not yet connected
-   become pivots themselves; the rest recurses with new pivots.
+   become pivots themselves; then a member outside all balls is the next pivot.
 5. **Large regions.** A region over ``region_cap`` members is cut by distance to one pivot: its ball is
    linked at once and never joined with itself; the other members are joined in tiles of two chunks, only where the chunks' distance
    ranges lie within 0.25 of each other. A tile is bounded, whatever the region's size.
@@ -411,7 +414,14 @@ def join_components(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
 
 
 def keep_first(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component stays: the one whose id is the component's; rows without an id stay."""
-    groups = join_components(docs, key_col, text_col, **options)
-    drop = groups.where(F.col("component_id") != F.col(f"`{key_col}`")).select(f"`{key_col}`").distinct()
-    return docs.join(drop, key_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """One row of each component stays: the one with the smallest key, null keys last, of equal keys the first row.
+
+    Rows are numbered in a written copy and joined and kept by that number, so repeated or null keys neither save a copy nor drop another row.
+    """
+    numbered = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    texts = numbered.select("row", F.col("doc").getField(text_col).alias("text"))
+    groups = join_components(texts, "row", "text", **options).select("row", "component_id")
+    place = F.struct(F.col("key").isNull(), "key", "row")
+    first = (groups.join(numbered.select("row", F.col("doc").getField(key_col).alias("key")), "row").groupBy("component_id").agg(F.min(place).alias("first"))
+             .select(F.col("first.row").alias("row")))
+    return numbered.join(first, "row", "left_semi").select("doc.*")
