@@ -7,7 +7,7 @@ candidates run their regular expression, and the highest-ranked fit wins.
 
 Tokens are the maximal runs of ``[0-9a-z]`` of the lower-cased host and path. A rule token must be
 delimited in every URL the pattern fits (a host label, a path segment), so fetching by
-token loses no fit.
+token loses no fit. A rule without a literal token (a host of other letters) is a candidate for every URL.
 
 Scale: token counts are one aggregate over the rules' own tokens; candidates are a join of
 exploded URL tokens with the index, a broadcast only while the rules fit a checked size and a
@@ -84,8 +84,10 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
     """``urls`` with host, path, rule (null if none fits) and verdict added."""
     u = F.col(f"`{url_col}`")
     distinct = urls.select(url_host(u).alias("__host"), url_path(u).alias("__path")).distinct()
-    words = distinct.select("__host", "__path", F.explode(url_tokens(F.col("__host"), F.col("__path"))).alias("__token"))
-    literal = rules.select("rule", "action", "pattern", "rank", F.explode("tokens").alias("__token"))
+    # Every URL carries the empty token too, under which rules without a literal token are filed.
+    words = distinct.select("__host", "__path", F.explode(F.array_append(url_tokens(F.col("__host"), F.col("__path")), F.lit(""))).alias("__token"))
+    tokens = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))
+    literal = rules.select("rule", "action", "pattern", "rank", F.explode(tokens).alias("__token"))
     small = literal.count() <= BROADCAST_RULES
 
     def side(frame: DataFrame) -> DataFrame:
