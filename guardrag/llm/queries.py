@@ -161,14 +161,13 @@ f AS (
 parts AS (
     SELECT p.*, f.first, regexp_replace(lower(url), '^.*?://', '', 's') AS rest FROM p
     LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= {warc.MIN_REVISIT})
-SELECT page_id, url,
-       array_to_string(list_reverse(string_split(regexp_extract(rest, '^[^/?#]*'), '.')), ',') || ')'
-           || substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS url_key,
-       strftime(to_timestamp({warc.EPOCH} + page_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS captured,
-       payload_bytes, payload_digest,
+SELECT page_id, url, url_key, captured, payload_bytes, payload_digest,
        CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first <> page_id THEN first END AS refers_to
-FROM parts""",
+       CASE WHEN first <> page_id THEN first END AS refers_to,
+       row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS capture_pos
+FROM (SELECT *, array_to_string(list_reverse(string_split(regexp_extract(rest, '^[^/?#]*'), '.')), ',') || ')'
+          || substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS url_key,
+          strftime(to_timestamp({warc.EPOCH} + page_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS captured FROM parts)""",
     "op5_url_filter": """
 WITH u AS (
     SELECT page_id,

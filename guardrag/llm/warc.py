@@ -38,6 +38,7 @@ from guardrag.session import materialize, scratch_path
 MIN_REVISIT = 1000
 #: The first capture date; a page's date is this plus its id in seconds, as pages carry no time of their own.
 EPOCH = 1_577_836_800
+DATES = 250_000_000_000
 END = "\r\n\r\n"
 FILE_BYTES = 8 << 20
 
@@ -78,7 +79,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     name = F.col("name")
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     body = F.when(revisit, F.lit("")).otherwise(F.col("html"))
-    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # Dates stay between the years 2020 and 9941, whatever the ids.
+    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(DATES))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     record = F.concat(
         F.lit("WARC/1.1\r\n"), _header("WARC-Type", kind), _header("WARC-Record-ID", F.concat(F.lit("<urn:page:"), name, F.lit(">"))),
         _header("WARC-Target-URI", F.col("url")), _header("WARC-Date", date), _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
@@ -188,13 +190,17 @@ def merge_index(index: DataFrame, range_rows: int = 200_000) -> DataFrame:
             return
         table = pa.Table.from_batches(got)
         names, urls, dates, pages = (table.column(c.strip()).to_pylist() for c in key_first.split(","))
-        runs: dict[str, list] = {}
-        for i, name in enumerate(names):
-            runs.setdefault(name, []).append(((urls[i], dates[i], pages[i] is not None, pages[i] or 0), i))
-        for rows in runs.values():
-            # Blocks of one run may arrive in any order; a run's own rows are sorted already, which makes this a check.
-            rows.sort()
-        ordered = [runs[name] for name in sorted(runs)]
+        rows = [((url, date, page is not None, page or 0), i) for i, (url, date, page) in enumerate(zip(urls, dates, pages))]
+        # The slice of a run arrives in its order; where blocks of it come out of order, each ascending stretch is a run of its own.
+        ordered: list[list] = []
+        open_: dict[str, list] = {}
+        for name, row in zip(names, rows):
+            if name not in open_ or row[0] < open_[name][-1][0]:
+                open_[name] = []
+                ordered.append(open_[name])
+            open_[name].append(row)
+        # Equal rows of different runs follow the order of the runs' names.
+        ordered.sort(key=lambda run: (names[run[0][1]], run[0][1]))
         take = [ordered[r][i][1] for r, i in LoserTree(ordered)]
         out = table.take(pa.array(take, pa.int64())).combine_chunks()
         place = table.column("merge_range")[0].as_py()
@@ -205,8 +211,21 @@ def merge_index(index: DataFrame, range_rows: int = 200_000) -> DataFrame:
     return ranged.mapInArrow(merge, schema)
 
 
+def capture_positions(merged: DataFrame) -> DataFrame:
+    """``merged`` with ``capture_pos``: each record's place (from 0) in the one capture history of all ranges."""
+    merged = materialize(merged, "merged")
+    starts, at = [], 0
+    for r in merged.groupBy("merge_range").count().orderBy("merge_range").collect():  # a row per range
+        starts.append((r["merge_range"], at))
+        at += r["count"]
+    if not starts:
+        return merged.withColumn("capture_pos", F.lit(None).cast("long"))
+    frame = merged.sparkSession.createDataFrame(starts, "merge_range int, start long")
+    return merged.join(F.broadcast(frame), "merge_range").withColumn("capture_pos", F.col("start") + F.col("merge_pos")).drop("start")
+
+
 def archive_pages(pages: DataFrame, **options) -> DataFrame:
     """Write ``pages`` as archives in the shared scratch folder, read them back, merge their index."""
     path = scratch_path(pages.sparkSession, "warc")
     write_archives(pages, path, **options)
-    return merge_index(read_archives(pages.sparkSession, path))
+    return capture_positions(merge_index(read_archives(pages.sparkSession, path)))
