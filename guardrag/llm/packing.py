@@ -6,10 +6,11 @@ highest-scoring unused neighbours by BM25 fill it, and the last one is cut where
 stays available. When no neighbour shares a term, the next unused remainder continues. The
 end is cut into sequences whose lengths are powers of two, which need no padding.
 
-Retrieval covers all remainders and scores all terms of the seed. Packing goes in rounds: the next seeds' terms go to
-every index shard, each shard ranks its unused remainders, the best of all shards are merged, and the sequences are filled
-in the order of the seeds. A list is a part of the ranking: a sequence whose list is used up asks again
-in the next round. The last 1,024 remainders, or a table of so many, are packed one seed at a time, with whole rankings.
+Remainders are dealt to index shards by lexical nearness, so that a seed's neighbours lie in its own shard: a bounded sample of
+remainders (256, by smallest hash) are representatives, every remainder is described by its three best ones by BM25, in order, and the shards
+are consecutive ranges of this description of about ``shard_tokens`` ids. Inside a shard all terms of the seed score all
+remainders. Neighbours in other shards are not retrieved; the README has the share that is missed. ``pack_everywhere`` asks all shards, in
+rounds, at a cost that grows with the square of the corpus.
 
 Terms are token ids, so corpus statistics (documents per term, number and mean length of remainders) have a fixed size whatever
 the corpus: one number per id of the vocabulary, counted over all documents with partial aggregation and broadcast.
@@ -19,10 +20,9 @@ printable ASCII character or a Latin letter, where the pre-tokeniser always cuts
 a slice is encoded once and the ids are gathered. The file's added tokens (``<|endoftext|>``) are cut out first and get their
 own ids. Tests compare this with the ``tokenizers`` library on whole texts.
 
-Scale: text is read once; ids travel as 2-byte numbers through one written table, and the remainders through one shuffle. Index
-shards are slices of bounded size of the written table and do not move; a round shuffles its lists. Every seed is scored against
-every unused remainder, so CPU grows with the square of the corpus. The driver holds the length and state of each remainder (some 30 bytes) and a round's
-lists.
+Scale: text is read once; ids travel as 2-byte numbers through one written table, and the remainders through one shuffle. A task holds one shard
+at a time, and its work depends on the shard's size, not on the corpus. Equal remainders are told apart by their row number, so a
+large group of copies is a run of rows that several shards share. The driver holds the representatives and one number per id of the vocabulary.
 
 Edge cases: null text is empty and packs as its end id; repeated rows are packed separately; null ids keep a null id;
 a document longer than a sequence spans several; an empty table gives no rows.
@@ -31,12 +31,14 @@ a document longer than a sequence spans several; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +47,10 @@ from guardrag.session import materialize
 
 LENGTH = 1024
 END_ID = 0
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
+REPRESENTATIVES = 256
 K1, B = 1.2, 0.75
-#: Seeds of a round: a quarter of the unused remainders within these bounds. Entries of all lists of a round, and of one list at least.
+#: ``pack_everywhere``: seeds of a round are a quarter of the unused remainders within these bounds. Entries of all lists of a round, and of one list at least.
 MIN_SEEDS, MAX_SEEDS = 1 << 10, 1 << 16
 LIST_ENTRIES, MIN_LIST = 1 << 20, 10
 #: Weights are whole multiples of 1/256, so that sums are exact in any order; seeds that are scored at a time.
@@ -219,6 +222,7 @@ class Bm25Index:
         self.matrix = np.zeros((len(common), self.count), dtype=exact)
         at = ranges(self.begin[common], held[common])
         self.matrix[np.repeat(np.arange(len(common)), held[common]), self.doc[at]] = self.weight[at]
+        self.terms = self.first = None
 
     def scores(self, terms: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Scores (in units) of all remainders for each query; ``terms`` are the queries' distinct terms in a row."""
@@ -233,6 +237,20 @@ class Bm25Index:
         np.add.at(out.reshape(-1), np.repeat(query * self.count, n) + self.doc[at], self.weight[at])
         return out
 
+    def score_of(self, seed: int) -> np.ndarray:
+        """Scores (in units) of all remainders for one of them: only the postings of its own terms are read."""
+        if self.terms is None:
+            order = np.argsort(self.doc, kind="stable")
+            held = np.repeat(np.arange(1 << 16), np.diff(self.begin))
+            self.terms, self.first = held[order], np.searchsorted(self.doc[order], np.arange(self.count + 1))
+        own = self.terms[self.first[seed]:self.first[seed + 1]]
+        row = self.row[own]
+        out = self.matrix[row[row >= 0]].sum(axis=0)
+        rare = own[row < 0]
+        n = self.begin[rare + 1] - self.begin[rare]
+        at = ranges(self.begin[rare], n)
+        return out + np.bincount(self.doc[at], weights=self.weight[at], minlength=self.count)
+
     def neighbours(self, seed: int) -> np.ndarray:
         """Documents that share a term with ``seed``, best first; ties by number."""
         own = np.unique(np.repeat(np.arange(1 << 16), np.diff(self.begin))[self.doc == seed])
@@ -421,10 +439,169 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def representatives(tokens: DataFrame, statistics: tuple[np.ndarray, int, float], length: int, count: int = REPRESENTATIVES) -> Bm25Index | None:
+    """An index of a bounded sample of remainders (those with the smallest hashes); None if no remainder holds an id."""
+    rest = F.expr(f"substring(ids, int(octet_length(ids) div {2 * length} * {2 * length} + 1))")
+    sample = (tokens.select(rest.alias("rest")).where(F.octet_length("rest") > 2).select("rest", F.xxhash64("rest").alias("h")).distinct()
+              .orderBy("h", "rest").limit(count).collect())
+    return Bm25Index([np.frombuffer(r["rest"], dtype=np.uint16) for r in sample], *statistics) if sample else None
+
+
+def nearest_representatives(index: Bm25Index | None, rests: list[np.ndarray], depth: int = 3) -> np.ndarray:
+    """For each remainder the numbers of its best representatives, best first, packed into one number; equal remainders have equal numbers."""
+    out = np.zeros(len(rests), dtype=np.int64)
+    if index is None:
+        return out
+    for a in range(0, len(rests), BLOCK):
+        terms = [np.unique(r) for r in rests[a:a + BLOCK]]
+        score = index.scores(np.concatenate(terms), np.concatenate(([0], np.cumsum([len(t) for t in terms])))).astype(np.int64)
+        codes = score << 32 | (_LOW - np.arange(index.count))
+        best = -np.sort(-codes, axis=1)[:, :depth]
+        for k in range(best.shape[1]):
+            out[a:a + BLOCK] = out[a:a + BLOCK] << 16 | np.where(best[:, k] >> 32 > 0, _LOW - (best[:, k] & _LOW) + 1, 0)
+    return out
+
+
+def pack_shard(rests: list[np.ndarray], statistics: tuple[np.ndarray, int, float], length: int = LENGTH, first_look: int = 64) -> list[tuple[int, int, int, int, int]]:
+    """(remainder, start, length, sequence, offset) of every piece of one shard.
+
+    The next unused remainder is the seed of a sequence; its unused neighbours fill it, best first by BM25 over all terms of the seed (ties by number).
+    What is cut off where a sequence is full opens the next one. With no neighbour left, the next unused remainder goes on. The shard's
+    end is cut into powers of two.
+    """
+    index = Bm25Index(rests, *statistics)
+    left, begin = np.array([len(r) for r in rests]), np.zeros(len(rests), dtype=np.int64)
+    unused = left > 0
+    out: list[tuple[int, int, int, int, int]] = []
+    line: list[tuple[int, int, int, int]] = []
+    sequence = size = at = 0
+
+    def take(i: int) -> bool:
+        """Put remainder i into the open sequence; true if that is full now."""
+        nonlocal sequence, size, line
+        n = min(int(left[i]), length - size)
+        line.append((i, int(begin[i]), n, size))
+        begin[i] += n
+        left[i] -= n
+        size += n
+        unused[i] = left[i] > 0
+        if size < length:
+            return False
+        out.extend((d, s, m, sequence, o) for d, s, m, o in line)
+        sequence, line, size = sequence + 1, [], 0
+        return True
+
+    seed = -1
+    while True:
+        if seed < 0 or not unused[seed]:
+            while at < len(rests) and not unused[at]:
+                at += 1
+            if at == len(rests):
+                break
+            seed = at
+        if take(seed):
+            continue  # what is left of it is the next seed
+        codes = np.where(unused, index.score_of(seed).astype(np.int64), 0) << 32 | (_LOW - np.arange(index.count))
+        full = False
+        for look in (min(first_look, index.count), index.count):
+            best = codes if look == index.count else codes[np.argpartition(codes, index.count - look)[index.count - look:]]
+            for code in np.sort(best)[::-1].tolist():
+                i = _LOW - (code & _LOW)
+                if code >> 32 and unused[i]:
+                    full = take(i)
+                    if full:
+                        seed = i
+                        break
+            if full:
+                break
+        if not full:
+            seed = -1
+    parts = [1 << k for k in range(size.bit_length() - 1, -1, -1) if size >> k & 1]
+    at = 0
+    for d, s, n, _ in line:
+        while n:
+            put = min(n, parts[0] - at)
+            out.append((d, s, put, sequence, at))
+            s, n, at = s + put, n - put, at + put
+            if at == parts[0]:
+                parts, sequence, at = parts[1:], sequence + 1, 0
+    return out
+
+
 def pack(docs: DataFrame, tokenizer_path: str, key_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
          shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
+    Remainders are dealt to shards by lexical nearness; a shard is indexed and packed by the task that holds it. Sequence ids are odd for full
+    windows of one document and even for packed remainders.
+    """
+    spark = docs.sparkSession
+    tokens = materialize(tokenise(docs, tokenizer_path, key_col, text_col).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    statistics = term_statistics(tokens, length)
+    index = representatives(tokens, statistics, length)
+    shared = spark.sparkContext.broadcast((statistics, index))  # a number per id of the vocabulary, and a bounded sample of remainders
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            out = []
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = np.frombuffer(body.as_buffer(), dtype=np.uint16)
+                for k in range(len(ids) // length):
+                    out.append((key, k * length, length, _crc(ids[k * length:(k + 1) * length]), len(ids), 2 * number + 1, 0))
+                    number += 1
+            yield _piece_batch(out)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, index = shared.value
+        for batch in batches:
+            bodies = [np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in batch.column(2)]
+            whole = np.array([len(x) for x in bodies], dtype=np.int64)
+            rests = [_remainder(x, length) for x in bodies]
+            some = np.flatnonzero([len(r) > 0 for r in rests])
+            rests = [rests[i] for i in some]
+            place = nearest_representatives(index, rests)
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)), pa.array(whole[some], pa.int64()),
+                                              pa.array([r.tobytes() for r in rests], pa.binary())], names=["place", "row", "key", "total", "rest"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        statistics, _ = shared.value
+        number = TaskContext.get().partitionId() << 36
+        held: list[tuple[int, int, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number, held, size
+            pieces = pack_shard([r for _, _, r in held], statistics, length)
+            out = [(held[i][0], held[i][1] // length * length + s, n, _crc(held[i][2][s:s + n]), held[i][1], 2 * (number + q), o) for i, s, n, q, o in pieces]
+            number += pieces[-1][3] + 1
+            held, size = [], 0
+            return _piece_batch(out)
+
+        for batch in batches:
+            for key, total, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                rest = np.frombuffer(body.as_py(), dtype=np.uint16)
+                held.append((key, total, rest))
+                size += len(rest)
+                if size >= shard_tokens:
+                    yield flush()
+        if held:
+            yield flush()
+
+    rest_ids = F.pmod(F.octet_length("ids") / 2, F.lit(length))
+    shards = max(1, math.ceil((tokens.agg(F.sum(rest_ids)).first()[0] or 0) / shard_tokens))
+    placed = tokens.select("row", "key", "ids").mapInArrow(near, "place long, row long, key long, total long, rest binary")
+    # The row number keeps equal remainders apart, so a group of copies spreads over shards like any other run of rows.
+    dealt = placed.repartitionByRange(shards, "place", "row").sortWithinPartitions("place", "row")
+    whole = tokens.select("key", "ids").mapInArrow(windows, _PIECE)
+    return whole.unionByName(dealt.select("key", "total", "rest").mapInArrow(fill, _PIECE)).withColumnRenamed("key", key_col)
+
+
+def pack_everywhere(docs: DataFrame, tokenizer_path: str, key_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+         shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """As ``pack``, with every seed against all remainders of all shards, in rounds. For corpora of one driver's size: its work grows with the square of the
+    corpus and two numbers per document reach the driver.
+
     Sequence ids are odd for full windows of one document and even for packed remainders.
     """
     spark = docs.sparkSession

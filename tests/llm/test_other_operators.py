@@ -199,6 +199,23 @@ def test_url_filter_matches_brute_force(spark):
     assert url_filter.judge_urls(frame.limit(0), url_filter.rules_frame(spark, url_filter.SITE_RULES)).count() == 0
 
 
+def test_rules_without_a_literal_token_are_candidates_everywhere(spark):
+    rules = url_filter.rules_frame(spark, [("block", "пример.рф", "/"), ("block", "example.com", "/en/")])
+    urls = spark.createDataFrame([("http://пример.рф/a",), ("http://x.пример.рф/",), ("http://example.com/en/1",), ("http://example.com/1",), (None,)], "url string")
+    got = {r.url: (r.rule, r.verdict) for r in url_filter.judge_urls(urls, rules).collect()}
+    assert got == {"http://пример.рф/a": ("пример.рф/", "block"), "http://x.пример.рф/": ("пример.рф/", "block"), "http://example.com/en/1": ("example.com/en/", "block"),
+                   "http://example.com/1": (None, "allow"), None: (None, "allow")}
+
+
+def test_archives_of_any_page_id(spark):
+    ids = [0, 5, 10**12, 2**62, -(2**62), -1, 2**63 - 1]
+    found = warc.archive_pages(spark.createDataFrame([(i, "http://a.b/", "x" * 1200) for i in ids], "page_id long, url string, html string")).collect()
+    assert sorted(r.page_id for r in found) == sorted(ids) and {r.refers_to for r in found} == {None, 2**63 - 1}
+    assert all(len(r.captured) == 20 and "1970" <= r.captured[:4] <= "9999" for r in found)
+    order = sorted(found, key=lambda r: r.capture_pos)
+    assert [r.capture_pos for r in order] == list(range(len(ids))) and [(r.url_key, r.captured, r.page_id) for r in order] == sorted((r.url_key, r.captured, r.page_id) for r in order)
+
+
 def test_url_filter_is_the_same_without_broadcast(spark, monkeypatch):
     frame = spark.createDataFrame([(i, f"http://www.example.com/{p}/") for i, p in enumerate(["en", "fr", "de"])], "page_id long, url string")
     rules = url_filter.rules_frame(spark, url_filter.SITE_RULES)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -263,7 +264,18 @@ def test_jaccard_join_nulls_empty_and_repeated_rows(spark):
     assert got == [((False, 3), 0, 3), ((False, 4), 0, 4), ((False, 7), 2, 7), ((False, 7), 2, 7), ((True, None), 1, None)]
     assert jaccard_join.join_components(docs.limit(0)).count() == 0
     kept = jaccard_join.keep_first(docs)
-    assert kept.columns == docs.columns and kept.count() == 5
+    # Of the two equal rows of id 7 one stays.
+    assert kept.columns == docs.columns and kept.count() == 4
+
+
+def test_keep_first_goes_by_row(spark):
+    t, u, v = ("one text of some words here " * 3, "another unrelated text with words " * 3, "null ids share this text too " * 3)
+    rows = [(3, t, "a"), (5, t, "b"), (5, u, "c"), (7, t, "d"), (None, v, "e"), (None, v, "f"), (4, v, "g"), (4, v, "h"), (8, None, "i"), (8, None, "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    kept = jaccard_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id, (r.text or "")[:7]) for r in kept.collect())
+    assert got == [(3, t[:7]), (4, v[:7]), (5, u[:7]), (8, ""), (8, "")]
 
 
 def test_components_of_long_paths(spark):
@@ -308,6 +320,27 @@ def test_edited_pairs_match_direct_computation(spark, range_bytes):
         assert r.near_edited == pytest.approx(fingerprint.likeness(mine, new)) and r.near_next == pytest.approx(fingerprint.likeness(mine, other))
 
 
+def test_edited_pairs_lose_no_row_with_large_null_and_hot_keys(spark):
+    rng = random.Random(12)
+    big = 1 << 60
+    rows = [(big + i, "".join(rng.choice("abc ") for _ in range(60))) for i in range(300)] + [(None, f"null {i} " * 6) for i in range(90)]
+    rows += [(7, f"hot {i} " * rng.randrange(9)) for i in range(200)] + [(None, "null 1 " * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).digest()))
+    want = Counter()
+    for (key, text), (_, after) in zip(order, order[1:] + order[:1]):
+        want[key, len(text), hashlib.sha256(fingerprint.edit(text, after).encode()).hexdigest()] += 1
+    for range_bytes in (1500, 1 << 20):
+        got = fingerprint.edited_pairs(docs, range_bytes=range_bytes).collect()
+        assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    by = {r.doc_id: r for r in got if r.doc_id and r.doc_id >= big}
+    for (key, text), (_, after) in zip(order[:20], order[1:21]):
+        changed, n = fingerprint.edit(text, after), 0
+        while n < min(len(text), len(changed)) and text[n] == changed[n]:
+            n += 1
+        assert by[key].common_bytes == n
+
+
 def test_fingerprint_edge_cases(spark):
     docs = documents(spark, ["same text", "same text", None, ""], [5, 5, None, None])
     found = fingerprint.edited_pairs(docs).collect()
@@ -448,6 +481,55 @@ def test_rankings_cover_all_shards_and_rounds_lose_nothing(spark, monkeypatch):
             assert ends[-1] == size_of[k] if size_of else ends[-1] == 64 or ends[-1] & (ends[-1] - 1) == 0
 
 
+def test_packing_keeps_copies_together_and_shards_lose_no_neighbour(spark):
+    rng = random.Random(23)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(5, 25))) for _ in range(90)]
+    texts = [t for t in texts for _ in range(3)]
+    docs = documents(spark, texts).repartition(4, "doc_id")
+    got = packing.pack(docs, queries.tokenizer_path(), length=128, shard_tokens=1500).collect()
+    places = {}
+    for r in got:
+        places.setdefault(r.doc_id // 3, set()).add(r.sequence_id)
+    # Three copies cut into a few pieces lie in neighbouring sequences; dealt at random they would lie in twice as many.
+    assert np.mean([len(p) for p in places.values()]) < 3.5
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
+
+
+def test_shard_packing_follows_the_ranking():
+    rng = np.random.default_rng(8)
+    rests = [rng.choice(np.arange(30 * (i % 4), 30 * (i % 4) + 45), rng.integers(1, 40)).astype(np.uint16) for i in range(160)]
+    frequency = np.zeros(1 << 16, dtype=np.int64)
+    for r in rests:
+        frequency[np.unique(r)] += 1
+    statistics = (frequency, len(rests), float(np.mean([len(r) for r in rests])))
+    index = packing.Bm25Index(rests, *statistics)
+    left, start, out, line, seed = [len(r) for r in rests], [0] * len(rests), [], [], -1
+
+    def take(i):
+        n = min(left[i], 64 - sum(x[2] for x in line))
+        line.append((i, start[i], n))
+        start[i] += n
+        left[i] -= n
+        if sum(x[2] for x in line) == 64:
+            out.append(list(line))
+            line.clear()
+            return True
+        return False
+
+    while any(left):
+        seed = seed if seed >= 0 and left[seed] else next(i for i, n in enumerate(left) if n)
+        if take(seed):
+            continue
+        cut = next((i for i in index.neighbours(seed).tolist() if left[i] and take(i)), -1)
+        seed = cut
+    for look in (2, 64):
+        got = {}
+        for d, s, n, q, o in packing.pack_shard(rests, statistics, 64, look):
+            got.setdefault(q, []).append((o, (d, s, n)))
+        assert [[x for _, x in sorted(got[q])] for q in range(len(out))] == out
+    assert (index.score_of(3) == index.scores(np.unique(rests[3]), np.array([0, len(np.unique(rests[3]))]))[0]).all()
+
+
 def test_neighbours_score_every_term_of_the_seed():
     rests = [np.arange(60, dtype=np.uint16), np.array([59], dtype=np.uint16), *(np.array([59, 70 + i], dtype=np.uint16) for i in range(3)), np.array([99], dtype=np.uint16)]
     frequency = np.zeros(1 << 16, dtype=np.int64)
