@@ -22,6 +22,7 @@ from guardrag.functions.embedding import Embedder, hashing_embedder
 from guardrag.functions.safety import template_answer, with_output_safety
 from guardrag.operators.answer import assemble_context
 from guardrag.operators.audit import AUDIT_COLUMNS, correlation_id, write_answers, write_audit
+from guardrag.operators.audit_reports import check_observed, observed
 from guardrag.operators.pii_report import pii_type_report
 from guardrag.operators.retrieval import topk_batch
 from guardrag.session import materialize
@@ -155,11 +156,14 @@ def run_ask(queries: DataFrame, chunks: DataFrame, audit_path: str, answers_path
             opts: AskOptions = AskOptions(), **kwargs) -> tuple[DataFrame, DataFrame]:
     """A12 + S6 + S7: write the audit table (append, by event date) once, then the
     answer table as a projection of what was written — the pipeline, and any
-    model-backed slot in it, runs once for both outputs."""
-    audit = ask_batch(queries, chunks, opts, **kwargs)
+    model-backed slot in it, runs once for both outputs. The write is observed: unless it has one record for
+    each question, ``AuditMismatch`` is raised and no answer is written."""
+    queries = materialize(prepare_queries(queries), "run-questions")  # counted and answered from one copy, also where ids are fresh
+    audit, watch = observed(ask_batch(queries, chunks, opts, **kwargs))
     run_id = uuid.uuid4().hex
     spark = audit.sparkSession
     write_audit(audit, audit_path, run_id)
+    check_observed(watch, queries.count())
     # ``run_id`` is a partition column: only this run's folders are read.
     written = spark.read.parquet(audit_path).filter(F.col("run_id") == run_id)
     write_answers(answers_of(written), answers_path, run_id)
