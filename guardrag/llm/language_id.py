@@ -33,6 +33,7 @@ from guardrag.llm.arrowtext import LOWER, pieces
 
 UNDETERMINED = "und"
 MAX_PER_LANG = 250
+LANG_PARTS = 16
 MAX_LANGS = 200
 MIN_SCORE = 0.5
 BITS = (12, 13)
@@ -172,8 +173,11 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     if not counts:
         return Model([], np.zeros((0, WIDTH)), np.array([]))
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    smallest = hashed.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= max_per_lang).drop("place")
+    # First within parts of a language, so that a language with most of the rows is ranked by several tasks; then over the parts' smallest.
+    in_part = F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))
+    in_lang = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    smallest = hashed.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(LANG_PARTS)))
+    smallest = smallest.withColumn("place", in_part).where(F.col("place") <= max_per_lang).withColumn("place", in_lang).where(F.col("place") <= max_per_lang).select("lang", "h")
     picked = hashed.join(F.broadcast(smallest), ["lang", "h"]).select("lang", "h", "text")  # max_per_lang hashes per language
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
