@@ -4,7 +4,8 @@ The normalised words of all test items go into one suffix automaton. Document wo
 are streamed through it while the longest match ending at each word is tracked; a
 match that reaches a window (``window`` consecutive item words, or a whole item of
 fewer words) marks its words as hit. Spans of hit words, their coverage of the
-document and the items they come from decide what is contaminated.
+document and the items they come from decide what is contaminated; ``remove_spans`` cuts
+spans beyond a length or a coverage limit out of the text, ``drop_contaminated`` drops documents.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z, on UTF-8 bytes.
 
@@ -30,11 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guardrag.llm.arrowtext import LOWER, mix, pieces, prefix_sums, ranges, span_hashes, text_bytes, word_spans
+from guardrag.llm.columns import put_back, set_aside
 from guardrag.session import materialize
 
 WINDOW = 13
@@ -48,6 +51,7 @@ _FILTER_BITS = 20
 
 #: Result columns: words, hit words, longest match, flat [start, end) word spans, items with occurring windows.
 N_WORDS, N_HIT, LONGEST, SPANS, ITEMS = "__n_words", "__n_hit", "__longest", "__spans", "__items"
+_CUT = "__cut"
 _FIELDS = [T.StructField(N_WORDS, T.LongType()), T.StructField(N_HIT, T.LongType()), T.StructField(LONGEST, T.LongType()),
            T.StructField(SPANS, T.ArrayType(T.LongType())), T.StructField(ITEMS, T.ArrayType(T.StringType()))]
 
@@ -238,24 +242,24 @@ def merge_spans(flat: list[int], more: list[int]) -> list[int]:
 
 def match_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
                 item_text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` with the columns N_WORDS, N_HIT, LONGEST, SPANS and ITEMS added."""
+    """``docs`` with the columns N_WORDS, N_HIT, LONGEST, SPANS and ITEMS added; columns of the input with these names are replaced."""
     spark = docs.sparkSession
     items = items.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")).alias("id"),
                          F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in {x.name for x in _FIELDS}])
     n_shards = max(1, math.ceil(1.25 * size / shard_bytes)) if size > shard_bytes else 1
     for shard in range(n_shards):
         own = items if n_shards == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_shards)) == shard)
         listed = spark.sparkContext.broadcast((uuid.uuid4().hex, sorted((r["id"], r["text"]) for r in own.collect())))
-        docs = _scan(docs, listed, text_col, window)
+        docs = _scan(docs, listed, text_col, window, again=shard > 0)
         if shard + 1 < n_shards:
             docs = materialize(docs, "decontaminate")
             listed.destroy()
     return docs
 
 
-def _scan(docs: DataFrame, listed, text_col: str, window: int) -> DataFrame:
-    again = SPANS in docs.columns
+def _scan(docs: DataFrame, listed, text_col: str, window: int, again: bool) -> DataFrame:
     kept = [f for f in docs.schema.fields if not again or f.name not in {x.name for x in _FIELDS}]
     order = [f.name for f in kept]
     docs = docs.select(*[f"`{c}`" for c in order], *([x.name for x in _FIELDS] if again else []))
@@ -293,7 +297,49 @@ def contaminated(min_share: float = 0.05):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns unchanged."""
-    return match_items(docs, items, text_col, **options).where(~contaminated()).select(*[f"`{c}`" for c in docs.columns])
+    rows, names = set_aside(docs, (x.name for x in _FIELDS))
+    return match_items(rows, items, names.get(text_col, text_col), **options).where(~contaminated()).select(*put_back(docs.columns, names))
+
+
+def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", chars_col: str | None = None, max_words: int = WINDOW - 1,
+                 max_share: float = 0.05, **options) -> DataFrame:
+    """``docs`` with benchmark spans cut out of the text, the other columns unchanged.
+
+    A span (a longest run of hit words) of more than ``max_words`` words goes, whatever the document's size; where hit words are at least
+    ``max_share`` of its words, all of its spans go. From a span's first byte to its last goes; separators beside it stay. Null stays null; ``chars_col``,
+    if given, is set to the new length of a text that was cut. A second scan in place, no shuffle.
+    """
+    rows, names = set_aside(docs, (*(x.name for x in _FIELDS), _CUT))
+    text = names.get(text_col, text_col)
+    found = match_items(rows, items, text, **options)
+    order = [*found.columns, _CUT]
+    share = round(1 / max_share) if max_share > 0 else 0
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in pieces(batches, text):
+            starts, ends, first = word_spans(LOWER[data], offsets, IS_WORD)
+            gone = np.zeros(len(data) + 1, dtype=np.int32)
+            n_words, n_hit = (batch.column(order.index(c)).to_pylist() for c in (N_WORDS, N_HIT))
+            for r, flat in enumerate(batch.column(order.index(SPANS)).to_pylist()):
+                every = n_hit[r] > 0 and (not share or n_hit[r] * share >= n_words[r])
+                for a, b in zip(flat[::2], flat[1::2]):
+                    if every or b - a > max_words:
+                        gone[starts[first[r] + a]] += 1
+                        gone[ends[first[r] + b - 1]] -= 1
+            stays = np.cumsum(gone[:-1]) == 0
+            left = np.concatenate(([0], np.cumsum(stays)))[offsets]
+            whole = batch.column(order.index(text))
+            texts = pa.Array.from_buffers(pa.string(), batch.num_rows, [None, pa.py_buffer(left.astype(np.int32).tobytes()), pa.py_buffer(data[stays].tobytes())])
+            texts = pc.if_else(pc.is_valid(whole), texts, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=order)
+
+    found = found.mapInArrow(cut, T.StructType([*found.schema.fields, T.StructField(_CUT, T.StringType())]))
+    own = {c: F.col(f"`{names.get(c, c)}`") for c in docs.columns}
+    if chars_col in own:
+        changed = F.octet_length(F.col(_CUT)) < F.octet_length(own[text_col])
+        own[chars_col] = F.when(changed, F.length(_CUT)).otherwise(own[chars_col]).cast(docs.schema[chars_col].dataType)
+    own[text_col] = F.col(_CUT)
+    return found.select(*[column.alias(c) for c, column in own.items()])
 
 
 def digest_of_items(column: str = ITEMS):

@@ -15,7 +15,8 @@ letter. ``score`` is the smaller of the two decisions' calibrated probabilities.
 
 Edge cases: rows whose language is null are never learned from; with no labelled row every text is
 ``und``; with one language all texts with letters get it; families with one member need no second step; repeated rows get
-equal results; ties go to the alphabetically first class.
+equal results; ties go to the alphabetically first class; a very long text is one row of sums, as any other. ``identify`` replaces
+columns of the input named like its results, ``accepted`` returns every column as it was. More than ``MAX_LANGS`` languages are an error.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardrag.llm.arrowtext import LOWER, pieces
+from guardrag.llm.columns import put_back, set_aside
 
 UNDETERMINED = "und"
 MAX_PER_LANG = 250
@@ -37,6 +39,7 @@ LANG_PARTS = 16
 MAX_LANGS = 200
 MIN_SCORE = 0.5
 BITS = (12, 13)
+RESULTS = ("__lang", "__lang_score")
 WIDTH = sum(1 << b for b in BITS)
 
 #: FIXED VALUES: families of language codes; any other code is a family of its own.
@@ -208,6 +211,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     from pyspark.sql import types as T
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in RESULTS])
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__lang_score", T.DoubleType())])
 
@@ -231,5 +235,6 @@ def bucket_of(key: Column, n: int) -> Column:
 def accepted(docs: DataFrame, train_on: DataFrame, text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose language is determined with at least ``min_score``, their columns unchanged."""
     model = train(train_on, text_col, lang_col)
-    found = identify(docs, model, text_col)
-    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__lang_score") >= min_score)).select(*[f"`{c}`" for c in docs.columns])
+    rows, names = set_aside(docs, RESULTS)
+    found = identify(rows, model, names.get(text_col, text_col))
+    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__lang_score") >= min_score)).select(*put_back(docs.columns, names))

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guardrag.llm.arrowtext import kgram_hashes, prefix_sums, ranges, sliding_min, span_hashes, text_bytes
+from guardrag.llm.columns import put_back, set_aside
 
 LENGTH = 50
 ANCHOR = 16
@@ -228,6 +229,7 @@ def window_minima(segments: list[bytes], keys: np.ndarray, length: int) -> tuple
     return out, first
 
 
+_RESULTS = ("__bytes", "__removed", "__spans", "__kept")
 _BLOB = "bucket long, block long, kind int, body binary"
 
 
@@ -243,10 +245,13 @@ def _bits_of(table: pa.Table, kind: int) -> dict[int, bytes]:
 def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
     """``docs`` without the text, with __bytes, __removed, __spans (removed runs) and __kept (binary, what is left) added.
 
-    ``whole_characters`` keeps every byte of a code point that is not removed as a whole, so the rest is valid UTF-8.
+    Columns of the input named like these are replaced. ``whole_characters`` keeps every byte of a code point that is not removed as a whole, so the rest is valid UTF-8.
     """
     if length < ANCHOR + 8:
         raise ValueError(f"length must be at least {ANCHOR + 8}")
+    given = docs.columns
+    docs, names = set_aside(docs, (*_RESULTS, "__key", "__text", "__block"))
+    key_col, text_col = names.get(key_col, key_col), names.get(text_col, text_col)
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")) + 64)).first()[0] or 0
     block_bytes = min(max(BLOCK_BYTES[0], total // MAX_BLOCKS), BLOCK_BYTES[1])
     blocks = max(1, math.ceil(total / block_bytes))
@@ -358,13 +363,18 @@ def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     bits = dealt.groupBy("__block").applyInArrow(anchors, _BLOB).groupBy("bucket").applyInArrow(shared, _BLOB)
     asked = dealt.groupBy("__block").cogroup(bits.groupBy("block")).applyInArrow(segments, _BLOB)
     answers = bits.unionByName(asked.groupBy("bucket").applyInArrow(sort, _BLOB))
-    return dealt.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(cut, result)
+    found = dealt.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(cut, result)
+    return found.select(*put_back([c for c in given if names.get(c, c) in others and c.lower() not in _RESULTS], names), *_RESULTS) if names else found
 
 
 def deduplicate(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings cut out of the text (whole code points) and its length in ``chars_col`` set anew."""
     text = F.when(F.col("__had"), F.decode("__kept", "UTF-8"))
-    found = remove_repeats(docs.withColumn("__had", F.col(f"`{text_col}`").isNotNull()), key_col, text_col, length, whole_characters=True)
-    columns = [text.alias(c) if c == text_col else F.when(F.col("__had") & (F.col("__removed") > 0), F.length(text)).otherwise(F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c)
-               if c == chars_col else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*columns)
+    rows, names = set_aside(docs, (*_RESULTS, "__had"))
+    own = {c: F.col(f"`{names.get(c, c)}`") for c in docs.columns}
+    rows = rows.withColumn("__had", F.col(f"`{names.get(text_col, text_col)}`").isNotNull())
+    found = remove_repeats(rows, names.get(key_col, key_col), names.get(text_col, text_col), length, whole_characters=True)
+    if chars_col in own:
+        own[chars_col] = F.when(F.col("__had") & (F.col("__removed") > 0), F.length(text)).otherwise(own[chars_col]).cast(docs.schema[chars_col].dataType)
+    own[text_col] = text
+    return found.select(*[column.alias(c) for c, column in own.items()])

@@ -105,10 +105,23 @@ def test_sharding_cuts_repeated_keys_exactly(spark):
     assert any("+" in r.shard_id for r in found)
 
 
+def test_sharding_one_huge_row_among_repeated_keys(spark):
+    rows = [(7, "z" * 100, None, "s", 0) for _ in range(20)] + [(7, "y" * 9000, None, "s", 0), (7, "x" * 700, None, "s", 0), (7, "", None, "s", 0)]
+    found = sharding.assign_shards(spark.createDataFrame(rows, DOCS).repartition(3), limit=1000).collect()
+    check_shards(found, 1000)
+    assert len(found) == 23 and sum(r.oversize for r in found) == 1
+    assert len({r.shard_id for r in found}) <= 5  # two rows alone, 2,000 bytes in runs of up to 1,000
+
+
 def test_sharding_empty_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "ab", 9)], "doc_id long, text string, depth int")
     assert sharding.assign_shards(docs).collect()[0].asDict() == {"doc_id": 1, "text": "ab", "n_bytes": 2, "depth": 0, "shard_id": "*", "oversize": False}
     assert sharding.assign_shards(docs.limit(0)).count() == 0
+    rows = [(i % 3, "ab" * i, i, -i, "p") for i in range(40)]
+    docs = spark.createDataFrame(rows, "__bits long, __shard string, __depth int, __LEAF long, __run string")
+    found = sharding.assign_shards(docs, "__bits", "__shard", limit=100).collect()
+    check_shards(found, 100)
+    assert sorted((r["__bits"], r["__shard"], r["__depth"], r["__LEAF"], r["__run"]) for r in found) == sorted(rows)
 
 
 # --- WARC --------------------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from guardrag.llm import decontaminate, fingerprint, jaccard_join, packing, queries, suffix_dedup
+from guardrag.llm import decontaminate, fingerprint, jaccard_join, language_id, packing, queries, suffix_dedup
 from guardrag.llm.arrowtext import text_bytes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -95,6 +95,46 @@ def test_decontaminate_one_word_items_and_empty_tables(spark):
     assert decontaminate.match_items(documents(spark, ["a"]).limit(0), items).count() == 0
 
 
+def test_remove_spans_cuts_long_spans_and_high_coverage(spark):
+    item = " ".join(f"item{i}" for i in range(20))
+    items = spark.createDataFrame([("a", item), ("b", "Short é Answer"), (None, None)], "item_id string, text string")
+    filler = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, f"{filler}, {item.upper()}! {filler}"), (2, f"{filler} short é answer."), (3, "x short-é answer!"), (4, None), (5, ""), (6, filler), (6, filler),
+            (7, " ".join(item.split()[3:18])), (8, "é" * 70_000 + " " + item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).withColumn("n_chars", F.length("text")).withColumn("__spans", F.lit("own"))
+    for shard_bytes in (1 << 20, 40):
+        got = {(r.doc_id, r.text, r.n_chars) for r in decontaminate.remove_spans(docs, items, chars_col="n_chars", shard_bytes=shard_bytes).collect() if r["__spans"] == "own"}
+        kept = {1: f"{filler}, ! {filler}", 2: rows[1][1], 3: "x !", 4: None, 5: "", 6: filler, 7: "", 8: "é" * 70_000 + " "}
+        assert got == {(i, t, None if t is None else len(t)) for i, t in kept.items()}
+    everything = decontaminate.remove_spans(docs, items, max_words=0).where("doc_id = 2").first()
+    assert everything.text == f"{filler} ." and everything.n_chars == len(rows[1][1])
+    assert decontaminate.remove_spans(docs, items.limit(0)).count() == 9 and decontaminate.remove_spans(docs.limit(0), items).count() == 0
+
+
+def test_clashing_columns_come_back_as_they_were(spark):
+    passage = words_text(random.Random(11), 60)
+    rows = [(1, f"the first {passage} end", "en"), (2, f"ein zweiter {passage} Ende", "de"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name in ("__lang", "__lang_score", "__bytes", "__key", "__had", "__kept", "__text", "__BLOCK", "__spans", "__items"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id")))
+    own = {r.doc_id: r.asDict() for r in docs.collect()}
+
+    def check(found, changed=()):
+        assert found.columns == docs.columns
+        for r in found.collect():
+            assert {k: v for k, v in r.asDict().items() if k not in changed} == {k: v for k, v in own[r.doc_id].items() if k not in changed}
+        return found.count()
+
+    items = spark.createDataFrame([("a", "nothing of the kind")], "item_id string, text string")
+    assert check(decontaminate.drop_contaminated(docs, items)) == 3
+    assert check(suffix_dedup.deduplicate(docs), ["text"]) == 3
+    assert check(language_id.accepted(docs, docs, min_score=0.0)) == 2
+    found = suffix_dedup.remove_repeats(docs)
+    assert found.count() == 3 and set(found.columns) == set(docs.columns) - {"text"} | {"__removed"}
+    renamed = docs.select(F.col("doc_id").alias("__key"), F.col("text").alias("__kept"), F.lit(1).alias("__block"))
+    assert {len(r["__kept"] or "") < 200 for r in suffix_dedup.deduplicate(renamed, "__key", "__kept").where("__key = 2").collect()} == {True}
+
+
 def test_drop_contaminated_keeps_clean_rows_unchanged(spark, benchmark_case):
     texts, items = benchmark_case
     docs = documents(spark, texts)
