@@ -12,6 +12,7 @@ from guardrag.config import (
     QueryOptions,
     RelevanceOptions,
 )
+from guardrag.functions.keywords import distinct_words
 from guardrag.functions.text import col_, is_blank, utf16_length
 
 
@@ -31,20 +32,11 @@ def truncation_marker(query: Column | str) -> Column:
     return F.concat(F.lit(head), utf16_length(query).cast("string"), F.lit(tail))
 
 
-def keyword_array(keywords: tuple[str, ...]) -> Column:
-    """Distinct lower-cased keywords as a literal array (the list is a set)."""
-    distinct = list(dict.fromkeys(k.lower() for k in keywords))
-    return F.array(*[F.lit(k) for k in distinct]).cast("array<string>")
-
-
 def keyword_count(query: Column | str, keywords: tuple[str, ...]) -> Column:
     """Number of distinct keywords occurring as case-insensitive substrings."""
     if not keywords:
         return F.lit(0)
-    kws = keyword_array(keywords)
-    # Bind lower(query) once per row (outer lambda), then test every keyword against it.
-    bound = F.transform(F.array(F.lower(col_(query))), lambda lq: F.size(F.filter(kws, lambda k: F.contains(lq, k))))
-    return F.coalesce(bound[0], F.lit(0))
+    return distinct_words(F.lower(col_(query)), list(dict.fromkeys(k.lower() for k in keywords)))
 
 
 def relevance(query: Column | str, opts: RelevanceOptions = RelevanceOptions()) -> Column:

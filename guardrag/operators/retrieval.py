@@ -90,6 +90,19 @@ def search(chunks: DataFrame, query_vector: list[float], k: int, vector_col: str
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order("score", chunk_id))))
 
 
+def split_questions(queries: DataFrame, dim: int | None, query_vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """R3 without an error: the questions that fit a store of ``dim`` entries a vector, and the others with a ``reason``.
+
+    A missing vector, or one without entries, is ``empty_vector``; another length is ``dimension_mismatch``. Of an empty
+    store (``dim`` is None) any length will do. One row-local pass; no row is lost.
+    """
+    size = F.coalesce(F.size(query_vector), F.lit(0))
+    reason = F.when(size <= 0, F.lit("empty_vector"))
+    if dim is not None:
+        reason = reason.when(size != F.lit(dim), F.lit("dimension_mismatch"))
+    return queries.where(reason.isNull()), queries.withColumn("reason", reason).where("reason is not null")
+
+
 # ---------------------------------------------------------------------------
 # Cell kernel (NumPy, runs inside tasks)
 # ---------------------------------------------------------------------------

@@ -4,7 +4,7 @@ import pytest
 
 from conftest import evaluate
 from guardrag.config import DISCLAIMER_TEXT, DisclaimerOptions, RelevanceOptions
-from guardrag.functions import gates
+from guardrag.functions import gates, keywords
 from guardrag.functions.safety import disclaimer_triggered, output_safety, template_answer
 
 
@@ -85,3 +85,13 @@ def test_output_safety_blank_and_null(spark):
 def test_clean_response_unchanged(spark):
     r = evaluate(spark, output_safety, "Revenue increased by 15% year on year.")[0]
     assert r["filtered_response"] == "Revenue increased by 15% year on year." and r["redaction_count"] == 0
+
+
+def test_many_words_in_one_pass(spark):
+    words = ["sec", "second", "securities", "on", "a.b", "a|b", "(x", "c d", "é", "", "aaaa", "aaa", "\U0001F600", "x" * 1500, "[", "^", "\\q"]
+    texts = ["", "second", "securities on", "axb a.b", "a|b (x", "c  d c d", "É é", "aaaaa", "\U0001F600x", "x" * 1600, "[^]", "\\q", "no", None]
+    got = evaluate(spark, lambda c: gates.keyword_count(c, tuple(words)), *texts)
+    distinct = {w.lower() for w in words}
+    assert got == [0 if t is None else sum(w in t.lower() for w in distinct) for t in texts]
+    assert set(evaluate(spark, lambda c: gates.keyword_count(c, ("",)), "x", None)) == {0, 1}
+    assert keywords.least_words(["sec", "second", "on", "con", "aa", "a"]) == ["sec", "on", "a"]

@@ -224,3 +224,15 @@ def test_only_ids_and_vectors_enter_the_scan(spark):
     plan = topk_batch(s, q, 1)._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.splitlines() if "MapInArrow" in line)
     assert "content" not in scan and "title" not in scan
+
+
+def test_questions_that_do_not_fit_are_told_apart(spark):
+    from guardrag.operators.retrieval import split_questions
+
+    rows = [("a", [1.0, 2.0]), ("b", None), ("c", []), ("d", [1.0]), ("d", [1.0]), (None, [1.0, 2.0])]
+    queries = spark.createDataFrame(rows, "query_id string, embedding array<float>")
+    good, bad = split_questions(queries, 2)
+    assert sorted(r.query_id or "" for r in good.collect()) == ["", "a"] and good.columns == queries.columns
+    assert sorted((r.query_id, r.reason) for r in bad.collect()) == [("b", "empty_vector"), ("c", "empty_vector"), ("d", "dimension_mismatch"), ("d", "dimension_mismatch")]
+    good, bad = split_questions(queries, None)
+    assert good.count() == 4 and bad.count() == 2
