@@ -4,8 +4,8 @@ A document's set holds its distinct five-word shingles (the whole sequence if it
 ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z). Jaccard distance 1 - |x & y| / |x | y| is a metric; two
 documents link when it is at most 0.25. Shingles are 64-bit hashes.
 
-Regions come from a prefix filter on rare shingles, not from nearest pivots: pivots drawn from all documents are useless for shingle sets, as nearly
-all distances are 1. Pivots, balls and windows work inside a region.
+Documents meet by a prefix filter on rare shingles first: pivots drawn from all documents are useless for shingle sets, as nearly
+all distances are 1. The metric join works on what meets: pivots, balls and windows inside a task, Voronoi regions above.
 
 Steps:
 
@@ -20,9 +20,11 @@ Steps:
    0.25: linked), a window (up to 0.5) and the rest, which by the triangle inequality holds no
    partner of the ball. Ball members are settled by their pivot; window members that are not yet connected
    become pivots themselves; then a member outside all balls is the next pivot.
-5. **Large regions.** A region over ``region_cap`` members is cut by distance to one pivot: its ball is
-   linked at once and never joined with itself; the other members are joined in tiles of two chunks, only where the chunks' distance
-   ranges lie within 0.25 of each other. A tile is bounded, whatever the region's size.
+5. **Large regions** (over ``region_cap`` members or ``REGION_BYTES``). Members with over a quarter of shingles that nobody else in the region has leave.
+   Eight pivots create Voronoi regions; a member is copied to the earlier regions whose pivot is at most 0.5 further
+   away than its own, so partners on a border meet; what lies in a ball is linked and stays only where an outsider can come near. Regions that are still
+   too large are cut again with new pivots. Where the distances do not cut (over 0.7 of the pairs would be left, for one region keeps most members or
+   windows copy too much), the region is joined in tiles of two bounded chunks, only where distance bands around one pivot and the counts of lonely shingles allow links.
 6. **Components** of the links among classes by alternating star contraction; members join back by class.
 
 Scale: text is shuffled once (the exchange is reused), shingles of all documents as 4-byte hashes for a share, full sets only for
@@ -48,7 +50,10 @@ from guardrag.session import materialize, scratch_path
 WORDS = 5
 #: Similarity of linked documents as a ratio of integers.
 NEAR = (3, 4)
-REGION_CAP = 4000
+#: A region is joined by one task up to this many members and bytes of shingles.
+REGION_CAP, REGION_BYTES = 4000, 64 << 20
+#: Pivots of a round of Voronoi regions, rounds, and the share of pairs beyond which a round is no progress and tiles are used instead.
+PIVOTS, ROUNDS, PAIRS = 8, 6, 0.7
 BLOCK_BYTES = (4 << 20, 256 << 20)
 MAX_BLOCKS = 400_000
 #: Share of the hash space whose shingles are counted in step 1, in sixteenths.
@@ -334,9 +339,145 @@ def _join_units(units: DataFrame, block_bytes: int) -> DataFrame:
             .groupBy("part").applyInArrow(join, "a long, b long"))
 
 
+def _lonely(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``alone``: how many of a member's shingles no other member of its region has; hopeless members are left out.
+
+    Linked members share shingles that have two holders here, so a member with more than a quarter of lonely shingles links with nobody in
+    the region, and of two linked members one has at most a seventh (7 * shared >= 3 * (n + m) and shared <= n - alone, for both).
+    """
+    def unpack(batches):
+        for batch in batches:
+            tokens, first = _sets(pa.Table.from_batches([batch]))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            region, ids = batch.column("region").to_numpy(), batch.column("id").to_numpy()
+            for lo in range(0, len(tokens), 1 << 18):
+                at = row[lo:lo + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(region[at]), pa.array(ids[at]), pa.array(tokens[lo:lo + (1 << 18)].view(np.int64))],
+                                                 names=["region", "id", "token"])
+
+    holders = (rows.select("region", "id", "tokens").mapInArrow(unpack, "region long, id long, token long")
+               .groupBy("region", "token").agg(F.count("*").alias("holders"), F.min("id").alias("id")).where("holders = 1"))
+    alone = holders.groupBy("region", "id").agg(F.count("*").alias("alone"))
+    n = F.octet_length("tokens") / 8
+    return (rows.select("region", "id", "tokens").join(alone, ["region", "id"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+            .where(F.col("alone") * NEAR[1] <= n * (NEAR[1] - NEAR[0])))
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("region").agg(F.count("*").alias("count"), F.sum(F.octet_length("tokens")).cast("long").alias("bytes"))
+
+
+def _fits(cap: int):
+    return (F.col("count") <= cap) & (F.col("bytes") <= REGION_BYTES)
+
+
+_EMPTY_PLACES = _table({"region": ([], pa.int64()), "id": ([], pa.int64()), "tokens": ([], pa.binary()), "alone": ([], pa.int64()), "home": ([], pa.int32()),
+                        "ball": ([], pa.bool_()), "places": ([], pa.list_(pa.int32())), "distances": ([], pa.list_(pa.float64())), "linked": ([], pa.list_(pa.int64()))})
+
+
+def _nearest(rows: DataFrame, sizes: DataFrame, cap: int, salt: int) -> DataFrame:
+    """Distances to ``PIVOTS`` pivots of the region, as places: a member's Voronoi region and the earlier ones in whose window it lies.
+
+    Let x be nearest to pivot p, its partner y to q: d(x, q) <= d(y, q) + r <= d(y, p) + r <= d(x, p) + 2r. So x is copied to
+    the regions that come before its own and whose pivot is at most 2r further away than its own, and the pair meets in the earlier region.
+    """
+    light = F.min_by("id", F.struct(F.col("alone") / F.octet_length("tokens"), "id"))  # the member most like the others
+    drawn = rows.groupBy("region").agg(F.array_distinct(F.array(light, *[F.min_by("id", F.xxhash64("id", F.lit(salt * PIVOTS + j))) for j in range(1, PIVOTS)])).alias("drawn"))
+    pivots = drawn.select("region", F.explode("drawn").alias("id")).join(rows.select("region", "id", "tokens"), ["region", "id"])
+    parts = sizes.select("region", F.ceil(F.greatest(F.col("count") / cap, F.col("bytes") / REGION_BYTES)).cast("long").alias("parts"))
+    dealt = rows.join(parts, "region").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    centres = pivots.join(parts, "region").select("region", "id", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    centres = materialize(centres, "pivots")
+    radius = 1 - NEAR[0] / NEAR[1]
+    schema = "region long, id long, tokens binary, alone long, home int, ball boolean, places array<int>, distances array<double>, linked array<long>"
+
+    def measure(table: pa.Table, centres: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _EMPTY_PLACES
+        tokens, first = _sets(table)
+        centres = centres.sort_by("id")
+        theirs, begin = _sets(centres)
+        holder, n, pivot = np.repeat(np.arange(table.num_rows), np.diff(first)), np.diff(first), centres.column("id").to_numpy()
+        d, inside = np.ones((table.num_rows, len(pivot))), np.zeros((table.num_rows, len(pivot)), dtype=bool)
+        for j in range(len(pivot)):
+            own = theirs[begin[j]:begin[j + 1]]
+            shared = np.bincount(holder[np.isin(tokens, own)], minlength=len(n))
+            union = n + len(own) - shared
+            d[:, j], inside[:, j] = 1 - shared / union, NEAR[1] * shared >= NEAR[0] * union
+        row = np.arange(len(n))
+        home = d.argmin(axis=1)
+        goes = (d <= d[row, home][:, None] + 2 * radius + 1e-9) & (np.arange(len(pivot)) <= home[:, None])
+        ids = table.column("id").to_numpy()
+        return pa.table({
+            "region": table.column("region"), "id": table.column("id"), "tokens": table.column("tokens"), "alone": table.column("alone"),
+            "home": pa.array(home, pa.int32()), "ball": pa.array(inside[row, home]),
+            "places": pa.array([np.flatnonzero(g).tolist() for g in goes], pa.list_(pa.int32())),
+            "distances": pa.array([x[g].tolist() for x, g in zip(d, goes)], pa.list_(pa.float64())),
+            "linked": pa.array([pivot[i & (pivot != own)].tolist() for i, own in zip(inside, ids)], pa.list_(pa.int64()))})
+
+    return dealt.groupBy("region", "part").cogroup(centres.groupBy("region", "part")).applyInArrow(measure, schema)
+
+
+def _voronoi(rows: DataFrame, sizes: DataFrame, cap: int, salt: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(smaller regions, regions that distances do not cut, links to pivots) of (region, id, tokens, alone)."""
+    radius = 1 - NEAR[0] / NEAR[1]
+    placed = materialize(_nearest(rows, sizes, cap, salt), "voronoi")
+    links = placed.select(F.col("id").alias("a"), F.explode("linked").alias("b"))
+    copies = (placed.select("region", "id", "home", "ball", F.explode(F.arrays_zip("places", "distances")).alias("at"))
+              .select("region", "id", F.col("at.places").alias("place"), F.col("at.distances").alias("d"), (F.col("home") == F.col("at.places")).alias("resident"), "ball"))
+    copies = copies.withColumn("done", F.col("resident") & F.col("ball"))
+    # The ball is linked by its pivot; it stays only for others that the triangle inequality lets link with it. Guests stay for residents.
+    limits = copies.groupBy("region", "place").agg(F.min(F.when(~F.col("done"), F.col("d"))).alias("nearest"), F.max(F.when(F.col("resident"), F.col("d"))).alias("furthest"))
+    copies = (copies.join(limits, ["region", "place"])
+              .where(F.when(F.col("done"), F.col("d") >= F.col("nearest") - radius - 1e-9)
+                     .otherwise(F.col("resident") | (F.col("d") <= F.col("furthest") + radius + 1e-9))).select("region", "id", "place"))
+    copies = materialize(copies, "places")
+    # A cut is taken if it leaves PAIRS of the pairs to compare; with eight pivots a member then has at most 2.4 copies on average.
+    pairs = copies.groupBy("region", "place").agg(F.pow(F.count("*"), F.lit(2.0)).alias("pairs")).groupBy("region").agg(F.sum("pairs").alias("pairs"))
+    stuck = sizes.join(pairs, "region").where(F.col("pairs") > PAIRS * F.pow("count", F.lit(2.0))).select("region")
+    stuck = materialize(stuck, "stuck")
+    smaller = (copies.join(stuck, "region", "left_anti").join(placed.select("region", "id", "tokens", "alone"), ["region", "id"])
+               .select(F.xxhash64("region", F.lit(salt), "place").alias("region"), "id", "tokens", "alone"))
+    return smaller, rows.join(stuck, "region", "left_semi"), links
+
+
+def _join_large(rows: DataFrame, cap: int, block_bytes: int) -> DataFrame:
+    """Links inside regions of (region, id, tokens) that are too large for a task: Voronoi regions, cut again until they fit; tiles for the rest."""
+    rows = materialize(_lonely(rows), "large")
+    links, tiled = [], []
+
+    def join_fitting(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sizes = materialize(_sizes(rows), "sizes")
+        fitting = rows.join(sizes.where(_fits(cap)), "region", "left_semi").select(F.col("region").alias("unit"), "id", "tokens")
+        links.append(_join_units(fitting, block_bytes))
+        return rows.join(sizes.where(~_fits(cap)), "region", "left_semi"), sizes.where(~_fits(cap))
+
+    rows, sizes = join_fitting(rows)
+    for salt in range(ROUNDS):
+        if sizes.isEmpty():
+            break
+        smaller, stuck, to_pivots = _voronoi(rows, sizes, cap, salt)
+        links.append(to_pivots)
+        tiled.append(stuck)
+        rows, sizes = join_fitting(materialize(smaller, "smaller"))
+    tiled.append(rows)  # nothing, unless the rounds were used up
+    for rest in tiled:
+        if not rest.isEmpty():
+            units, balls = _tiles(rest, cap)
+            links += [balls, _join_units(materialize(units, "tiles"), block_bytes)]
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _tiles(rows: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
-    """(units, links) of regions over the cap: distance bands around one pivot, joined where bands are near."""
-    pivots = rows.groupBy("region").agg(F.max_by(F.struct(F.col("id").alias("pivot"), F.col("tokens").alias("centre")), F.struct(F.octet_length("tokens"), "id")).alias("p"))
+    """(units, links) of regions that distances do not cut: bands around the member with the fewest lonely shingles, joined where bands are near.
+
+    Two members with over a seventh of lonely shingles each never link, so bands of such members are not joined with each other.
+    """
+    lightest = F.struct(F.col("alone") / F.octet_length("tokens"), -F.octet_length("tokens"), "id")
+    pivots = rows.groupBy("region").agg(F.min_by(F.struct(F.col("id").alias("pivot"), F.col("tokens").alias("centre")), lightest).alias("p"))
 
     def measure(batches):
         for batch in batches:
@@ -350,26 +491,29 @@ def _tiles(rows: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
                 union = len(x) + len(p) - shared
                 # Band 0 is the ball; the others are distance ranges of 1 / BINS.
                 bins.append(0 if NEAR[1] * shared >= NEAR[0] * union else 1 + min(BINS - 1, int((1 - shared / union) * BINS)))
-            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("id"), batch.column("tokens"), batch.column("pivot"), pa.array(bins, pa.int32())],
-                                             names=["region", "id", "tokens", "pivot", "bin"])
-
-    banded = (rows.join(pivots, "region").select("region", "id", "tokens", F.col("p.pivot").alias("pivot"), F.col("p.centre").alias("centre"))
-              .mapInArrow(measure, "region long, id long, tokens binary, pivot long, bin int"))
-    banded = materialize(banded, "bands")
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("region", "id", "tokens", "alone", "pivot")], pa.array(bins, pa.int32())],
+                                             names=["region", "id", "tokens", "alone", "pivot", "bin"])
+
+    banded = (rows.join(pivots, "region").select("region", "id", "tokens", "alone", F.col("p.pivot").alias("pivot"), F.col("p.centre").alias("centre"))
+              .mapInArrow(measure, "region long, id long, tokens binary, alone long, pivot long, bin int"))
+    # shared / (n + m - shared) >= a / b needs (a + b) * shared >= a * (n + m); for a pair of equals that leaves (b - a) / (a + b) lonely.
+    heavy = F.col("alone") * (NEAR[0] + NEAR[1]) > F.octet_length("tokens") / 8 * (NEAR[1] - NEAR[0])
+    banded = materialize(banded.withColumn("heavy", heavy), "bands")
     links = banded.where("bin = 0 and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    chunks = banded.groupBy("region", "bin").agg(F.ceil(F.count("*") / (cap / 2)).cast("int").alias("chunks"))
+    chunks = banded.groupBy("region", "bin", "heavy").agg(
+        F.ceil(F.greatest(F.count("*") / (cap / 2), F.sum(F.octet_length("tokens")) / (REGION_BYTES / 2))).cast("int").alias("chunks"))
     # A member of distance range [lo, hi) can link into ranges that come within the radius; ball with ball is done.
     reach = 1 + BINS * (NEAR[1] - NEAR[0]) // NEAR[1]
     lo = BINS * (NEAR[1] - NEAR[0]) // NEAR[1]  # band 1 + lo is the first beyond the ball
-    other = chunks.select("region", F.col("bin").alias("bin2"), F.col("chunks").alias("chunks2"))
-    near = ((F.col("bin") != 0) | (F.col("bin2") != 0)) & (
+    other = chunks.select("region", F.col("bin").alias("bin2"), F.col("heavy").alias("heavy2"), F.col("chunks").alias("chunks2"))
+    near = ~(F.col("heavy") & F.col("heavy2")) & ((F.col("bin") != 0) | (F.col("bin2") != 0)) & (
         F.when(F.col("bin") == 0, F.col("bin2") <= lo + 1 + reach).when(F.col("bin2") == 0, F.col("bin") <= lo + 1 + reach)
         .otherwise(F.abs(F.col("bin") - F.col("bin2")) <= reach))
-    plan = chunks.join(other, "region").where(near)  # at most (BINS + 1) ** 2 rows for a region
+    plan = chunks.join(other, "region").where(near)  # at most (2 * BINS + 2) ** 2 rows for a region
     own = F.pmod(F.xxhash64("id"), F.col("chunks"))
-    units = (banded.join(plan, ["region", "bin"])
+    units = (banded.join(plan, ["region", "bin", "heavy"])
              .withColumns({"own": own, "theirs": F.explode(F.sequence(F.lit(0), F.col("chunks2") - 1))})
-             .withColumns({"x": F.struct("bin", "own"), "y": F.struct(F.col("bin2").alias("bin"), F.col("theirs").cast("bigint").alias("own"))})
+             .withColumns({"x": F.struct("bin", "heavy", "own"), "y": F.struct(F.col("bin2").alias("bin"), F.col("heavy2").alias("heavy"), F.col("theirs").cast("bigint").alias("own"))})
              .select(F.xxhash64("region", F.least("x", "y"), F.greatest("x", "y")).alias("unit"), "id", "tokens").distinct())
     return units, links
 
@@ -398,13 +542,12 @@ def join_components(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
     """(key, n_shingles, component_id) of every document."""
     found = materialize(_shingled(docs, key_col, text_col, words), "shingles")
     members = materialize(_regions(found.where("tokens is not null"), block_bytes), "regions")
-    sizes = members.groupBy("region").count().where("count > 1")
-    small = members.join(sizes.where(F.col("count") <= region_cap), "region", "left_semi").select(F.col("region").alias("unit"), "id", "tokens")
+    sizes = _sizes(members).where("count > 1")
+    small = members.join(sizes.where(_fits(region_cap)), "region", "left_semi").select(F.col("region").alias("unit"), "id", "tokens")
     links = _join_units(small, block_bytes)
-    large = members.join(sizes.where(F.col("count") > region_cap), "region", "left_semi")
+    large = members.join(sizes.where(~_fits(region_cap)), "region", "left_semi")
     if not large.isEmpty():
-        units, balls = _tiles(large, region_cap)
-        links = links.unionByName(balls).unionByName(_join_units(materialize(units, "tiles"), block_bytes))
+        links = links.unionByName(_join_large(large, region_cap, block_bytes))
     roots = components(links)
     classes = found.where("n > 0 and key is not null").groupBy("d1", "d2", "n").agg(F.min("key").alias("class"))
     classes = classes.join(roots, F.col("class") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("root", "class").alias("component"))

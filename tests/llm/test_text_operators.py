@@ -298,6 +298,59 @@ def test_link_finder_is_exact_on_random_sets():
         assert got.tolist() == root
 
 
+def brute_roots(sets):
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def clustered_sets(rng):
+    """Groups around far templates, chains between them, and near copies of one text."""
+    sets = []
+    for g in range(12):
+        base = set(range(1000 * g, 1000 * g + 60))
+        for k in range(14):
+            sets.append(base - set(rng.sample(sorted(base), rng.randrange(22))) | set(rng.sample(range(1000 * g, 1000 * g + 120), rng.randrange(12))))
+    walk = set(range(80))
+    for step in range(40):
+        walk = walk - set(rng.sample(sorted(walk), 8)) | {90_000 + 8 * step + i for i in range(8)}
+        sets.append(set(walk))
+    return sets
+
+
+def template_sets(rng):
+    """One template with tails of their own, the case that distances do not cut."""
+    return [set(range(100)) | {10_000 + 100 * k + i for i in range(rng.randrange(33))} for k in range(120)] + [set(range(100, 160))]
+
+
+@pytest.mark.parametrize("make", [clustered_sets, template_sets])
+@pytest.mark.parametrize("cap,rounds", [(30, 6), (30, 1), (7, 6)])
+def test_large_regions_lose_no_link(spark, monkeypatch, make, cap, rounds):
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    sets = make(random.Random(cap))
+    rows = [(1, i, np.array(sorted(s), dtype=np.uint64).tobytes()) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "region long, id long, tokens binary").repartition(3)
+    found = {r.node: r.root for r in jaccard_join.components(jaccard_join._join_large(frame, cap, 20_000)).collect()}
+    assert [found.get(i, i) for i in range(len(sets))] == brute_roots(sets)
+
+
+def test_voronoi_regions_shrink_what_has_to_meet(spark):
+    sets = clustered_sets(random.Random(4))
+    rows = [(1, i, np.array(sorted(s), dtype=np.uint64).tobytes(), 0) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "region long, id long, tokens binary, alone long")
+    smaller, stuck, _ = jaccard_join._voronoi(frame, jaccard_join._sizes(frame), 30, 0)
+    counts = [r["count"] for r in smaller.groupBy("region").count().collect()]
+    assert stuck.count() == 0 and len(counts) > 2 and sum(c * c for c in counts) <= jaccard_join.PAIRS * len(sets) ** 2
+    # Near copies lie in the ball of any of them: nothing is left to be joined.
+    same = frame.withColumn("tokens", F.lit(rows[0][2]))
+    smaller, stuck, links = jaccard_join._voronoi(same, jaccard_join._sizes(same), 30, 0)
+    assert smaller.count() == stuck.count() == 0 and links.select("a").distinct().count() == len(sets)
+
+
 def test_jaccard_join_nulls_empty_and_repeated_rows(spark):
     docs = documents(spark, ["one two three four five six", "one two three four five six", None, "", "x"], [7, 7, 3, 4, None])
     got = sorted(((r.doc_id is None, r.doc_id), r.n_shingles, r.component_id) for r in jaccard_join.join_components(docs).collect())
