@@ -5,11 +5,12 @@ For a text's bytes two modular prefix arrays are kept (modulo the primes 2**31 -
 position 0, so span equality is one comparison and the longest common extension of two
 positions is a binary search over lengths.
 
-The fingerprint of a text is the hash of the whole text followed by the ``size`` smallest of the
-distinct hashes of all its spans of ``span`` bytes (a shorter text is one span): 16 hex
-digits, then 8 per span. Likeness of two fingerprints is the share of common values
-among the ``size`` smallest of their union, an estimate of the Jaccard likeness of the span
-sets; it is 1 for equal texts. Two empty texts are alike, an empty and another text are not.
+The fingerprint of a text is the hash of the whole text (16 hex digits) followed by the ``size`` smallest of the
+distinct hashes of its spans of ``span`` bytes, 8 digits each with the top bit set. Texts under 8 * ``span`` bytes also hold the ``size`` smallest
+of their spans of ``span`` / 6 bytes (a shorter text is one span), top bit clear, and texts under 2 * ``span`` bytes hold only these. Likeness of two
+fingerprints is the share of common values among the ``size`` smallest of their union, an estimate of the Jaccard likeness of the span
+sets: of the long spans if both have some, else of the short ones (0 if one has none). It is 1 for equal texts. Two empty texts are alike, an empty
+and another text are not.
 
 ``edited_pairs`` gives each document's text an edit that borrows from the next document in
 descending key order. Documents are dealt into key ranges, and the first document of a range is
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 
 SPAN = 24
 SIZE = 48
+#: Marks the hash of a long span.
+LONG = np.uint32(1 << 31)
 MAX_RANGES = 1_000_000
 PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (1_000_003, 911_382_323)
@@ -101,17 +104,20 @@ def _sketch(text: bytes, span: int, size: int) -> tuple[str, np.ndarray, PrefixH
     data = np.frombuffer(text, dtype=np.uint8)
     hashes = PrefixHash(data)
     whole = int(hashes.span(0, hashes.n)) if hashes.n else 0
-    width = min(span, hashes.n)
-    values = np.zeros(0, np.uint32)
-    if width:
-        spans = (_mix(hashes.span(np.arange(hashes.n - width + 1), width)) >> _U(32)).astype(np.uint32)
-        # Nearly all values exceed the wanted smallest ones: cut before sorting, then check that enough are left.
-        bound = min(2**32 - 1, (4 * size << 32) // len(spans))
-        values = np.unique(spans[spans <= bound])
-        if len(values) < size:
-            values = np.unique(spans)
-        values = values[:size]
-    return f"{whole:016x}" + values.astype(">u4").tobytes().hex(), values, hashes
+    values = [np.zeros(0, np.uint32)]
+    if 0 < hashes.n < 8 * span:
+        values.append(_smallest(hashes, min(max(1, span // 6), hashes.n), size))
+    if hashes.n >= 2 * span:
+        values.append(_smallest(hashes, span, size) | LONG)
+    both = np.concatenate(values)
+    return f"{whole:016x}" + both.astype(">u4").tobytes().hex(), both, hashes
+
+
+def _smallest(hashes: PrefixHash, width: int, size: int) -> np.ndarray:
+    spans = (_mix(hashes.span(np.arange(hashes.n - width + 1), width)) >> _U(33)).astype(np.uint32)
+    # Nearly all values exceed the wanted smallest ones: cut before sorting, then check that enough are left.
+    values = np.unique(spans[spans <= min(2**31 - 1, (4 * size << 31) // len(spans))])
+    return (values if len(values) >= size else np.unique(spans))[:size]
 
 
 def likeness(a: str, b: str, size: int = SIZE) -> float:
@@ -124,6 +130,11 @@ def likeness(a: str, b: str, size: int = SIZE) -> float:
 def _overlap(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    # Short spans stand first, long ones behind.
+    at, bt = np.searchsorted(a, LONG), np.searchsorted(b, LONG)
+    a, b = (a[at:], b[bt:]) if at < len(a) and bt < len(b) else (a[:at], b[:bt])
+    if not len(a) or not len(b):
+        return 0.0
     both = np.union1d(a, b)[:size]
     return float(np.isin(both, a, assume_unique=True)[np.isin(both, b, assume_unique=True)].sum()) / len(both)
 

@@ -444,6 +444,19 @@ def test_fingerprint_edge_cases(spark):
     assert {r.fingerprint for r in fingerprint.fingerprints(docs).collect()} == {r.fingerprint for r in found}
 
 
+def test_short_texts_are_like_their_edits():
+    def near(a, b):
+        return fingerprint.likeness(fingerprint.sketch(a.encode())[0], fingerprint.sketch(b.encode())[0])
+
+    rng = random.Random(5)
+    for n in (12, 18, 40, 47, 48, 60, 100, 190, 192, 260, 400):
+        a, b = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for _ in range(2))
+        assert near(a, fingerprint.edit(a, b)) > 0.2 and near(a, b) < 0.1 and near(a, a) == 1
+        # An edit by a shorter text may leave the next smaller class of lengths.
+        assert near(a, fingerprint.edit(a, "")) > 0.25
+    assert near("", "abcdefgh") == near("short text", "x" * 3 + "long text " * 60) == 0
+
+
 def test_likeness_follows_span_overlap():
     rng = random.Random(2)
     a = words_text(rng, 400, 10**6)
