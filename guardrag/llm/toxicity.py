@@ -1,11 +1,11 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-One dictionary is trained on ordinary text, one on toxic text. Every window of a document is
+One dictionary is built from ordinary text, one from toxic text. Every window of a document is
 compressed with both; the bytes that the toxic dictionary saves are its distance. Windows that
 save anything are looked at word by word with the same compressors. A logistic curve, calibrated on labelled rows the
 dictionaries have not seen, turns a document's savings into a score.
 
-Training of the dictionaries: both hold the most frequent words of ordinary text; the
+Building the dictionaries (segments chosen here; zstandard's trainer gave dictionaries that do not tell the classes apart, see the README): both hold the most frequent words of ordinary text; the
 toxic one also holds strings that cover the toxic documents (greedy cover by 5 to 7 bytes, each
 document ``COVER`` times, grown up to whole words) and that ordinary documents hardly contain. As
 the rest is shared, a window of ordinary text compresses alike with both.
@@ -18,7 +18,8 @@ taken by a hash threshold); both dictionaries are below 32 KB. Scoring is a scan
 
 Edge cases: null and empty texts have no window and get the score of a document without savings;
 labels that are null are not used; a document with several labels counts as toxic if one says so; with no toxic or no ordinary label
-nothing can be learned and every score is 0; repeated rows get equal scores.
+nothing can be learned and every score is 0; where a class has labelled texts but none fits ``MAX_TRAIN_BYTES``, training raises a ValueError;
+repeated rows get equal scores.
 """
 
 from __future__ import annotations
