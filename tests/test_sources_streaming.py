@@ -16,7 +16,7 @@ from guardrag.session import ensure_checkpoint_dir
 from guardrag.sources.files import read_documents
 from guardrag.sources.queries import read_queries, stream_queries
 from guardrag.streaming.ask import start_ask_stream
-from guardrag.streaming.ingest import ingest_folder, start_ingest_stream
+from guardrag.streaming.ingest import ingest_folder, start_chunk_stream, start_ingest_stream
 
 
 def write_files(folder, files):
@@ -113,3 +113,18 @@ def test_micro_batches_leave_no_scratch_tables(spark, tmp_path):
     start_ask_stream(stream, st, str(tmp_path / "audit"), str(tmp_path / "ck"), available_now=True).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "audit")).count() == 3
     assert {n for n in set(os.listdir(scratch)) - before if "ask" in n or "topk" in n} == set()
+
+
+def test_table_streams_read_one_file_and_folders_of_files(spark, tmp_path):
+    from guardrag.plans.catalog import _parquet_stream
+
+    for kind, parts in (("file", 1), ("folder", 3)):
+        spark.range(20).repartition(parts).write.parquet(str(tmp_path / kind / "rows.parquet"))
+        spark.range(5).write.parquet(str(tmp_path / kind / "other.parquet"))
+    part = next((tmp_path / "file" / "rows.parquet").glob("part-*.parquet"))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "rows.parquet").write_bytes(part.read_bytes())
+    for kind in ("one", "folder"):
+        sink, ckpt = str(tmp_path / f"sink-{kind}"), str(tmp_path / f"ckpt-{kind}")
+        start_chunk_stream(_parquet_stream(spark, str(tmp_path / kind), "rows"), lambda df: df, sink, ckpt).awaitTermination()
+        assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == list(range(20))
