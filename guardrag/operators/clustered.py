@@ -15,12 +15,13 @@ question of the block needs are not read at all; in the others a batch of rows m
 Scores are those of ``topk_batch`` bit for bit, ties by chunk id and NaN last; a question that is irregular itself reads everything.
 
 **Scale.** Questions are dealt to blocks of bounded bytes by nearest cluster, so that a block needs few clusters; a block is broadcast with
-its needed pairs (bits). Centroids and radii are at most ``MAX_CLUSTERS`` rows. The store is never shuffled.
+its needed pairs (bits), and a task ranks all clusters it reads into one list of k a question; angles are taken ``ANGLE_ENTRIES`` at a time. Centroids and radii are at most ``MAX_CLUSTERS`` rows. The store is never shuffled.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardrag.operators.retrieval import QueryBlock, _arrow_type, _emit, _matrix, _reduce, _regular, _squared_norms, rank_order, score_cell
+from guardrag.operators.retrieval import QueryBlock, TopK, _arrow_type, _matrix, _regular, _squared_norms, rank_order
 from guardrag.session import materialize, track
 
 MAX_CLUSTERS, SAMPLE_PER_CLUSTER, ROUNDS = 4096, 16, 4
 BLOCK_BYTES = 64 << 20
 #: Slack of angles (radians) and of scores; both are far above the rounding of double angles and float scores.
 ANGLE_SLACK, SCORE_SLACK = 1e-6, 1e-5
-_NEED = "_needs"
+#: Angles held at once, on the driver and in tasks (8 MB).
+ANGLE_ENTRIES = 1 << 20
 
 
 def unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +54,12 @@ def _angles(units: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ centroids.T, -1, 1))
 
 
+def _slices(rows: int, width: int) -> Iterator[slice]:
+    """Slices of rows whose angles to ``width`` centroids are at most ``ANGLE_ENTRIES``."""
+    step = max(1, ANGLE_ENTRIES // max(1, width))
+    return (slice(s, min(s + step, rows)) for s in range(0, rows, step))
+
+
 def fit_centroids(sample: np.ndarray, clusters: int) -> np.ndarray:
     """Unit centroids of a sample by a few rounds of spherical k-means; starts are spread by farthest-first over the sample."""
     units, good = unit_rows(sample)
@@ -64,7 +72,7 @@ def fit_centroids(sample: np.ndarray, clusters: int) -> np.ndarray:
         nearest = np.maximum(nearest, units @ units[chosen[-1]])
     centroids = units[chosen]
     for _ in range(ROUNDS):
-        own = (units @ centroids.T).argmax(axis=1)
+        own = np.concatenate([(units[part] @ centroids.T).argmax(axis=1) for part in _slices(len(units), len(centroids))])
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, units)
         norms = np.sqrt((sums * sums).sum(axis=1))
@@ -92,9 +100,10 @@ def write_clustered(chunks: DataFrame, path: str, clusters: int | None = None, c
                 continue
             units, good = unit_rows(_matrix(batch.column(batch.schema.get_field_index(vector_col)), batch.num_rows))
             cluster, angle = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
-            if len(centroids) and good.any():
-                near = _angles(units[good], centroids)
-                cluster[good], angle[good] = near.argmin(axis=1), near.min(axis=1)
+            of = np.flatnonzero(good)
+            for part in _slices(len(of), len(centroids)) if len(centroids) else ():
+                near = _angles(units[of[part]], centroids)
+                cluster[of[part]], angle[of[part]] = near.argmin(axis=1), near.min(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(angle), pa.array(cluster)], names=[*batch.schema.names, "angle", "cluster"])
 
     placed = materialize(chunks.mapInArrow(assign, schema), "clustered-assign")
@@ -117,57 +126,62 @@ class Clusters:
         self.radii, self.sizes = np.array([r["radius"] for r in rows]), np.array([r["n"] for r in rows], dtype=np.int64)
 
     def nearest(self, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(nearest cluster's position of every question, the pairs of its first pass): nearest clusters until they hold ``k`` vectors."""
-        units, good = unit_rows(vectors)
-        needs = np.zeros((len(vectors), len(self.numbers)), dtype=bool)
-        if not len(self.numbers):
-            return np.zeros(len(vectors), np.int64), needs
-        order = np.argsort(_angles(units, self.centroids), axis=1, kind="stable")
-        held = np.cumsum(self.sizes[order], axis=1)
-        first = held - self.sizes[order] < k
-        np.put_along_axis(needs, order, first, axis=1)
-        needs[~good] = True
-        return order[:, 0], needs
+        """(nearest cluster's position of every question, the pairs of its first pass as packed bits): nearest clusters until they hold ``k`` vectors."""
+        near, bits = np.zeros(len(vectors), np.int64), np.zeros((len(vectors), -(-len(self.numbers) // 8)), np.uint8)
+        for part in _slices(len(vectors), len(self.numbers)) if len(self.numbers) else ():
+            units, good = unit_rows(vectors[part])
+            needs = np.zeros((len(units), len(self.numbers)), dtype=bool)
+            order = np.argsort(_angles(units, self.centroids), axis=1, kind="stable")
+            held = np.cumsum(self.sizes[order], axis=1)
+            np.put_along_axis(needs, order, held - self.sizes[order] < k, axis=1)
+            needs[~good] = True
+            near[part], bits[part] = order[:, 0], np.packbits(needs, axis=1)
+        return near, bits
 
     def reachable(self, vectors: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Pairs of questions and clusters that may hold a score of at least the question's bound."""
-        units, good = unit_rows(vectors)
-        if not len(self.numbers):
-            return np.zeros((len(vectors), 0), dtype=bool)
-        best = np.cos(np.clip(_angles(units, self.centroids) - self.radii - ANGLE_SLACK, 0, np.pi))
-        return (best + SCORE_SLACK >= bounds[:, None]) | ~good[:, None]
+        """Pairs of questions and clusters that may hold a score of at least the question's bound, as packed bits."""
+        bits = np.zeros((len(vectors), -(-len(self.numbers) // 8)), np.uint8)
+        for part in _slices(len(vectors), len(self.numbers)) if len(self.numbers) else ():
+            units, good = unit_rows(vectors[part])
+            best = np.cos(np.clip(_angles(units, self.centroids) - self.radii - ANGLE_SLACK, 0, np.pi))
+            bits[part] = np.packbits((best + SCORE_SLACK >= bounds[part, None]) | ~good[:, None], axis=1)
+        return bits
+
+    def held(self, bits: np.ndarray) -> np.ndarray:
+        """Vectors in the clusters of each question's pairs."""
+        out = np.zeros(len(bits), np.int64)
+        for part in _slices(len(bits), len(self.numbers)) if len(self.numbers) else ():
+            out[part] = np.unpackbits(bits[part], axis=1, count=len(self.numbers)) @ self.sizes
+        return out
+
+    def any_of(self, bits: np.ndarray) -> list[int]:
+        """Numbers of the clusters that some question needs."""
+        return self.numbers[np.unpackbits(np.bitwise_or.reduce(bits, axis=0), count=len(self.numbers)).astype(bool)].tolist() if len(self.numbers) else []
 
 
 def _scan(spark, path, block: pa.Table, needs: np.ndarray, clusters: Clusters, k, bounds, chunk_id, chunk_vector, out: T.StructType, loose: bool) -> DataFrame:
-    """Candidates of one pass: the needed clusters are read in place, each for the questions that need it."""
-    wanted = clusters.numbers[needs.any(axis=0)].tolist() + [-1] * loose
+    """Candidates of one pass: the needed clusters are read in place, each for the questions that need it (``needs``: packed bits). A task holds no more than the block and its questions' best k."""
+    wanted = clusters.any_of(needs) + [-1] * loose
     rows = clusters_read(spark, path, wanted).select(chunk_id, chunk_vector, "cluster")
     position = {int(c): i for i, c in enumerate(clusters.numbers)}
-    shared = track(spark.sparkContext.broadcast((block.select(["_question"]), _matrix(block.column("vector"), block.num_rows), np.packbits(needs, axis=1), bounds)))
-    count, arrow_schema = needs.shape[1], pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in out.fields])
+    shared = track(spark.sparkContext.broadcast((block.select(["_question"]), _matrix(block.column("vector"), block.num_rows), needs, bounds)))
+    arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in out.fields])
 
     def scan(batches):
         ids, vectors, bits, low = shared.value
-        needed = np.unpackbits(bits, axis=1, count=count).astype(bool) if count else np.zeros((len(vectors), 0), bool)
-        blocks: dict[int, tuple] = {}
-        pending, held = [], 0
+        top = None
         for batch in batches:
-            cluster = batch.column(2).to_numpy()
+            if not batch.num_rows:
+                continue
+            top = top or TopK(QueryBlock(vectors, low), k)
+            found, cluster = _matrix(batch.column(1), batch.num_rows), batch.column(2).to_numpy()
             for c in np.unique(cluster).tolist():
-                if c not in blocks:
-                    asking = np.arange(len(vectors)) if c < 0 else np.flatnonzero(needed[:, position[c]])
-                    blocks[c] = (asking, QueryBlock(vectors[asking], None if low is None else low[asking]))
-                asking, questions = blocks[c]
-                if len(asking):
-                    own = pa.Table.from_batches([batch]).filter(pa.array(cluster == c))
-                    qi, ci, score = score_cell(questions, _matrix(own.column(chunk_vector), own.num_rows), np.asarray(own.column(chunk_id).to_numpy(zero_copy_only=False)), k)
-                    pending.append(_emit(arrow_schema, ids, own, asking[qi], ci, score, "_question", chunk_id, []))
-                    held += len(qi)
-            if held > 8 * k * len(vectors):
-                pending = [_reduce(pending, arrow_schema, k, "_question", chunk_id)]
-                held = pending[0].num_rows
-        if pending:
-            yield _reduce(pending, arrow_schema, k, "_question", chunk_id)
+                at = None if c < 0 else position[c]
+                asking = None if c < 0 else np.flatnonzero(bits[:, at >> 3] & (128 >> (at & 7)))  # a column of the packed pairs
+                own = np.flatnonzero(cluster == c)
+                top.add(found[own], batch.column(0).take(pa.array(own)), asking)
+        if top is not None and top.ids is not None:
+            yield from top.batches(arrow_schema, ids, "_question")
 
     return rows.mapInArrow(scan, out)
 
@@ -238,7 +252,7 @@ def topk_clustered(spark: SparkSession, path: str, queries: DataFrame, k: int, *
         more = clusters.reachable(vectors, bounds) & ~first
         rest = _scan(spark, path, block, more, clusters, k, bounds, chunk_id, chunk_vector, out, False)
         ranks.append(materialize(_ranked(probe.drop("rank").unionByName(rest), k, chunk_id), "clustered-ranked"))
-        scored = (first | more) @ clusters.sizes + clusters.loose
+        scored = clusters.held(first | more) + clusters.loose
         work.append(materialize(spark.createDataFrame(pa.table({"_question": block.column("_question"), "vectors_scored": pa.array(scored, pa.int64())})), "clustered-work"))
     empty = spark.createDataFrame([], T.StructType([*out.fields, T.StructField("rank", T.IntegerType())]))
     ranking, done = empty, spark.createDataFrame([], "_question long, vectors_scored long")

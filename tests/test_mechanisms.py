@@ -246,3 +246,25 @@ def test_audit_records_are_queryable_property_by_property(spark, tmp_path):
     assert got == [("a", ["s1", "s2"], 3, 0.25), ("b", [], 0, None)]
     assert [r[0] for r in found.where(p("note", "string") == "extra").select(p("correlation_id", "string").alias("c")).orderBy("c").collect()] == ["a", "b"]
     assert found.where(p("n", "string").isNotNull() & (p("low", "boolean"))).count() == 1
+
+
+def test_cluster_pairs_stay_packed_and_are_found_slice_by_slice(spark, tmp_path, monkeypatch):
+    """Questions x clusters are held as bits; angles are taken for a bounded slice of questions."""
+    from guardrag.operators import clustered
+
+    chunks = spark.createDataFrame([(f"c{i}", x.tolist()) for i, x in enumerate(grouped(np.random.default_rng(5), 6, 50))], VECTORS)
+    path = str(tmp_path / "s")
+    write_clustered(chunks, path, clusters=6)
+    table = Clusters(spark, path)
+    vectors = grouped(np.random.default_rng(6), 6, 10).astype(np.float32)
+    seen, angles = [], clustered._angles
+    monkeypatch.setattr(clustered, "_angles", lambda u, c: (seen.append(len(u)), angles(u, c))[1])
+    whole = table.nearest(vectors, 5), table.reachable(vectors, np.full(60, 0.9, np.float32))
+    assert max(seen) == 60
+    monkeypatch.setattr(clustered, "ANGLE_ENTRIES", 42)
+    seen.clear()
+    near, bits = table.nearest(vectors, 5)
+    assert max(seen) == 42 // len(table.numbers) and bits.dtype == np.uint8 and bits.shape == (60, 1)
+    assert near.tolist() == whole[0][0].tolist() and bits.tolist() == whole[0][1].tolist()
+    assert table.reachable(vectors, np.full(60, 0.9, np.float32)).tolist() == whole[1].tolist()
+    assert table.held(np.full((60, 1), 0xFF, np.uint8)).tolist() == [int(table.sizes.sum())] * 60

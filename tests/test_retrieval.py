@@ -236,3 +236,46 @@ def test_questions_that_do_not_fit_are_told_apart(spark):
     assert sorted((r.query_id, r.reason) for r in bad.collect()) == [("b", "empty_vector"), ("c", "empty_vector"), ("d", "dimension_mismatch"), ("d", "dimension_mismatch")]
     good, bad = split_questions(queries, None)
     assert good.count() == 4 and bad.count() == 2
+
+
+def test_kernel_memory_is_bounded_and_equal_chunks_flood_nothing():
+    """Zero questions, and stores of copies, tie with every chunk: no more than k pairs a question are held, and the smallest ids win over all batches."""
+    import pyarrow as pa
+
+    from guardrag.operators.retrieval import QueryBlock, TopK, _select_topk, _squared_norms
+
+    rng = np.random.default_rng(8)
+    q = np.concatenate([np.zeros((20, 8)), rng.standard_normal((20, 8)), np.full((3, 8), np.nan), np.full((2, 8), 1e-21)]).astype(np.float32)
+    c = rng.standard_normal((6, 8)).astype(np.float32)[rng.integers(0, 6, 3000)]
+    c[::7], c[3::11], c[5::13] = 0, np.nan, c[5::13] * np.float32(1e-20)
+    ids = np.array([f"{i:05d}" for i in rng.permutation(3000)])
+    top, offered = TopK(QueryBlock(q), 4), []
+    merge = top._offer
+    top._offer = lambda a, b, s: (offered.append(len(a)), merge(a, b, s))
+    for s in range(0, 3000, 1000):
+        top.add(c[s:s + 1000], pa.array(ids[s:s + 1000]))
+    qi, at, score = top.result()
+    got = sorted(zip(qi.tolist(), np.array(top.ids)[at].tolist(), np.nan_to_num(score, nan=9.0).tolist()))
+    qa, ca = np.repeat(np.arange(45), 3000), np.tile(np.arange(3000), 45)
+    exact = exact_cosine(c[ca], q[qa], _squared_norms(c)[ca], _squared_norms(q)[qa])
+    best = _select_topk(qa, exact, ids[ca], 4)
+    assert got == sorted(zip(qa[best].tolist(), ids[ca[best]].tolist(), np.nan_to_num(exact[best], nan=9.0).tolist()))
+    assert sum(offered) < 45 * 4 * 3 * 20  # of 135,000 pairs, nearly all of them ties
+
+
+def test_ids_of_lost_pairs_are_forgotten(monkeypatch):
+    import pyarrow as pa
+
+    from guardrag.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "MAX_IDS", 50)
+    rng = np.random.default_rng(9)
+    c, q = rng.standard_normal((600, 4)).astype(np.float32), rng.standard_normal((5, 4)).astype(np.float32)
+    ids = np.array([f"{i:03d}" for i in range(600)])
+    top = retrieval.TopK(retrieval.QueryBlock(q), 3)
+    for s in range(0, 600, 40):
+        top.add(c[s:s + 40], pa.array(ids[s:s + 40]))
+        assert len(top.ids) <= 50 + 40
+    qi, at, _ = top.result()
+    qn, cn, _ = retrieval.score_cell(q, c, ids, 3)
+    assert sorted(zip(qi.tolist(), np.array(top.ids)[at].tolist())) == sorted(zip(qn.tolist(), ids[cn].tolist()))
