@@ -268,3 +268,22 @@ def test_cluster_pairs_stay_packed_and_are_found_slice_by_slice(spark, tmp_path,
     assert near.tolist() == whole[0][0].tolist() and bits.tolist() == whole[0][1].tolist()
     assert table.reachable(vectors, np.full(60, 0.9, np.float32)).tolist() == whole[1].tolist()
     assert table.held(np.full((60, 1), 0xFF, np.uint8)).tolist() == [int(table.sizes.sum())] * 60
+
+
+def test_arrivals_are_written_where_the_rows_are(spark, tmp_path):
+    from guardrag.plans import mechanism_queries as queries
+
+    rows_ = spark.range(0, 600, 1, 6).select(F.when(F.col("id") % 100 != 50, F.col("id")).alias("key"), F.col("id").alias("row"))
+    stream = queries._arrivals(spark, rows_, "key", "arrivals-test")
+    seen = []
+    stream.writeStream.foreachBatch(lambda df, n: seen.append([tuple(r) for r in df.select("row", "arrival").collect()])).option(
+        "checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination()
+    third = lambda i: 2 if i % 100 == 50 else i % 3
+    want = [(i, a) for i in range(600) for a, part in enumerate((0, 1, 2, 0)) if third(i) == part]
+    assert sorted(x for batch in seen for x in batch) == sorted(want) and len(seen) >= 2
+    files = {r[0].rsplit("/", 1)[0][-1:] + r[0][-60:] for r in spark.read.parquet(str(_stream_path(stream))).select(F.input_file_name()).distinct().collect()}
+    assert len(files) == 4 * 6  # a file for each partition and arrival
+
+
+def _stream_path(stream):
+    return stream._jdf.queryExecution().analyzed().toString().split("FileSource[", 1)[1].split("]", 1)[0]
