@@ -70,11 +70,22 @@ def pack_paragraphs(paragraphs: list[str], max_len: int, overlap: int) -> list[s
     return out
 
 
+#: Bytes of a batch's texts that are Python strings at once (one huge text counts as it is).
+SLICE_BYTES = 1 << 20
+
+
+def _by_slices(values: pa.Array, fold) -> pa.Array:
+    """``fold`` of every value, a bounded slice after the other: texts as Python strings take several times their bytes, and so do their chunks."""
+    rows = max(1, len(values) * SLICE_BYTES // max(1, values.get_total_buffer_size()))
+    parts = [pa.array([fold(v) for v in values.slice(s, rows).to_pylist()], pa.list_(pa.string())) for s in range(0, len(values), rows)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
+
+
 @lru_cache(maxsize=None)
 def _packer(max_len: int, overlap: int):
     @F.arrow_udf("array<string>")
     def pack(paragraphs: pa.Array) -> pa.Array:
-        return pa.array([None if ps is None else pack_paragraphs(ps, max_len, overlap) for ps in paragraphs.to_pylist()], pa.list_(pa.string()))
+        return _by_slices(paragraphs, lambda ps: None if ps is None else pack_paragraphs(ps, max_len, overlap))
 
     return pack
 
@@ -83,8 +94,7 @@ def _packer(max_len: int, overlap: int):
 def _chunker(separator: str, max_len: int, overlap: int):
     @F.arrow_udf("array<string>")
     def chunk(texts: pa.Array) -> pa.Array:
-        return pa.array([pack_paragraphs([p for p in (t.split(separator) if separator else [t]) if p], max_len, overlap) if t else []
-                         for t in texts.to_pylist()], pa.list_(pa.string()))
+        return _by_slices(texts, lambda t: pack_paragraphs([p for p in (t.split(separator) if separator else [t]) if p], max_len, overlap) if t else [])
 
     return chunk
 

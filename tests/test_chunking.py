@@ -97,3 +97,20 @@ def test_a_carry_that_cuts_a_character_in_two(spark):
     chunks = evaluate(spark, lambda t: chunk_text(t), "🙂" * 225 + "ab\n\n" + "y" * 100)[0]
     # "ab\n" and 47 units of emoji: 23 characters and the second half of one more.
     assert chunks[1] == "�" + "🙂" * 23 + "ab\n" + "y" * 100 + "\n"
+
+
+def test_a_batch_is_chunked_slice_by_slice(monkeypatch):
+    import pyarrow as pa
+
+    from guardrag.functions import chunking
+
+    texts = [None, ""] + [f"{'🙂' * (i % 90)}\n{'a' * (i % 70)}\nend {i}" for i in range(500)]
+    whole = [chunking.pack_paragraphs([p for p in t.split("\n") if p], 100, 10) if t else [] for t in texts]
+    longest, fold = [], lambda t: chunking.pack_paragraphs([p for p in t.split("\n") if p], 100, 10) if t else []
+    real = pa.array
+    monkeypatch.setattr(chunking, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(chunking.pa, "array", lambda v, *a: (longest.append(len(v)), real(v, *a))[1])
+    values = real(texts)
+    got = chunking._by_slices(values, fold)
+    assert got.to_pylist() == whole and max(longest) < 50
+    assert chunking._by_slices(values.slice(500), fold).to_pylist() == whole[500:] and chunking._by_slices(values.slice(0, 0), fold).to_pylist() == []
