@@ -279,3 +279,42 @@ def test_ids_of_lost_pairs_are_forgotten(monkeypatch):
     qi, at, _ = top.result()
     qn, cn, _ = retrieval.score_cell(q, c, ids, 3)
     assert sorted(zip(qi.tolist(), np.array(top.ids)[at].tolist())) == sorted(zip(qn.tolist(), ids[cn].tolist()))
+
+
+def test_pairs_of_many_tiles_are_scored_together():
+    """A question's pairs from one tile of chunks are few: they wait for those of other tiles, and the ranking stays exact."""
+    import pyarrow as pa
+
+    from guardrag.operators.retrieval import QueryBlock, TopK, _squared_norms
+
+    rng = np.random.default_rng(12)
+    c, q = rng.standard_normal((8000, 16)).astype(np.float32), rng.standard_normal((300, 16)).astype(np.float32)
+    exact = np.stack([exact_cosine(c, np.broadcast_to(v, c.shape), _squared_norms(c), np.full(len(c), n)) for v, n in zip(q, _squared_norms(q))])
+    best = np.argsort(-exact, axis=1, kind="stable")[:, :5]
+    kth = np.take_along_axis(exact, best[:, -1:], axis=1)[:, 0]
+    top, merges = TopK(QueryBlock(q, kth), 5, tile_entries=1 << 12), []
+    merge = top._offer
+    top._offer = lambda a, b, s: (merges.append(len(a)), merge(a, b, s))
+    top.add(c, pa.array([f"{i:05d}" for i in range(8000)]))
+    qi, at, _ = top.result()
+    ids = np.array(top.ids)[at].astype(int)
+    assert sorted(zip(qi.tolist(), ids.tolist())) == sorted((i, int(x)) for i in range(300) for x in best[i])
+    assert len([n for n in merges if n]) <= 2 and sum(merges) < 300 * 5 * 2  # once per tile before: some hundreds
+
+
+def test_probe_runs_in_few_tasks_and_grows_slower_than_the_store(spark, monkeypatch):
+    from guardrag.operators import retrieval
+
+    rng = np.random.default_rng(13)
+    s = spark.createDataFrame([(f"{i:04d}", v.tolist()) for i, v in enumerate(rng.standard_normal((2000, 8)).astype(np.float32))], "chunk_id string, embedding array<float>").repartition(64)
+    q = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(rng.standard_normal((20, 8)).astype(np.float32))], "query_id string, embedding array<float>")
+    plain = sorted(map(tuple, topk_batch(s, q, 3, probe_fraction=0.0).collect()))
+    seen, bounds = [], retrieval._with_bounds
+    monkeypatch.setattr(retrieval, "_with_bounds", lambda c, q, k, f, *rest: (seen.append(f), bounds(c, q, k, f, *rest))[1])
+    monkeypatch.setattr(retrieval, "PROBE_MIN_ROWS", 1000)
+    monkeypatch.setattr(retrieval, "PROBE_COST", 20)
+    cells, parts = retrieval._broadcast_cells, []
+    monkeypatch.setattr(retrieval, "_broadcast_cells", lambda c, *rest, **how: (parts.append(c.rdd.getNumPartitions()), cells(c, *rest, **how))[1])
+    assert sorted(map(tuple, topk_batch(s, q, 3).collect())) == plain
+    assert seen == [pytest.approx((20 * 3 / 2000) ** 0.5)]
+    assert parts == [min(64, spark.sparkContext.defaultParallelism), 64]
