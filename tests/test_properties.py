@@ -90,3 +90,28 @@ def test_keyword_count_matches_reference(spark):
     got = {r["i"]: r["n"] for r in df.select("i", gates.keyword_count(F.col("t"), FINANCIAL_KEYWORDS).alias("n")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == sum(1 for k in set(FINANCIAL_KEYWORDS) if k in t.lower()), t
+
+
+def test_hashing_embedder_hashes_each_token_of_a_batch_once(spark, monkeypatch):
+    """The histogram gets tokens, not buckets: a token that repeats in a batch is hashed once; odd texts count as by the rule."""
+    import hashlib
+    import re
+
+    import pyarrow as pa
+
+    from guardrag.functions import embedding
+
+    texts = ["a b a", "", None, "   ", "Ünï ünï x1 ١٢ 漢字 漢字", "🙂 é é", "b" * 500]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {r[0]: r[1] for r in df.select("id", embedding.hashing_embedder(16)("text")).collect()}
+    for i, t in enumerate(texts):
+        want = [0.0] * 16
+        for w in re.findall(r"[^\W_]+", (t or "").lower()):
+            want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16] += 1
+        assert got[i] == want, t
+    calls = []
+    own = embedding.hashlib.md5
+    monkeypatch.setattr(embedding.hashlib, "md5", lambda w, **how: (calls.append(w), own(w, **how))[1])
+    hist = embedding.bucket_histogram.__wrapped__(16).func
+    assert hist(pa.array([["a", "b"], None, ["a"] * 5, []])).to_pylist()[2].count(5.0) == 1
+    assert sorted(calls) == [b"a", b"b"]

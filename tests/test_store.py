@@ -168,3 +168,17 @@ def test_empty_batches_and_rejects(spark, tmp_path):
     bad = spark.createDataFrame([("x", "empty_id")], "chunk_id string, reason string")
     upsert_store(spark.createDataFrame([("a", 1)], "chunk_id string, v long"), root, rejects=bad)
     assert [r["reason"] for r in rows(read_rejects(spark, root))] == ["empty_id"] and read_store(spark, root).count() == 1
+
+
+def test_validation_embeds_every_chunk_once(spark):
+    """The test of the vectors stays above the embedding; pushed below, its expression would hold the embedder again."""
+    from pyspark.sql import functions as F
+
+    from guardrag.functions.embedding import hashing_embedder
+
+    df = spark.range(20).select(F.col("id").cast("string").alias("chunk_id"), F.concat(F.lit("tok "), F.col("id").cast("string")).alias("content"))
+    valid, rejects = validate_chunks(df.withColumn("embedding", hashing_embedder(8)("content")), expected_dim=8)
+    for part, n in ((valid, 20), (rejects, 0)):
+        assert part._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+        assert part.count() == n
+    assert valid.columns == ["chunk_id", "content", "embedding"] and rejects.columns == [*valid.columns, "reason"]
