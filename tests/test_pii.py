@@ -112,3 +112,30 @@ def test_report_counts_by_type(spark):
     assert set(rep) == {"EmailAddress", "UkNationalInsuranceNumber"}
     alt = {r["pii_type"]: r for r in rows(pii_type_report_from_findings(scrubbed, "id", "p_findings", "in"))}
     assert alt == rep
+
+
+def test_patterns_for_the_jvm_replace_what_the_rules_do(spark):
+    """Card and phone patterns look for their first character before its surroundings; texts without a long run of digits skip the first two patterns."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from guardrag.config import PII_PATTERNS
+    from guardrag.functions import pii
+
+    rules = {t: (ph, pii._java_regex(rx, ci)) for t, ph, ci, rx in PII_PATTERNS}
+    for t in ("CreditCardNumber", "UkPhoneNumber"):
+        assert pii.PATTERN_BY_TYPE[t].java_regex != rules[t][1]  # a word boundary or a choice at every character
+    rng = random.Random(5)
+    odd = ["4", "411111111111", "4111111111111", "4111111111111111", "55" + "0" * 14, "34" + "1" * 13, "300" + "2" * 11, "6011" + "3" * 12, "65" + "9" * 14, "0", "+", "44", "+44 ", "7700",
+           "900", "123", "0207", "-", " ", " ", " ", "_", "a", "é", "́", "٣", "\U0001d7d2", "🙂", "‍", "GB29NWBK60161331926819", "gb29nwbk", "60161331926819",
+           "١" * 14, "AB123456C", "12-34-56", "account number: ", "12345678", "SW1A 1AA", "u@x.org", ",", "\n", "[CARD-NUMBER REDACTED]"]
+    texts = [None, "", *("".join(rng.choice(odd) for _ in range(rng.randint(1, 9))) for _ in range(6000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    plain = F.col("text")
+    for ph, rx in rules.values():
+        plain = F.regexp_replace(plain, rx, ph)
+    one = [F.regexp_replace("text", pii.PATTERN_BY_TYPE[t].java_regex, "#").eqNullSafe(F.regexp_replace("text", rx, "#")).alias(t) for t, (_, rx) in rules.items()]
+    out = df.select("text", plain.alias("plain"), pii.scrub_text("text").alias("scrubbed"), *one).collect()
+    assert [r["text"] for r in out if r["plain"] != r["scrubbed"] or not all(r[t] for t in rules)] == []
+    assert sum("[CARD" in (r["plain"] or "") for r in out) > 500 and sum("[PHONE" in (r["plain"] or "") for r in out) > 100
