@@ -115,7 +115,7 @@ def test_report_counts_by_type(spark):
 
 
 def test_patterns_for_the_jvm_replace_what_the_rules_do(spark):
-    """Card and phone patterns look for their first character before its surroundings; texts without a long run of digits skip the first two patterns."""
+    """IBAN, card and phone patterns look for their first character before its surroundings, and match as the rules do."""
     import random
 
     from pyspark.sql import functions as F
@@ -124,7 +124,7 @@ def test_patterns_for_the_jvm_replace_what_the_rules_do(spark):
     from guardrag.functions import pii
 
     rules = {t: (ph, pii._java_regex(rx, ci)) for t, ph, ci, rx in PII_PATTERNS}
-    for t in ("CreditCardNumber", "UkPhoneNumber"):
+    for t in ("UkIban", "CreditCardNumber", "UkPhoneNumber"):
         assert pii.PATTERN_BY_TYPE[t].java_regex != rules[t][1]  # a word boundary or a choice at every character
     rng = random.Random(5)
     odd = ["4", "411111111111", "4111111111111", "4111111111111111", "55" + "0" * 14, "34" + "1" * 13, "300" + "2" * 11, "6011" + "3" * 12, "65" + "9" * 14, "0", "+", "44", "+44 ", "7700",
