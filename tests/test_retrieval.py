@@ -318,3 +318,27 @@ def test_probe_runs_in_few_tasks_and_grows_slower_than_the_store(spark, monkeypa
     assert sorted(map(tuple, topk_batch(s, q, 3).collect())) == plain
     assert seen == [pytest.approx((20 * 3 / 2000) ** 0.5)]
     assert parts == [min(64, spark.sparkContext.defaultParallelism), 64]
+
+
+def test_score_tiles_share_one_small_buffer(monkeypatch):
+    """All tiles of a batch use the same memory of 1 MiB at most, a column a question; the ranking is that of the exact rule, also for some questions only."""
+    import pyarrow as pa
+
+    from guardrag.operators.retrieval import QueryBlock, TopK
+
+    rng = np.random.default_rng(5)
+    q, c = rng.random((1500, 8), np.float32), rng.random((1100, 8), np.float32)
+    tiles, own = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda a, b, out: (tiles.append((out.__array_interface__["data"][0], out.shape)), own(a, b, out=out))[1])
+    top = TopK(QueryBlock(q), 3)
+    some = np.r_[0:700, 900:1500]
+    top.add(c, pa.array(np.arange(1100)), some)
+    qi, at, score = top.result()
+    assert len({address for address, _ in tiles}) == 1
+    assert max(rows * columns for _, (rows, columns) in tiles) <= 1 << 18 and {rows for _, (rows, _) in tiles} == {512, 76}
+    n2 = lambda m: np.cumsum(m * m, axis=1, dtype=np.float64)[:, -1]
+    for x in (0, 699, 900, 1499):
+        exact = exact_cosine(c, np.repeat(q[x:x + 1], 1100, axis=0), n2(c), np.repeat(n2(q[x:x + 1]), 1100))
+        want = np.lexsort((np.arange(1100), -exact))[:3]
+        assert list(top.ids.take(pa.array(at[qi == x])).to_pylist()) == list(want) and (score[qi == x] == exact[want]).all()
+    assert set(qi) == set(some)
