@@ -114,3 +114,18 @@ def test_a_batch_is_chunked_slice_by_slice(monkeypatch):
     got = chunking._by_slices(values, fold)
     assert got.to_pylist() == whole and max(longest) < 50
     assert chunking._by_slices(values.slice(500), fold).to_pylist() == whole[500:] and chunking._by_slices(values.slice(0, 0), fold).to_pylist() == []
+
+
+def test_hashing_embedder_takes_spaced_texts(spark):
+    """Tokens cross to Python as one text a row; its vectors are those of the token arrays, also for odd texts."""
+    import pyarrow as pa
+
+    from guardrag.functions.embedding import bucket_histogram, spaced_tokens, tokens
+
+    texts = [None, "", "  ", "...", " a b", "a--b a\n", "\u0130x É1 ١٢\u00a0漢字", "e\u0301 ²½ Ⅷ", "🙂𝒳𝟙🙂 z", "_a_b\t"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", tokens("t").alias("l"), spaced_tokens("t").alias("s")).orderBy("i").collect()
+    assert all((r.s or "").split(" ") == r.l or [x for x in (r.s or "").split(" ") if x] == r.l for r in rows)
+    hist = bucket_histogram.__wrapped__(16).func
+    assert hist(pa.array([r.s for r in rows], pa.string())).equals(hist(pa.array([r.l for r in rows], pa.list_(pa.string()))))
+    assert hist(pa.array([], pa.string())).to_pylist() == []
