@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, rows
-from guardrag.config import IngestionOptions
+from guardrag.config import AskOptions, IngestionOptions, RetrievalOptions
 from guardrag.functions.embedding import hashing_embedder
 from guardrag.operators.store import read_rejects, read_store
 from guardrag.plans import fixtures as fx
@@ -115,6 +115,23 @@ def test_micro_batches_leave_no_scratch_tables(spark, tmp_path):
     assert {n for n in set(os.listdir(scratch)) - before if "ask" in n or "topk" in n} == set()
 
 
+def test_micro_batch_with_more_questions_than_one_broadcast_holds(spark, tmp_path):
+    scratch = os.path.join(ensure_checkpoint_dir(spark).removeprefix("file:"), "")
+    st = spark.createDataFrame([(f"c{i}", f"text {i}", "A", [float((i * j) % 7) for j in range(64)]) for i in range(30)],
+                               "chunk_id string, content string, title string, embedding array<float>")
+    asked = spark.createDataFrame([(f"q{i}", f"fund yield number {i}?") for i in range(20)], "query_id string, query string")
+    asked.write.json(str(tmp_path / "qin"))
+    opts = AskOptions(retrieval=RetrievalOptions(broadcast_query_bytes=2000, probe_fraction=0.5))
+    before = set(os.listdir(scratch))
+    stream = spark.readStream.schema("query_id string, query string").json(str(tmp_path / "qin"))
+    as_of = F.to_timestamp(F.lit(AS_OF))
+    start_ask_stream(stream, st, str(tmp_path / "audit"), str(tmp_path / "ck"), opts, available_now=True, as_of=as_of, strategy="rounds").awaitTermination()
+    assert {n for n in set(os.listdir(scratch)) - before if "ask" in n or "topk" in n} == set()
+    cols = ["query_id", "outcome", "scrubbed_query", "scrubbed_response", "top_confidence_score"]
+    got, want = spark.read.parquet(str(tmp_path / "audit")), ask_batch(asked, st, as_of=as_of)
+    assert got.count() == 20 and sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
 def test_table_streams_read_one_file_and_folders_of_files(spark, tmp_path):
     from guardrag.plans.catalog import _parquet_stream
 
