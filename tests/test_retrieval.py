@@ -3,12 +3,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_CHECK, rows
 from guardrag.functions.similarity import cosine
-from guardrag.operators.retrieval import exact_cosine, search, topk_batch
+from guardrag.operators.retrieval import QueryBlock, TopK, exact_cosine, search, topk_batch
 from guardrag.plans import fixtures as fx
 
 VEC = "chunk_id string, embedding array<float>, content string, title string"
@@ -342,3 +343,66 @@ def test_score_tiles_share_one_small_buffer(monkeypatch):
         want = np.lexsort((np.arange(1100), -exact))[:3]
         assert list(top.ids.take(pa.array(at[qi == x])).to_pylist()) == list(want) and (score[qi == x] == exact[want]).all()
     assert set(qi) == set(some)
+
+
+def ranked_by_kernel(chunks, ids, questions, k, bounds=None, batch=3000):
+    """Question → [(score, id)] of the cell kernel, fed batch by batch."""
+    top = TopK(QueryBlock(questions, bounds), k)
+    for s in range(0, len(chunks), batch):
+        top.add(chunks[s:s + batch], pa.array(ids[s:s + batch]))
+    out = {}
+    for q, at, score in zip(*top.result()):
+        out.setdefault(int(q), []).append((float(score), top.ids[int(at)].as_py()))
+    return {q: sorted(x, key=lambda t: (-t[0], t[1])) for q, x in out.items()}
+
+
+def ranked_by_rule(chunks, ids, questions, k):
+    c2, out = np.cumsum(chunks * chunks, axis=1, dtype=np.float64)[:, -1], {}
+    for q, v in enumerate(questions):
+        many = np.broadcast_to(v, chunks.shape)
+        score = exact_cosine(chunks, many, c2, np.full(len(chunks), np.cumsum(v * v, dtype=np.float64)[-1]))
+        out[q] = sorted(((float(x), i) for x, i in zip(score, ids)), key=lambda t: (-t[0], t[1]))[:k]
+    return out
+
+
+def token_counts(n, seed, dim=64, longest=None):
+    """Vectors as the hashing embedder gives them: counts of tokens, some common and most rare, in texts of all lengths."""
+    rng = np.random.default_rng(seed)
+    weight = rng.dirichlet(np.full(dim, 0.3), 5)
+    length = rng.integers(1, longest, n) if longest else rng.geometric(1 / 60, n)
+    return np.stack([rng.multinomial(x, weight[i % 5]) for i, x in enumerate(length)]).astype(np.float32)
+
+
+@pytest.mark.parametrize("bounded", [False, True])
+def test_kernel_on_token_counts_equals_the_rule(bounded):
+    chunks, questions, k = token_counts(9000, 1), token_counts(300, 2), 5
+    chunks[::50] = chunks[7]  # ties, also beyond k
+    chunks[3::500] = 0
+    chunks[11::400] *= 90  # lengths whose products need more bits than a lane has
+    chunks[13::300] += 0.25  # no counts
+    chunks[17::700, :4] -= 3  # negative entries
+    chunks[19::900] *= 2000  # counts beyond those with exact float32 products
+    questions[::20] *= 40
+    questions[5::30] += 0.5
+    questions[9], questions[10] = 0, chunks[11]
+    ids = [f"c{i * 7919 % 9000:05d}" for i in range(9000)]
+    want = ranked_by_rule(chunks, ids, questions, k)
+    bounds = np.array([want[q][-1][0] for q in want], np.float32) if bounded else None
+    got = ranked_by_kernel(chunks, ids, questions, k, bounds)
+    assert got == want
+
+
+def test_kernel_on_token_counts_saves_multiplications(monkeypatch):
+    chunks, questions, done = token_counts(8000, 3, longest=90), token_counts(400, 4, longest=60), [0]
+    multiply = np.matmul
+
+    def counted(a, b, **kwargs):
+        done[0] += a.shape[0] * a.shape[1] * b.shape[1]
+        return multiply(a, b, **kwargs)
+
+    ids = [f"c{i:05d}" for i in range(8000)]
+    want = ranked_by_rule(chunks, ids, questions, 5)
+    monkeypatch.setattr(np, "matmul", counted)
+    got = ranked_by_kernel(chunks, ids, questions, 5, np.array([want[q][-1][0] for q in want], np.float32), batch=8000)
+    assert got == want
+    assert done[0] < 0.4 * chunks.shape[0] * questions.size
